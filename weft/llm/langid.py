@@ -94,17 +94,6 @@ class Model:
     temperature: float
     threshold: float
 
-    def logits(self, counts: np.ndarray) -> np.ndarray:
-        return counts @ self.table / max(1, counts.sum()) + self.bias
-
-    def predict(self, text: str) -> tuple[str, float]:
-        """(label, calibrated probability) of a text."""
-        z = self.logits(bucket_counts(text)) / self.temperature
-        p = np.exp(z - z.max())
-        p /= p.sum()
-        best = int(np.argmax(p))
-        return self.labels[best], float(p[best])
-
 
 def _softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(1, keepdims=True))
@@ -181,40 +170,69 @@ def fit(docs: DataFrame, id_col: str, text_col: str, label_col: str, where: Colu
     return train([(r["l"], np.array(r["ids"], np.int64), np.array(r["counts"], np.float64)) for r in got])
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, lang_pred, score, rejected), one per input row; only the text is used."""
+def _predictor(model: Model):
+    """(texts, flags of texts with a letter) -> (labels, scores)."""
     labels, table = model.labels, model.table.astype(np.float64)
     columns = [np.ascontiguousarray(table[:, i]) for i in range(len(labels))]
 
+    def one(text: str | None, letters: bool) -> tuple[str, float]:
+        if not letters or not labels:
+            return "und", 0.0
+        z, n = np.zeros(len(labels)), 0
+        for codes, seen in _pieces(text):
+            bucket, start = _buckets(codes)
+            if seen:
+                bucket = bucket[start + _lengths(codes, start) > seen]
+            z += [c[bucket].sum() for c in columns]
+            n += len(bucket)
+        z = (z / max(1, n) + model.bias) / model.temperature
+        p = np.exp(z - z.max())
+        best = int(np.argmax(p))
+        return labels[best], min(1.0, float(p[best] / p.sum()))
+
+    return one
+
+
+def _has_letter(text: Column) -> Column:
+    return F.coalesce(text.rlike(LETTER), F.lit(False))
+
+
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id, lang_pred, score, rejected), one per input row; only the text is used."""
+    one = _predictor(model)
+
     def run(batches):
         for batch in batches:
-            langs, scores = [], []
-            for t, letters in zip(batch.column(1), batch.column(2), strict=True):
-                if not letters.as_py() or not labels:
-                    langs.append("und")
-                    scores.append(0.0)
-                    continue
-                z, n = np.zeros(len(labels)), 0
-                for codes, seen in _pieces(t.as_py()):
-                    bucket, start = _buckets(codes)
-                    if seen:
-                        bucket = bucket[start + _lengths(codes, start) > seen]
-                    z += [c[bucket].sum() for c in columns]
-                    n += len(bucket)
-                z = (z / max(1, n) + model.bias) / model.temperature
-                p = np.exp(z - z.max())
-                best = int(np.argmax(p))
-                langs.append(labels[best])
-                scores.append(min(1.0, float(p[best] / p.sum())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"])
+            got = [one(t.as_py(), known.as_py()) for t, known in zip(batch.column(1), batch.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())],
+                ["id", "lang_pred", "score"],
+            )
 
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.col(text_col).cast("string")
-    slim = docs.select(F.col(id_col).alias("id"), text.alias("t"), F.coalesce(text.rlike(LETTER), F.lit(False)).alias("letters"))
+    slim = docs.select(F.col(id_col).alias("id"), text.alias("t"), _has_letter(text).alias("letters"))
     out = slim.mapInArrow(run, f"id {kind}, lang_pred string, score double")
     return out.withColumn("rejected", (F.col("lang_pred") == "und") | (F.col("score") < model.threshold))
 
 
+def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that are rejected, columns unchanged."""
+    one, names = _predictor(model), docs.columns
+    at = names.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            scores = [one(t.as_py(), known.as_py())[1] for t, known in zip(batch.column(at), batch.column(batch.num_columns - 1), strict=True)]
+            keep = pa.array([s >= model.threshold and s > 0 for s in scores], pa.bool_())
+            table = pa.Table.from_batches([batch]).filter(keep)
+            yield from table.select(range(batch.num_columns - 1)).to_batches()
+
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    flagged = plain.withColumn("letters", _has_letter(F.col(f"c{at}").cast("string")))
+    return flagged.mapInArrow(run, plain.schema).toDF(*names)
+
+
 def training_fold(id_col: str = "doc_id") -> Column:
     """Rows that may be learned from: crc32 of the id as text is not divisible by 5."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 != 0

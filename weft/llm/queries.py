@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import decontam, htmlmain, kdtree, langid, packing, sharding, simhash, tokenstore
+from weft.llm import decontam, htmlmain, kdtree, langid, license, linededup, packing, sharding, simhash, tokenstore
 from weft.session import table
 
 END_ID = 2
@@ -33,6 +33,16 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license.scan(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "license", "containment")
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = kdtree.whole_numbers(table(spark, sf_dir, "embeddings"))
     return kdtree.top_k(rows.where("id % 50 = 0"), rows, 5)
@@ -69,6 +79,8 @@ def queries():
         "op1_language_id": op1_language_id,
         "op2_html_main_text": op2_html_main_text,
         "op3_decontaminate": op3_decontaminate,
+        "op4_license_scan": op4_license_scan,
+        "op5_line_dedup": op5_line_dedup,
         "op6_exact_top_k": op6_exact_top_k,
         "op7_token_ids": op7_token_ids,
         "op8_near_duplicates": op8_near_duplicates,
@@ -95,4 +107,4 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 
 
 def oracle_sql():
-    return {"op6_exact_top_k": _TOP_K}
+    return {"op4_license_scan": license.oracle_sql(), "op6_exact_top_k": _TOP_K}
