@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: tuple = ()
+from weft.plans import graph_queries
+
+MODULES = (graph_queries,)
 
 
 def queries() -> dict:
