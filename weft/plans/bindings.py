@@ -1,7 +1,7 @@
 """The reference data model on the given tables, as DataFrames and as SQL.
 
 Alignments are line items: the supplier's nation hands work to the customer's nation
-with the order's priority as confidence and 9.7 times the discount as retrieval score.
+with the order's priority as confidence and the root of ten times the discount as retrieval score.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ TYPE_SQL = """CASE WHEN l_returnflag = 'R' THEN 'data_state_handoff'
 
 ALIGNMENTS_SQL = f"""alignments AS (
   SELECT CAST(s_nationkey AS BIGINT) AS source, CAST(c_nationkey AS BIGINT) AS target,
-    CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS confidence, l_discount * 9.7 AS retrieval_score,
+    CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS confidence, sqrt(l_discount * 10) AS retrieval_score,
     {TYPE_SQL} AS alignment_type, substr(o_orderpriority, 1, 1) <> '1' AS compatible
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey
   JOIN customer ON o_custkey = c_custkey)"""
@@ -61,7 +61,7 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.substring("o_orderpriority", 1, 1)
     return joined.select(
         F.col("s_nationkey").cast("long").alias("source"), F.col("c_nationkey").cast("long").alias("target"),
-        first.cast("int").alias("confidence"), (F.col("l_discount") * 9.7).alias("retrieval_score"),
+        first.cast("int").alias("confidence"), F.sqrt(F.col("l_discount") * 10).alias("retrieval_score"),
         F.expr(TYPE_SQL).alias("alignment_type"), (first != "1").alias("compatible"),
     )
 

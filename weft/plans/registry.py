@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weft.plans import graph_queries
+from weft.plans import graph_queries, vector_queries
 
-MODULES = (graph_queries,)
+MODULES = (graph_queries, vector_queries)
 
 
 def queries() -> dict:
