@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 14
 DIM = 16
-PER_LANGUAGE = 1_000
+PER_LANGUAGE = 400
 EPOCHS = 8
 REJECT = 0.001
 THIN = (8, 16, 32, 64, 128)  # n-grams of a text that is thinned in training
@@ -158,16 +158,18 @@ def fit(docs: DataFrame, id_col: str, text_col: str, label_col: str, where: Colu
                 c = bucket_counts(t.as_py())
                 at = np.nonzero(c)[0]
                 ids.append(at.astype(np.int32))
-                counts.append(c[at])
+                counts.append(c[at].astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int64()))],
+                [batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))],
                 ["id", "l", "ids", "counts"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = chosen.mapInArrow(run, f"id {kind}, l string, ids array<int>, counts array<bigint>")
-    got = sorted(rows.toArrow().to_pylist(), key=lambda r: (r["id"], r["l"]))
-    return train([(r["l"], np.array(r["ids"], np.int64), np.array(r["counts"], np.float64)) for r in got])
+    rows = chosen.mapInArrow(run, f"id {kind}, l string, ids array<int>, counts array<int>")
+    got = rows.toArrow().combine_chunks()  # numpy views of it below: no Python number per entry
+    order = sorted(range(got.num_rows), key=lambda i: (got["id"][i].as_py(), got["l"][i].as_py()))
+    ids, counts = ([x.values.to_numpy() for x in got[c]] for c in ("ids", "counts"))
+    return train([(got["l"][i].as_py(), ids[i], counts[i]) for i in order])
 
 
 def _predictor(model: Model):
