@@ -212,8 +212,9 @@ def oracle_sql():
               CASE WHEN passed + failed + skipped = 0 THEN 0.0 ELSE round(passed / (passed + failed + skipped), 6) END AS success_rate, code = 0 AND passed > 0 AND failed = 0 AS all_passed FROM y""",
         "text_profile": r"""SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INTEGER) AS lines, CAST(len(regexp_extract_all(text, '[^ \t\n\r\f\v]+')) AS INTEGER) AS words,
             CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^#+ '))) AS INTEGER) AS headings, contains(text, '```') AS has_code FROM documents""",
-        "csv_profile": f"""WITH o AS (SELECT o_orderstatus, CAST(o_totalprice AS VARCHAR) AS o_totalprice, CAST(o_orderdate AS VARCHAR) AS o_orderdate, o_orderpriority FROM orders),
-            l AS (UNPIVOT INCLUDE NULLS o ON o_orderstatus, o_totalprice, o_orderdate, o_orderpriority INTO NAME name VALUE value),
+        "csv_profile": f"""WITH l AS (
+              SELECT 'o_orderstatus' AS name, o_orderstatus AS value FROM orders UNION ALL SELECT 'o_totalprice', CAST(o_totalprice AS VARCHAR) FROM orders
+              UNION ALL SELECT 'o_orderdate', CAST(o_orderdate AS VARCHAR) FROM orders UNION ALL SELECT 'o_orderpriority', o_orderpriority FROM orders),
             t AS (SELECT name, count(*) AS n, count(DISTINCT value) AS different, count(TRY_CAST(value AS DOUBLE)) AS numbers, count(*) FILTER (regexp_matches(value, '{s.DATE_PATTERN}')) AS dates, count(*) FILTER (value IS NULL) AS missing FROM l GROUP BY name)
             SELECT name, n, different, CASE WHEN numbers = n THEN 'numeric' WHEN dates = n THEN 'datetime' WHEN different < 0.5 * n THEN 'categorical' ELSE 'text' END AS kind, round(missing / n, 3) AS missing_ratio FROM t""",
         "json_profile": "SELECT key, event_type, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS key, event_type FROM events) GROUP BY 1, 2",

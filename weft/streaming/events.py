@@ -22,10 +22,11 @@ def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 4) -> D
 
 def window_counts(events: DataFrame, every: str = "1 day", late: str = "2 days") -> DataFrame:
     """Events and values per type and tumbling window; rows later than the watermark are left out."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
     return (
-        events.withWatermark("ts", late).groupBy(F.window("ts", every), "event_type")
+        timed.withWatermark("ts", late).groupBy(F.window("ts", every), "event_type")
         .agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
-        .select(F.col("window.start").alias("start"), "event_type", "n", "total")
+        .select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
     )
 
 
