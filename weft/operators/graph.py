@@ -225,3 +225,44 @@ def quality_topn(tasks: DataFrame, n: int = 1000) -> DataFrame:
     """The best tasks of each category, with their rank."""
     w = Window.partitionBy("category").orderBy(F.desc("task_quality_score"), F.desc("mean_edge_score"), "path")
     return tasks.withColumn("task_rank", F.row_number().over(w)).where(F.col("task_rank") <= n)
+
+
+def category_stats(tasks: DataFrame, kept: int = 1000) -> DataFrame:
+    """Per category: raw and kept tasks, the best score, and how many nodes the tasks touch."""
+    tally = tasks.groupBy("category").agg(
+        F.count(F.lit(1)).alias("raw"), F.least(F.count(F.lit(1)), F.lit(kept).cast("long")).alias("kept"), F.max("task_quality_score").alias("best")
+    )
+    nodes = tasks.select("category", F.explode("path").alias("node")).groupBy("category").agg(F.count_distinct("node").alias("nodes"))
+    return tally.join(nodes, "category")
+
+
+def greedy_coverage(tasks: DataFrame, picks: int, target: str = "edge") -> DataFrame:
+    """Tasks picked one by one for the most uncovered edges (or ``node``s, or ``both``), ties to quality.
+
+    ``tasks`` are stored, scored paths. Each pick is one aggregation over all tasks; only
+    the picked row comes to the driver, so the covered set holds at most ``picks`` paths.
+    """
+    edges = F.transform(F.slice("path", 1, F.size("path") - 1), lambda n, i: F.concat_ws(">", n, F.element_at("path", i + 2)))
+    sized = tasks.withColumns({"_edges": edges, "_nodes": F.transform("path", lambda n: n.cast("string")), "_key": F.array_join("path", ",")})
+    covered_edges: list[str] = []
+    covered_nodes: list[str] = []
+    chosen: list[tuple] = []
+
+    def fresh(column: str, covered: list[str]) -> Column:
+        if not covered:
+            return F.size(F.array_distinct(column))
+        return F.size(F.array_except(column, F.array(*[F.lit(x) for x in covered])))
+
+    for place in range(1, picks + 1):
+        new_edges, new_nodes = fresh("_edges", covered_edges), fresh("_nodes", covered_nodes)
+        first = {"edge": new_edges, "node": new_nodes, "both": new_edges + new_nodes}[target]
+        second = new_nodes if target == "edge" else new_edges
+        left = sized.where(~F.col("_key").isin([c[1] for c in chosen])) if chosen else sized
+        rank = F.struct(first.alias("a"), second.alias("b"), "task_quality_score", "mean_edge_score", F.transform("path", lambda n: -n).alias("n"))
+        best = left.agg(F.max_by(F.struct("_key", "_edges", "_nodes", first.alias("gain")), rank).alias("x")).first().x
+        if best is None:
+            break
+        chosen.append((place, best["_key"], best["gain"]))
+        covered_edges = list(dict.fromkeys(covered_edges + best["_edges"]))
+        covered_nodes = list(dict.fromkeys(covered_nodes + best["_nodes"]))
+    return tasks.sparkSession.createDataFrame(chosen, "place int, path string, gain int")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weft.operators import graph
 from weft.plans.bindings import EDGES_SQL, TRIM_SQL, alignments, edges
-from weft.session import table
+from weft.session import materialize, table
 
 
 def _edges(spark, d):
@@ -75,6 +75,20 @@ def diamond_5(spark, d):
     return _scored(spark, d, make)
 
 
+def greedy_coverage(spark, d):
+    """The 20 three-node chains that cover most edges, picked one by one."""
+    e = edges(spark, d)
+    tasks = materialize(graph.score_tasks(graph.chains(graph.trim_out(e), 3), e))
+    return graph.greedy_coverage(tasks, 20)
+
+
+def category_stats(spark, d):
+    e = edges(spark, d)
+    outs = graph.trim_out(e)
+    tasks = graph.chains(outs, 2).unionByName(graph.chains(outs, 3)).unionByName(graph.chains(outs, 4)).unionByName(graph.fan_out(outs, 3))
+    return graph.category_stats(graph.score_tasks(tasks, e))
+
+
 def pair_jobs(spark, d):
     """Compatible alignments grouped per pair, with the reason why others are passed over."""
     a = alignments(spark, d).withColumn(
@@ -125,6 +139,21 @@ _TAILED = f"""SELECT a, b, c, d, t, e + te AS e FROM (
   FROM ({_DIAMOND}) x JOIN outs o ON o.source = d WHERE o.target NOT IN (a, b, c, d)) WHERE n = 1"""
 
 
+def _stats_sql(sql):
+    inner = sql[: sql.index("numbered AS (")].rstrip().rstrip(",")
+    category = sql.split("SELECT '")[-1].split("'")[0]
+    return f"""SELECT '{category}' AS category, count(*) AS raw, least(count(*), 1000) AS kept, max(task_quality_score) AS best,
+      (SELECT count(DISTINCT n) FROM (SELECT unnest(p) AS n FROM x)) AS nodes FROM x""", inner
+
+
+def _all_stats_sql():
+    parts = []
+    for sql in (_chain_sql(2), _chain_sql(3), _chain_sql(4), _fan_sql(3, True)):
+        select, inner = _stats_sql(sql)
+        parts.append(f"SELECT * FROM ({inner}, x AS (SELECT * FROM ranked) {select})")
+    return " UNION ALL ".join(parts)
+
+
 def queries():
     out = {
         "flagship_best_chains": _chain(3),
@@ -135,10 +164,12 @@ def queries():
         "degrees": degrees,
         "graph_stats": graph_stats,
         "pair_jobs": pair_jobs,
+        "greedy_coverage": greedy_coverage,
+        "category_stats": category_stats,
         "diamond_4": diamond_4,
         "diamond_5": diamond_5,
     }
-    out |= {f"chain_{n}": _chain(n) for n in (2, 4)}
+    out |= {f"chain_{n}": _chain(n) for n in (2, 4, 5)}
     out |= {f"fan_out_{n}": _fan_out(n) for n in (3, 4, 5)}
     out |= {f"fan_in_{n}": _fan_in(n) for n in (3, 4, 5)}
     return out
@@ -162,10 +193,11 @@ def oracle_sql():
         "pair_jobs": f"""WITH {EDGES_SQL} SELECT source, target, CASE WHEN source = target THEN 'self_pair'
               WHEN NOT (compatible AND alignment_type NOT IN ('duplicate_or_alternative', 'topical_only', 'incompatible')) THEN 'not_compatible' ELSE 'job' END AS reason,
               count(*) AS n, max(confidence) AS best FROM alignments GROUP BY ALL""",
+        "category_stats": _all_stats_sql(),
         "diamond_4": "WITH " + _tail("diamond_4", "[a, b, c, d]", "e", 4, _DIAMOND, 4),
         "diamond_5": "WITH " + _tail("diamond_5", "[a, b, c, d, t]", "e", 5, _TAILED, 5),
     }
-    out |= {f"chain_{n}": _chain_sql(n) for n in (2, 4)}
+    out |= {f"chain_{n}": _chain_sql(n) for n in (2, 4, 5)}
     out |= {f"fan_out_{n}": _fan_sql(n, True) for n in (3, 4, 5)}
     out |= {f"fan_in_{n}": _fan_sql(n, False) for n in (3, 4, 5)}
     return out
