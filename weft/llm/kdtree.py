@@ -33,6 +33,7 @@ from weft.session import materialize
 LEAF = 256
 SHARD_ROWS = 16_384
 BLOCK_ROWS = 1_024
+NO_FLOOR = -(2**63)
 
 
 class KDTree:
@@ -58,7 +59,7 @@ class KDTree:
             self.kids[me] = (self._build(points, order, a, a + mid), self._build(points, order, a + mid, b))
         return me
 
-    def search(self, query: np.ndarray, own: int, k: int, floor: float = -np.inf) -> list[tuple[float, int]]:
+    def search(self, query: np.ndarray, own: int, k: int, floor: float = NO_FLOOR) -> list[tuple[int, int]]:
         """The k best (score, id) with score >= floor; the point with id ``own`` is left out."""
         bound = np.maximum(query * self.low, query * self.high).sum(1).tolist()
         heap, found = [(-bound[0], 0)], []  # found: a heap whose top is the worst kept
@@ -74,7 +75,7 @@ class KDTree:
             a, b = self.span[node]
             scores = self.points[a:b] @ query
             for i in np.nonzero(scores >= floor)[0].tolist():
-                item = (scores[i].item(), -int(self.ids[a + i]))
+                item = (int(scores[i]), -int(self.ids[a + i]))  # whole numbers in either type
                 if -item[1] == own:
                     continue
                 if len(found) < k:
@@ -103,8 +104,7 @@ def _search(k: int):
             both = _matrix(pd.concat([points.v, mine.v], ignore_index=True))
             tree = KDTree(both[: len(points)], points.id.to_numpy(np.int64))
             for q, own, floor in zip(both[len(points) :], mine.id.tolist(), mine.floor.tolist(), strict=True):
-                start = -np.inf if floor != floor or floor is None else floor
-                rows += [(own, i, int(s)) for s, i in tree.search(q, own, k, start)]
+                rows += [(own, i, s) for s, i in tree.search(q, own, k, floor)]
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     return run
@@ -136,9 +136,9 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
 
         return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
 
-    first = materialize(meet(asked.select("id", "v", "block", home.alias("shard"), F.lit(None).cast("double").alias("floor"))))
-    kth = first.groupBy("query_id").agg(F.min("score").cast("double").alias("floor"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
-    with_floor = asked.join(kth.select(F.col("query_id").alias("id"), "floor"), "id", "left")
+    first = materialize(meet(asked.select("id", "v", "block", home.alias("shard"), F.lit(NO_FLOOR).alias("floor"))))
+    kth = first.groupBy("query_id").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+    with_floor = asked.join(kth.select(F.col("query_id").alias("id"), "floor"), "id", "left").fillna({"floor": NO_FLOOR})
     others = with_floor.select("id", "v", "block", "floor", home.alias("home"), F.explode(every).alias("shard")).where("shard <> home")
     found = first if shards == 1 else first.unionByName(meet(others.drop("home")))
     return best(found).select("query_id", "rank", "vec_id", "score")
