@@ -122,7 +122,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
         raise ValueError("templates need at least one shingle each")
     rows = [(name, size_class(len(s)), s) for name, s in listed.items()]
     known = spark.createDataFrame(rows, "license string, size int, shingles array<string>")
-    banded = known.select("license", "size", F.posexplode(_bands(F.transform("shingles", lambda s: F.xxhash64(s)))).alias("band", "low"))
+    banded = known.withColumn("h", F.transform("shingles", lambda s: F.xxhash64(s))).select("license", "size", F.posexplode(_bands(F.col("h"))).alias("band", "low"))
 
     text = F.col(text_col).cast("string")
     needed = sorted({w for t in templates.values() for w in needed_words(t)})
@@ -132,7 +132,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     every = F.array(*[F.lit(s) for s in sorted({s for x in listed.values() for s in x})])
     shingled = words.select("id", _shingle_texts(F.col("words")).alias("s"))
     starts = F.filter(F.transform("s", lambda x, i: F.when(F.array_contains(every, x), i)), lambda i: i.isNotNull())
-    at = shingled.select("id", "s", starts.alias("at")).where(F.size("at") > 0)
+    at = shingled.select("id", "s", starts.alias("at"))  # no filter here: it would compute the arrays twice; explode drops empty ones
 
     sizes = sorted({r[1] for r in rows})
     spans = F.array(*[F.lit(s) for s in sizes])
@@ -156,8 +156,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     w = at.select("id", "s", F.explode(windows).alias("w")).select(
         "id", "w.size", "w.k", F.slice("s", (F.col("w.k") * F.col("w.size") / 2).cast("int") + 1, (F.col("w.size") * 3 / 2).cast("int")).alias("s")
     )
-    w = w.where(F.size("s") > 0).select("id", "size", "k", F.array_distinct("s").alias("s"))
-    probes = w.select("id", "size", "k", "s", F.posexplode(_bands(F.transform("s", lambda x: F.xxhash64(x)))).alias("band", "low"))
+    w = w.select("id", "size", "k", F.array_distinct("s").alias("s"))
+    w = w.withColumn("h", F.transform("s", lambda x: F.xxhash64(x)))
+    probes = w.select("id", "size", "k", "s", F.posexplode(_bands(F.col("h"))).alias("band", "low"))
     candidates = probes.join(banded, ["size", "band", "low"]).select("id", "k", "s", "license")
     held = F.size(F.array_intersect("s", "shingles")) / F.size("shingles")
     verified = candidates.join(known.select("license", "shingles"), "license").select("id", "license", held.alias("containment"))
