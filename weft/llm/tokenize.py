@@ -14,12 +14,17 @@ encoded directly.
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 _MARK = "\x01"
+#: A chunk's first run of letters, parted from what follows: tokens start anew at ASCII marks and line ends.
+#: A capital I with a dot is left out: in lower case it ends in a mark that joins what follows.
+_HEAD = re.compile(r"( ?[^\W\d_\u0130]+)([!-/:-@\[-`{-~\n].*)", re.S)
+_LINE = re.compile(r"(?<=\S)\n(?=\S)")
 GENERATION = 500_000  # chunks in one generation of the memory
 LONGEST = 48  # characters of the longest chunk that is remembered
 _JOIN = 100_000  # characters encoded in one call
@@ -73,20 +78,43 @@ class ChunkEncoder:
             out[c] = np.array(self.raw(c), "<u4").tobytes()
         return out
 
+    def _parts(self, chunk: str) -> list[str]:
+        """The chunk in pieces whose ids follow each other: at single line ends, and after a first word."""
+        out = []
+        for i, line in enumerate(_LINE.split(chunk)):
+            if i:
+                out.append("\n")
+            m = _HEAD.fullmatch(line)
+            out += m.groups() if m else (line,)
+        return out
+
     def _lookup(self, chunks: list[str]) -> list[bytes]:
-        young, old, new, direct = self.young, self.old, [], {}
+        young, old, new, direct, made = self.young, self.old, set(), {}, {}
+
+        def known(c: str) -> bool:
+            if c in young:
+                return True
+            got = old.get(c)
+            if got is not None:
+                young[c] = got
+            return got is not None
+
         for c in chunks:
-            if c not in young:
-                got = old.get(c)
-                if got is not None:
-                    young[c] = got
-                elif len(c) <= LONGEST:
-                    new.append(c)
-                else:
-                    direct[c] = np.array(self.raw(c), "<u4").tobytes()
+            if c in young or known(c):
+                continue
+            parts = self._parts(c)
+            if len(parts) > 1:
+                made[c] = parts
+            for p in parts:
+                if len(p) > LONGEST:
+                    direct[p] = np.array(self.raw(p), "<u4").tobytes()
+                elif p not in new and not known(p):
+                    new.add(p)
         if new:
-            young.update(self._learn(new))
-        out = [direct[c] if len(c) > LONGEST else young[c] for c in chunks] if direct else [young[c] for c in chunks]
+            young.update(self._learn(list(new)))
+        for c, parts in made.items():  # not remembered: their parts are
+            direct[c] = b"".join([direct[p] if len(p) > LONGEST else young[p] for p in parts])
+        out = [direct[c] if c in direct else young[c] for c in chunks] if direct else [young[c] for c in chunks]
         if len(young) > GENERATION:
             self.old, self.young = young, {}
         return out
