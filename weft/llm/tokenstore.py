@@ -123,7 +123,7 @@ def _is_escape(words: np.ndarray, at: int) -> bool:
     return run % 2 == 0
 
 
-ROW = "part int, nth bigint, docs bigint, ids bigint, keys binary, starts binary, words binary, blocks binary"
+ROW = "part int, nth bigint, before bigint, docs bigint, ids bigint, keys binary, starts binary, words binary, blocks binary"
 
 
 def write(
@@ -131,18 +131,18 @@ def write(
 ) -> None:
     """Encode whole texts in ascending ``id_col`` and write the files."""
 
-    def row(part, nth, keys, ids):
+    def row(part, nth, before, keys, ids):
         sizes = np.array([len(x) for x in ids], "<u8")
         words, blocks = encode(np.concatenate(ids))
         nulls = np.array([k is None for k in keys])
         names = np.array([0 if k is None else k for k in keys], "<i8").tobytes() + np.packbits(nulls).tobytes()
         starts = np.concatenate(([0], np.cumsum(sizes))).astype("<u8").tobytes()
-        return part, nth, len(keys), int(sizes.sum()), names, starts, words.tobytes(), blocks.tobytes()
+        return part, nth, before, len(keys), int(sizes.sum()), names, starts, words.tobytes(), blocks.tobytes()
 
     def run(batches):
         from pyspark import TaskContext
 
-        part, nth, keys, ids, held = TaskContext.get().partitionId(), 0, [], [], 0
+        part, nth, before, keys, ids, held = TaskContext.get().partitionId(), 0, 0, [], [], 0
         for batch in batches:
             names = batch.column(0).to_pylist()
             for start, texts in batches_of(batch.column(1).to_pylist()):
@@ -151,13 +151,13 @@ def write(
                     ids.append(x)
                     held += len(x)
                     if held >= ROW_IDS:
-                        yield to_batch([row(part, nth, keys, ids)])
-                        nth, keys, ids, held = nth + 1, [], [], 0
+                        yield to_batch([row(part, nth, before, keys, ids)])
+                        nth, before, keys, ids, held = nth + 1, before + held, [], [], 0
         if keys:
-            yield to_batch([row(part, nth, keys, ids)])
+            yield to_batch([row(part, nth, before, keys, ids)])
 
     def to_batch(rows):
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
+        kinds = [pa.int32(), *[pa.int64()] * 4, *[pa.binary()] * 4]
         names = [x.split()[0] for x in ROW.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
@@ -171,13 +171,11 @@ def write(
 def read(spark, path: str) -> DataFrame:
     """Rows (id, start, n_tokens, ids): every document of the files, decoded. ``ids`` is little-endian uint32."""
     rows = spark.read.schema(ROW).parquet(path)
-    # Where each row's ids start: partitions are few numbers, rows of one partition follow each other.
-    within = Window.partitionBy("part").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    # Rows know the ids before them in their partition; the partitions' sizes are one small row each.
     sizes = rows.groupBy("part").agg(F.sum("ids").alias("ids"))
     across = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select("part", F.coalesce(F.sum("ids").over(across), F.lit(0)).alias("base"))
-    index = rows.select("part", "nth", F.coalesce(F.sum("ids").over(within), F.lit(0)).alias("inner")).join(base, "part")
-    placed = rows.join(index.select("part", "nth", (F.col("base") + F.col("inner")).alias("first")), ["part", "nth"])
+    placed = rows.join(F.broadcast(base), "part").withColumn("first", F.col("base") + F.col("before"))
 
     def run(batches):
         for batch in batches:
