@@ -39,7 +39,7 @@ def is_used_alignment(min_confidence: int = 3) -> Column:
 
 def edge_aggregate(alignments: DataFrame) -> DataFrame:
     """One edge per (source, target) without self pairs: counts, types, means and maxima; ids in order of the pair."""
-    types = F.array_sort(F.array_distinct(F.filter(F.collect_list("alignment_type"), lambda t: t != "")))
+    types = F.array_sort(F.filter(F.collect_set("alignment_type"), lambda t: t != ""))  # a set: a map task sends a type once
     edges = (
         alignments.where("source <> target")
         .groupBy("source", "target")
