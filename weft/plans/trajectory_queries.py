@@ -138,14 +138,15 @@ def content_type_groups(spark, d):
 
 
 def event_windows(spark, d):
-    return stream.run_available(stream.window_counts(stream.read_events(spark, d), late="60 days"), "update").groupBy("start", "event_type").agg(
+    return stream.run_available(stream.window_counts(stream.read_events(spark, d), late=None), "update").groupBy("start", "event_type").agg(
         F.max_by("n", "batch").alias("n"), F.max_by("total", "batch").alias("total")
     )
 
 
 def exploration_state(spark, d):
     rows = stream.run_available(stream.exploration_state(stream.read_events(spark, d)), "update")
-    return rows.groupBy("user_id").agg(*[F.max_by(c, "batch").alias(c) for c in ("chunks", "tested", "idle")])
+    last = rows.groupBy("user_id").agg(*[F.max_by(c, "batch").alias(c) for c in ("chunks", "tested", "last_new")])
+    return stream.idle_runs(last, table(spark, d, "events"))
 
 
 def queries():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -20,33 +21,47 @@ def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 4) -> D
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def window_counts(events: DataFrame, every: str = "1 day", late: str = "2 days") -> DataFrame:
-    """Events and values per type and tumbling window; rows later than the watermark are left out."""
+def window_counts(events: DataFrame, every: str = "1 day", late: str | None = "2 days") -> DataFrame:
+    """Events and values per type and tumbling window; rows later than the watermark are left out (none without one)."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    timed = timed.withWatermark("ts", late) if late else timed
     return (
-        timed.withWatermark("ts", late).groupBy(F.window("ts", every), "event_type")
+        timed.groupBy(F.window("ts", every), "event_type")
         .agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
         .select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
     )
 
 
-STATE = "user_id bigint, chunks int, tested int, idle int"
+STATE = "user_id bigint, chunks int, tested int, last_new bigint"
 
 
 def exploration_state(events: DataFrame) -> DataFrame:
-    """Per user: events seen, different types tried, and events in a row that brought no new type. Keyed state."""
+    """Per user: events seen, different types tried, and the event that brought the last new type.
+
+    The keyed state holds the first event of each type, so the last row of a user is the
+    same in whatever order and triggers the events come; see :func:`idle_runs`.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        chunks, seen, idle = state.get if state.exists else (0, "", 0)
-        types = set(seen.split("|")) if seen else set()
-        rows = pd.concat(list(batches)).sort_values("event_id")
-        for kind in rows.event_type:
-            chunks, idle = chunks + 1, 0 if kind not in types else idle + 1
-            types.add(kind)
-        state.update((chunks, "|".join(sorted(types)), idle))
-        yield pd.DataFrame({"user_id": [key[0]], "chunks": [chunks], "tested": [len(types)], "idle": [idle]})
+        chunks, firsts = state.get if state.exists else (0, "[]")
+        first = dict(json.loads(firsts))
+        for rows in batches:
+            chunks += len(rows)
+            for kind, event in rows.groupby("event_type", dropna=False).event_id.min().items():
+                kind = None if pd.isna(kind) else kind
+                first[kind] = min(first.get(kind, int(event)), int(event))
+        state.update((chunks, json.dumps(list(first.items()))))
+        yield pd.DataFrame({"user_id": [key[0]], "chunks": [chunks], "tested": [len(first)], "last_new": [max(first.values())]})
+
+    slim = events.select("user_id", "event_id", "event_type")
+    return slim.groupBy("user_id").applyInPandasWithState(step, STATE, "chunks int, firsts string", "update", GroupStateTimeout.NoTimeout)
+
 
-    return events.groupBy("user_id").applyInPandasWithState(step, STATE, "chunks int, seen string, idle int", "update", GroupStateTimeout.NoTimeout)
+def idle_runs(state: DataFrame, events: DataFrame) -> DataFrame:
+    """Each user's last state with ``idle``: how many of the events came after the one of ``last_new``."""
+    after = events.select(F.col("user_id").alias("u"), "event_id").join(state.select("user_id", "last_new"), F.col("u").eqNullSafe(F.col("user_id")))
+    idle = after.where("event_id > last_new").groupBy("u").agg(F.count(F.lit(1)).cast("int").alias("idle"))
+    return state.join(idle, F.col("user_id").eqNullSafe(F.col("u")), "left").select("user_id", "chunks", "tested", F.coalesce("idle", F.lit(0)).alias("idle"))
 
 
 def run_available(stream: DataFrame, mode: str) -> DataFrame:
@@ -84,4 +99,4 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_stream(spark, f"{sf_dir}/events.parquet*")
 
 
-__all__ = ["exploration_state", "read_events", "read_stream", "resume", "run_available", "table", "window_counts"]
+__all__ = ["exploration_state", "idle_runs", "read_events", "read_stream", "resume", "run_available", "table", "window_counts"]
