@@ -39,6 +39,8 @@ _PUNCT = re.compile(r"[.,;:!?…。，、；：！？]")
 #: HTML's own sets of elements.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
+#: The end tags of these, in any case of A-Z and in no other letters (a dotted capital I is no I).
+_CLOSE = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I | re.A) for tag in RAW}
 BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure"
     " footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary"
@@ -118,7 +120,7 @@ def blocks(page: str) -> list[Block]:
             if state["anchor"]:
                 state["linked"] += len(plain.strip())
 
-    at, end, low = 0, len(page), None
+    at, end = 0, len(page)
     while at < end:
         m = _TOKEN.search(page, at)
         if not m:
@@ -152,9 +154,8 @@ def blocks(page: str) -> list[Block]:
                 if i is not None:
                     pop(i)
             if tag in RAW:  # its content is no markup
-                low = low or page.lower()
-                close = low.find(f"</{tag}", at)
-                at = end if close < 0 else close
+                close = _CLOSE[tag].search(page, at)
+                at = close.start() if close else end
             drop = _drops(tag, attrs, state["article"] > 0)
             if drop and tag not in BLOCK and not state["drop"]:
                 parts.append(" ")
