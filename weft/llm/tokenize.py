@@ -7,8 +7,8 @@ is split and its distinct chunks found in Arrow; each Python worker keeps the id
 chunks it has seen, in two generations of bounded size (a full young one becomes the
 old one, and what is used again moves back), and sends only new ones to the library,
 many in one string, parted by a control character whose id marks where one ends.
-Texts that hold that character, or spaces in a row where those make tokens, are
-encoded directly.
+Texts that hold that character, spaces in a row where those make tokens, or the literal
+of an added token, are encoded directly.
 """
 
 from __future__ import annotations
@@ -31,14 +31,21 @@ _JOIN = 100_000  # characters encoded in one call
 
 
 class ChunkEncoder:
-    """Encodes texts with one tokenizer file; ``encode`` returns uint32 arrays."""
+    """Encodes texts with one tokenizer file; ``encode`` returns uint32 arrays.
 
-    def __init__(self, path: str):
+    ``special``: the literal of an added token in a text is that token's id, as the library
+    has it by default; else it is text like any other.
+    """
+
+    def __init__(self, path: str, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = not special
+        added = self.tok.get_added_tokens_decoder().values() if special else ()
+        self.literals = [t.content for t in added if not t.normalized]
+        self.normal_literals = [t.content for t in added if t.normalized]  # found in the normalised text
         # White space makes no token: chunks are plain words. Otherwise it belongs to the chunk.
         self.plain = not self.raw(" ") and not self.raw("\n")
         self.mark = self.raw(_MARK)
@@ -120,7 +127,13 @@ class ChunkEncoder:
         return out
 
     def _direct(self, text: str) -> bool:
-        return _MARK in text or (not self.plain and "  " in text)
+        if _MARK in text or (not self.plain and "  " in text) or any(x in text for x in self.literals):
+            return True
+        if not self.normal_literals:
+            return False
+        norm = self.tok.normalizer
+        plain = norm.normalize_str(text) if norm else text
+        return any((norm.normalize_str(x) if norm else x) in plain for x in self.normal_literals)
 
     def encode(self, texts: list[str | None], end_id: int | None = None) -> list[np.ndarray]:
         """Ids of whole texts (None: empty) as uint32, each followed by ``end_id`` if given."""
@@ -164,9 +177,9 @@ _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
 def encoder(path: str) -> ChunkEncoder:
-    """This worker's encoder for a tokenizer file."""
+    """This worker's encoder for a tokenizer file, as the library encodes by default."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
+        _ENCODERS[path] = ChunkEncoder(path, special=True)
     return _ENCODERS[path]
 
 
