@@ -1,19 +1,24 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read once into text blocks, each under a path of tags from the root to its
-leaf. Per path, the length of text and the number of punctuation marks are summed and
-divided by the number of blocks: articles repeat one path with long, punctuated blocks,
-menus repeat one with short bare ones. The two ratios are smoothed along the page's
-blocks (a Gaussian over neighbours), fused by their product and thresholded; paths over
-the threshold are content paths. The content's root is the innermost element that holds
-nearly all the text of these paths; every block inside it that is not boilerplate by its
-own element (menus, forms, asides, adverts, comments) or by its links belongs to the
-text, so that headings and short paragraphs stay.
+A page is read once into text blocks, each at the end of a path of tags from the root to its
+leaf. Per path, the length of text outside links and the number of punctuation marks are
+summed and divided by the number of blocks: articles repeat one path with long, punctuated
+blocks, menus repeat one with short bare ones. The two ratios are smoothed along the page's
+blocks (a Gaussian over neighbours), fused by their product and thresholded; paths over the
+threshold are content paths. The content's root is the innermost element that holds nearly
+all the text of these paths, widened to the article or main element around it and to a
+heading of the first rank before it. All text inside the root is kept, so headings, short
+paragraphs and linked ones stay, except for elements that can be no part of an article:
+those that HTML defines so (menus, asides, forms and the like) and those whose whole class,
+id or role names boilerplate (``_NAMED``; never for an element that holds an
+article or main element or nearly all text), and lists of nothing but links that stand before
+or after all content blocks.
 
 Defined results: NULL or empty html, or html without text, gives an empty text;
 unclosed and stray tags are taken as browsers do in the plain cases; tags cut off at the
-end of a page are dropped; very deep or long pages take linear time; other columns are
-ignored; repeated rows give repeated rows.
+end of a page are dropped; pages of any depth and length are read whole, in linear time;
+other columns are ignored, whatever their names; repeated rows give repeated rows; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,8 +37,7 @@ _TOKEN = re.compile(
     r"""|<([a-zA-Z][^\s/>]*)((?:[^'">]|"[^"]*"|'[^']*')*+)>|<[a-zA-Z][^>]*(?:>|\Z)""",
     re.S,
 )
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)|(?=[\s/]|$))""", re.I)
-_NAME = re.compile(r"[a-z0-9]+")
+_ATTR = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)|(?=[\s/]|$))""", re.I)
 _PUNCT = re.compile(r"[.,;:!?…。，、；：！？]")
 
 #: HTML's own sets of elements.
@@ -49,124 +53,180 @@ BLOCK = set(
 #: Elements whose text is never the article's.
 DROP = set(
     "script style noscript template head title nav aside footer form button select option textarea input iframe svg"
-    " object canvas audio video dialog menu noembed noframes xmp math search".split()
+    " object canvas audio video dialog menu noembed noframes xmp search".split()
 )
-#: Words in class, id or role that mark an element as no part of the article.
-MARKS = set(
-    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner banners nav"
-    " navbar navigation menu breadcrumb breadcrumbs sidebar aside rail footer masthead header topbar toolbar cookie"
-    " cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login"
-    " share sharing social related recommended recommendations comment comments disqus respond reply replies widget"
-    " widgets pagination pager copyright contentinfo complementary search searchform toc skip tags byline".split()
+ROLES = set("navigation banner complementary contentinfo search form alert alertdialog dialog menu menubar".split())
+#: Whole names of classes and ids of boilerplate: a family, with a place before it and a kind after it at most.
+_PLACE = "site|page|main|global|top|bottom|left|right|side|sub|primary|secondary|user|reader|post|article|entry|email|google|social|mobile"
+_KIND = (
+    "area|list|section|sections|box|block|bar|banner|slot|container|wrapper|wrap|widget|widgets|form|item|items|link|links|button|buttons|icons|post|posts"
+    "|article|articles|stories|notice|consent|message|popup|modal|overlay|unit|inner|body|content|text|signup|thread|left|right|top|bottom|primary|secondary|[0-9]+"
 )
+_FAMILY = (
+    "ads?|adverts?|advertisements?|advertising|sponsor|sponsors|sponsored|promo|promos|promotion|banner|navs?|navbar|navigation|menu|breadcrumbs?"
+    "|side-?bar|rail|footer|masthead|toolbar|topbar|cookies?|cookie-consent|cookie-notice|gdpr|consent|notices?|alerts?|popup|modal|overlay|newsletter"
+    "|subscribe|subscription|signup|login|share|sharing|social|related|recommended|recommendations|widgets?|pagination|pager|copyright|searchform|search"
+    "|toc|skip-link|aside"
+)
+_COMMENTS = "comments?|commentlist|comment-list|respond|disqus|disqus_thread|repl(?:y|ies)|discussion"
+_NAMED = re.compile(rf"(?:(?:{_PLACE})[-_]?)?(?:{_FAMILY})(?:[-_]?(?:{_KIND}))?")
+_HEADER = re.compile(r"(?:(?:site|page|global|top|main)[-_]?)?header")  # outside an article only
+_NAMED_COMMENTS = re.compile(rf"(?:(?:{_PLACE})[-_]?)?(?:{_COMMENTS})(?:[-_]?(?:{_KIND}))?")
 #: A tag that starts closes an open one of these, unless an element of the second set lies between.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select"})}
 SCOPE = {"html", "body", "table", "td", "th", "div", "article", "section", "main", "li", "blockquote", "aside", "nav", "header", "footer", "form", "caption"}
-MAX_DEPTH = 256
+KEEP, NAMED, COMMENTS, OUT = 0, 1, 2, 3  # what an element says of itself
 
 
-class Block:
-    __slots__ = ("text", "path", "roots", "links")
+def _says(tag: str, attrs: str, inside: bool) -> int:
+    """What an element's tag and attributes say; ``inside``: within an article or main element."""
+    if tag in DROP or (tag == "header" and not inside):
+        return OUT
+    said = KEEP
+    if attrs and tag not in ("html", "body", "main"):
+        for name, value in _ATTR.findall(attrs):
+            name, value = name.lower(), value.strip("\"'").lower()
+            if name == "hidden" or (name == "aria-hidden" and value == "true"):
+                return OUT
+            if name == "role":
+                said = max(said, NAMED if tag != "article" and value in ROLES else KEEP)
+            elif name in ("class", "id"):
+                for word in value.split():
+                    if _NAMED_COMMENTS.fullmatch(word):
+                        said = COMMENTS
+                    elif tag != "article" and (_NAMED.fullmatch(word) or not inside and _HEADER.fullmatch(word)):
+                        said = max(said, NAMED)
+    if said and tag not in BLOCK:  # a part of a line; an element of a page's own making may hold anything
+        return KEEP if "-" in tag else OUT
+    return said
 
-    def __init__(self, text: str, path: str, roots: tuple, links: float):
-        self.text, self.path, self.roots, self.links = text, path, roots, links
 
+class Page:
+    """Elements in order of their start, and text blocks in order, each at its innermost block element.
 
-def _drops(tag: str, attrs: str, inside: bool) -> bool:
-    """Whether an element starts boilerplate; ``inside``: within an article or main element."""
-    if tag in DROP or (tag == "header" and not inside):
-        return True
-    if not attrs or tag in ("html", "body", "article", "main"):
-        return bool(attrs) and tag == "article" and any("comment" in v.lower() for _, v in _ATTR.findall(attrs))
-    for name, value in _ATTR.findall(attrs):
-        name, words = name.lower(), _NAME.findall(value.lower())
-        if name == "hidden" or (name == "aria-hidden" and "true" in words):
-            return True
-        if name in ("class", "id", "role") and not MARKS.isdisjoint(words):
-            return True
-    return False
-
-
-def blocks(page: str) -> list[Block]:
-    """The text blocks of a page that do not lie in boilerplate elements, in order."""
-    out: list[Block] = []
-    stack: list[tuple[str, int, bool]] = []  # tag, number of the element, whether it starts boilerplate
-    parts: list[str] = []
-    state = {"linked": 0, "drop": 0, "anchor": 0, "article": 0, "n": 0}
-
-    def flush() -> None:
-        if parts:
-            text = " ".join("".join(parts).split())
-            if text:
-                tags = [t for t, _, _ in stack if t in BLOCK]
-                out.append(Block(text, "/".join(tags), tuple(n for t, n, _ in stack if t in BLOCK), state["linked"] / max(1, len(text))))
-            parts.clear()
-        state["linked"] = 0
-
-    def pop(i: int) -> None:
-        """Close everything from place i of the stack."""
-        if any(t in BLOCK for t, _, _ in stack[i:]):
-            flush()
-        for tag, _, drop in stack[i:]:
-            state["drop"] -= drop
-            state["anchor"] -= tag == "a"
-            state["article"] -= tag in ("article", "main")
-        del stack[i:]
-
-    def text(raw: str) -> None:
-        if raw and not state["drop"]:
-            plain = html.unescape(raw) if "&" in raw else raw
-            parts.append(plain)
-            if state["anchor"]:
-                state["linked"] += len(plain.strip())
-
-    at, end = 0, len(page)
-    while at < end:
-        m = _TOKEN.search(page, at)
-        if not m:
-            text(page[at:])
-            break
-        text(page[at : m.start()])
-        at = m.end()
-        if m[1]:
-            tag = m[1].lower()
-            i = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if i is not None and not (tag not in BLOCK and any(t in SCOPE for t, _, _ in stack[i + 1 :])):
-                pop(i)
-        elif m[2]:
-            tag, attrs = m[2].lower(), m[3]
-            if tag == "br":
-                text(" ")
-                continue
-            if tag in BLOCK:
-                i = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p" or stack[k][0] in SCOPE), None)
-                if i is not None and stack[i][0] == "p":
-                    pop(i)
-                own, bound = CLOSES.get(tag, ((), ()))
-                i = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in own or stack[k][0] in bound), None)
-                if i is not None and stack[i][0] in own:
-                    pop(i)
+    Element 0 stands for the page. ``last[e]`` is the last element inside e.
+    """
+
+    def __init__(self, page: str):
+        self.tag, self.parent, self.path, self.says, self.last = [""], [0], [0], [KEEP], [0]
+        self.text: list[str] = []
+        self.leaf: list[int] = []
+        self.links: list[float] = []
+        self._paths: dict[tuple[int, str], int] = {}
+        self._read(page)
+
+    def _start(self, tag: str, says: int, parent: int) -> int:
+        """A new element; only block elements lengthen the path."""
+        e = len(self.tag)
+        above = self.path[parent]
+        self.tag.append(tag)
+        self.parent.append(parent)
+        self.path.append(self._paths.setdefault((above, tag), len(self._paths) + 1) if tag in BLOCK else above)
+        self.says.append(says)
+        self.last.append(e)
+        return e
+
+    def _read(self, page: str) -> None:
+        stack = [0]  # open elements
+        open_tags: Counter = Counter()
+        parts: list[str] = []
+        linked = out = inside = 0
+
+        def flush() -> None:
+            nonlocal linked
+            if parts:
+                text = " ".join("".join(parts).split())
+                if text:
+                    k = len(stack) - 1
+                    while k and self.tag[stack[k]] not in BLOCK:
+                        k -= 1
+                    self.text.append(text)
+                    self.leaf.append(stack[k])
+                    self.links.append(min(1.0, linked / len(text)))
+                parts.clear()
+            linked = 0
+
+        def pop(k: int) -> None:
+            """Close everything from place k of the stack."""
+            nonlocal out, inside
+            if any(self.tag[e] in BLOCK for e in stack[k:]):
                 flush()
-            if tag in VOID or attrs.endswith("/") and tag not in BLOCK and tag not in RAW:
-                continue
-            if tag == "a":
-                i = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "a"), None)
-                if i is not None:
-                    pop(i)
-            if tag in RAW:  # its content is no markup
-                close = _CLOSE[tag].search(page, at)
-                at = close.start() if close else end
-            drop = _drops(tag, attrs, state["article"] > 0)
-            if drop and tag not in BLOCK and not state["drop"]:
-                parts.append(" ")
-            if len(stack) < MAX_DEPTH:
-                state["n"] += 1
-                stack.append((tag, state["n"], drop))
-                state["drop"] += drop
-                state["anchor"] += tag == "a"
-                state["article"] += tag in ("article", "main")
-    flush()
-    return out
+            for e in stack[k:]:
+                open_tags[self.tag[e]] -= 1
+                out -= self.says[e] == OUT
+                inside -= self.tag[e] in ("article", "main")
+                self.last[e] = len(self.tag) - 1
+            del stack[k:]
+
+        def nearest(wanted, bound) -> int:
+            """Place of the innermost open element of ``wanted`` that no element of ``bound`` hides, or 0."""
+            if not any(open_tags[t] for t in wanted):
+                return 0
+            for k in range(len(stack) - 1, 0, -1):
+                tag = self.tag[stack[k]]
+                if tag in wanted:
+                    return k
+                if tag in bound:
+                    return 0
+            return 0
+
+        def text(raw: str) -> None:
+            nonlocal linked
+            if raw and not out:
+                plain = html.unescape(raw) if "&" in raw else raw
+                parts.append(plain)
+                if open_tags["a"]:
+                    linked += len(" ".join(plain.split()))
+
+        at, end = 0, len(page)
+        while at < end:
+            m = _TOKEN.search(page, at)
+            if not m:
+                text(page[at:])
+                break
+            text(page[at : m.start()])
+            at = m.end()
+            if m[1]:
+                tag = m[1].lower()
+                k = nearest({tag}, () if tag in BLOCK else SCOPE)
+                if k:
+                    pop(k)
+            elif m[2]:
+                tag, attrs = m[2].lower(), m[3]
+                if tag == "br":
+                    text(" ")
+                    continue
+                if tag in BLOCK:
+                    k = nearest({"p"}, SCOPE)
+                    if k:
+                        pop(k)
+                    if tag in CLOSES:
+                        k = nearest(*CLOSES[tag])
+                        if k:
+                            pop(k)
+                    flush()
+                if tag in VOID or attrs.endswith("/") and tag not in BLOCK and tag not in RAW:
+                    continue
+                if tag == "a":
+                    k = nearest({"a"}, ())
+                    if k:
+                        pop(k)
+                if tag in RAW:  # its content is no markup
+                    close = _CLOSE[tag].search(page, at)
+                    at = close.start() if close else end
+                says = _says(tag, attrs, inside > 0)
+                if says and tag not in BLOCK:
+                    parts.append(" ")
+                stack.append(self._start(tag, says, stack[-1]))
+                open_tags[tag] += 1
+                out += says == OUT
+                inside += tag in ("article", "main")
+        flush()
+        pop(1)
+        self.last[0] = len(self.tag) - 1
+
+    def holds(self, e: int, leaf: int) -> bool:
+        return e <= leaf <= self.last[e]
 
 
 def _smooth(values: list[float], sigma: float = 1.0) -> list[float]:
@@ -178,19 +238,20 @@ def _smooth(values: list[float], sigma: float = 1.0) -> list[float]:
     return out
 
 
-def content_paths(found: list[Block]) -> set[str]:
-    """Paths whose smoothed, fused ratio of text and punctuation is over the threshold."""
+def content_paths(page: Page, among: list[int]) -> set[int]:
+    """Paths of the given blocks whose smoothed, fused ratio of text and punctuation is over the threshold."""
     length, marks, number = defaultdict(float), defaultdict(float), defaultdict(int)
-    for b in found:
-        length[b.path] += len(b.text) * (1 - min(1.0, b.links))
-        marks[b.path] += len(_PUNCT.findall(b.text))
-        number[b.path] += 1
-    by_length = _smooth([length[b.path] / number[b.path] for b in found])
-    by_marks = _smooth([marks[b.path] / number[b.path] for b in found])
-    fused: dict[str, list[float]] = defaultdict(list)
-    for b, x, y in zip(found, by_length, by_marks, strict=True):
-        fused[b.path].append(math.sqrt(x * (y + 0.1)))
-    score = {p: sum(v) / len(v) for p, v in fused.items()}
+    paths = [page.path[page.leaf[i]] for i in among]
+    for i, p in zip(among, paths, strict=True):
+        length[p] += len(page.text[i]) * (1 - page.links[i])
+        marks[p] += len(_PUNCT.findall(page.text[i])) * (1 - page.links[i])
+        number[p] += 1
+    by_length = _smooth([length[p] / number[p] for p in paths])
+    by_marks = _smooth([marks[p] / number[p] for p in paths])
+    fused: dict[int, list[float]] = defaultdict(list)
+    for p, x, y in zip(paths, by_length, by_marks, strict=True):
+        fused[p].append(math.sqrt(x * (y + 0.1)))
+    score = {p: sum(v) / len(v) * min(1.0, length[p]) for p, v in fused.items()}
     if not score:
         return set()
     mean = sum(score.values()) / len(score)
@@ -200,32 +261,106 @@ def content_paths(found: list[Block]) -> set[str]:
 
 
 SHARE = 0.9  # of the text on content paths that the content's root must hold
-NAMED = 10  # weight of text that the page itself puts in an article or main element
-LINKED = 0.7  # of a block's text in links, from which it is a list of links
+MOST = 0.8  # of the text outside links, over which an element is no boilerplate, whatever its name
+LITTLE = 40  # characters outside links beside comments, under which these are the page
+
+
+def _sums(page: Page, weight: dict[int, float]) -> list[float]:
+    """For each element, the weight of all leaves inside it."""
+    total = [0.0] * len(page.tag)
+    for leaf, w in weight.items():
+        total[leaf] += w
+    for e in range(len(total) - 1, 0, -1):
+        total[page.parent[e]] += total[e]
+    return total
+
+
+def _weights(page: Page, among: list[int], paths: set[int]) -> dict[int, float]:
+    weight: dict[int, float] = defaultdict(float)
+    for i in among:
+        if page.path[page.leaf[i]] in paths:
+            weight[page.leaf[i]] += len(page.text[i]) * (1 - page.links[i])
+    return weight
+
+
+def _dropped(page: Page) -> list[bool]:
+    """For each element, whether it or one around it is boilerplate by name."""
+    gone = [False] * len(page.tag)
+    if NAMED not in page.says and COMMENTS not in page.says:
+        return gone
+    weight: dict[int, float] = defaultdict(float)
+    for i, leaf in enumerate(page.leaf):
+        weight[leaf] += len(page.text[i]) * (1 - page.links[i])
+    total = _sums(page, weight)
+    around = [False] * len(page.tag)  # holds an article or main element that is no comment
+    for e in range(len(page.tag) - 1, 0, -1):
+        around[page.parent[e]] |= around[e] or (page.tag[e] in ("article", "main") and page.says[e] != COMMENTS)
+    for e in range(1, len(page.tag)):
+        if page.says[e] == NAMED:
+            gone[e] = not around[e] and total[e] <= MOST * total[0]
+        elif page.says[e] == COMMENTS:
+            gone[e] = total[0] - total[e] >= LITTLE
+        gone[e] |= gone[page.parent[e]]
+    return gone
+
+
+def _root(page: Page, left: list[int], paths: set[int]) -> int:
+    """The innermost element that holds nearly all content, widened to its article and its title."""
+    total = _sums(page, _weights(page, left, paths))
+    root, e = 0, 0
+    kids: dict[int, list[int]] = defaultdict(list)
+    for k in range(1, len(page.tag)):
+        kids[page.parent[k]].append(k)
+    while total[0] > 0:
+        e = next((k for k in kids[e] if total[k] >= SHARE * total[0]), 0)
+        if not e:
+            break
+        root = e
+    leaves = {page.leaf[i] for i in left}
+    if root in leaves and page.tag[root] not in ("body", "article", "main", "section", "div"):
+        root = page.parent[root]  # one paragraph: what stands beside it belongs to it
+    e = root
+    while e and page.tag[e] not in ("article", "main"):
+        e = page.parent[e]
+    root = e or root
+    titles = [i for i in left if page.tag[page.leaf[i]] == "h1" and page.leaf[i] < root]
+    if titles and not any(page.tag[page.leaf[i]] == "h1" and page.holds(root, page.leaf[i]) for i in left):
+        e = root
+        while not page.holds(e, page.leaf[titles[-1]]):
+            e = page.parent[e]
+        if page.tag[e] not in ("", "html", "body"):
+            root = e
+    return root
 
 
 def main_text(page: str | None) -> str:
     """The article's text of a page: one line per block."""
     if not page:
         return ""
-    found = blocks(page)
-    paths = content_paths(found)
-    weight: dict[int, int] = defaultdict(int)
-    depth: dict[int, int] = {}
-    total = 0
-    for b in found:
-        if b.path in paths and b.links < LINKED:
-            size = len(b.text) * (NAMED if {"article", "main"} & set(b.path.split("/")) else 1)
-            total += size
-            for d, n in enumerate(b.roots):
-                weight[n] += size
-                depth[n] = d
-    holds = [n for n, w in weight.items() if w >= SHARE * total]
-    leaf = {b.roots[-1] for b in found if b.roots}
-    wide = [n for n in holds if n not in leaf] or holds
-    root = max(wide, key=lambda n: depth[n], default=None)
-    kept = [b.text for b in found if (root is None or root in b.roots) and b.links < LINKED]
-    return "\n".join(kept)
+    page = Page(page)
+    gone = _dropped(page)
+    left = [i for i in range(len(page.text)) if not gone[page.leaf[i]]]
+    paths = content_paths(page, left)
+    root = _root(page, left, paths)
+    inside = [i for i in left if page.holds(root, page.leaf[i])]
+    title = [i for i in left if page.tag[page.leaf[i]] == "h1" and page.leaf[i] < root]
+    if title and not any(page.tag[page.leaf[i]] == "h1" for i in inside):
+        inside = [title[-1], *inside]
+    content = [i for i in inside if page.path[page.leaf[i]] in paths and page.links[i] < 1]
+    menus = _menus(page, [i for i in inside if content and not content[0] <= i <= content[-1]])
+    return "\n".join(page.text[i] for i in inside if i not in menus)
+
+
+def _menus(page: Page, beside: list[int]) -> set[int]:
+    """Of the blocks beside the content, those of lists that are nothing but links."""
+    lists: dict[int, list[int]] = defaultdict(list)
+    for i in beside:
+        e = page.leaf[i]
+        while e and page.tag[e] not in ("ul", "ol"):
+            e = page.parent[e]
+        if e:
+            lists[e].append(i)
+    return {i for blocks in lists.values() if len(blocks) > 1 and all(page.links[k] > 0.9 for k in blocks) for i in blocks}
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
