@@ -3,18 +3,24 @@
 Each character n-gram (1 to 4, within words and with word ends) of the lower-cased text
 hashes to a bucket with a learned vector; a text is the mean of its n-grams' vectors,
 and a linear softmax over it gives the language. Vectors and weights are trained by
-stochastic gradient descent in numpy on a sample of at most ``PER_LANGUAGE`` labelled
-rows a language (chosen by a hash of the id), whose bucket counts are made on the
-executors and are bounded by the number of buckets whatever the length of a text.
-One fifth of the sample is kept out of training; on it the softmax is calibrated by one
-temperature, and the score below which a text is rejected is set so that at most
-``REJECT`` of its rightly labelled texts would be. Since the mean and the softmax's
-linear part commute, prediction needs only one number per bucket and language.
+stochastic gradient descent in numpy on a sample of at most ``PER_LANGUAGE`` different
+labelled rows a language, those with the smallest hashes of id and text. The bound holds for
+any number of rows, repeated ones too: it is found by ranks within partitions, within groups
+of partitions and over all, so that no task reads more than a bounded number of hashes a
+partition. The sample's bucket counts are made on the executors and are bounded by the number
+of buckets whatever the length of a text. Every fifth row of a language is kept out of
+training; on these the softmax is calibrated by one temperature, and the score below which a
+text is rejected is set so that at most ``REJECT`` of their rightly labelled texts would be,
+but to no more than 1.5 times what chance gives (languages of fewer than five rows calibrate
+nothing; without any such row the temperature is 1 and only texts without a letter are
+rejected). Since the mean and the softmax's linear part commute, prediction needs only one
+number per bucket and language.
 
 Defined results: NULL text or text without a letter is ``und`` with score 0 and is
 rejected; with no labelled row at all every text is ``und``; ties between languages go
 to the first in order of name; NULL ids are allowed and never used for training;
-repeated rows are predicted alike; other columns are never read.
+repeated rows are predicted alike and learned from once; ids, labels and texts alone decide
+what is learned, in whatever order rows lie; other columns are never read.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 14
@@ -101,14 +107,16 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Model:
-    """Fit on (label, bucket ids, counts) rows by SGD; every fifth row calibrates."""
+    """Fit on (label, bucket ids, counts) rows by SGD; every fifth row of a label calibrates."""
     labels = tuple(sorted({r[0] for r in rows}))
     if not labels:
         return Model((), np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 1.0)
     rng = np.random.default_rng(seed)
     y = np.array([labels.index(r[0]) for r in rows])
-    order = rng.permutation(len(rows))
-    held, fit = (order[::5], np.delete(order, np.s_[::5])) if len(rows) >= 10 * len(labels) else (order, order)
+    nth = np.zeros(len(rows), np.int64)  # place among the rows of its label, which lie in order of their hashes
+    for c in range(len(labels)):
+        nth[y == c] = np.arange((y == c).sum())
+    held, fit = np.nonzero(nth % 5 == 4)[0], np.nonzero(nth % 5 != 4)[0]
     emb = rng.normal(0, 0.1, (BUCKETS, DIM))
     out, bias = np.zeros((DIM, len(labels))), np.zeros(len(labels))
     for epoch in range(EPOCHS):
@@ -131,6 +139,8 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Mode
             bias -= 0.01 * rate * g
             emb[ids] -= rate * 10 * w[:, None] * back
     table = emb @ out
+    if not len(held):
+        return Model(labels, table, bias, 1.0, 0.0)
     z = np.array([n @ table[ids] / max(1, n.sum()) + bias for _, ids, n in (rows[i] for i in held)])
     temperatures = np.geomspace(0.25, 20, 60)
     p = [_softmax(z / t) for t in temperatures]
@@ -141,33 +151,37 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Mode
     return Model(labels, table, bias, float(temperatures[best]), threshold)
 
 
+def sample(rows: DataFrame, per_label: int) -> DataFrame:
+    """Of rows (l, t, h), at most ``per_label`` different (l, h), the smallest h of each l, once each."""
+    slim = rows.select("l", "h", F.pmod(F.spark_partition_id(), F.lit(1024)).alias("g"))
+    some = slim.withColumn("n", F.dense_rank().over(Window.partitionBy("l", "g").orderBy("h"))).where(F.col("n") <= per_label)
+    best = some.withColumn("n", F.dense_rank().over(Window.partitionBy("l").orderBy("h"))).where(F.col("n") <= per_label)
+    last = best.groupBy(F.col("l").alias("label")).agg(F.max("h").alias("last"))  # a row a label
+    return rows.join(F.broadcast(last), (F.col("l") == F.col("label")) & (F.col("h") <= F.col("last"))).select("l", "t", "h").dropDuplicates(["l", "h"])
+
+
 def fit(docs: DataFrame, id_col: str, text_col: str, label_col: str, where: Column) -> Model:
     """Learn from labelled rows that satisfy ``where``: a bounded sample of each label."""
     usable = docs.where(where & F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    sizes = {r[0]: r[1] for r in usable.groupBy(F.col(label_col).alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.lit(0.0)
-    for label, n in sorted(sizes.items()):
-        share = F.when(F.col(label_col) == label, F.lit(PER_LANGUAGE / n)).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    chosen = usable.where(draw < share).select(F.col(id_col).alias("id"), F.col(label_col).alias("l"), F.col(text_col).alias("t"))
+    text = F.col(text_col).cast("string")
+    rows = usable.select(F.col(label_col).cast("string").alias("l"), text.alias("t"), F.xxhash64(F.col(id_col), text).alias("h"))
 
     def run(batches):
         for batch in batches:
             ids, counts = [], []
-            for t in batch.column(2):
+            for t in batch.column(1):
                 c = bucket_counts(t.as_py())
                 at = np.nonzero(c)[0]
                 ids.append(at.astype(np.int32))
                 counts.append(c[at].astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))],
-                ["id", "l", "ids", "counts"],
+                [batch.column(0), batch.column(2), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))],
+                ["l", "h", "ids", "counts"],
             )
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = chosen.mapInArrow(run, f"id {kind}, l string, ids array<int>, counts array<int>")
-    got = rows.toArrow().combine_chunks()  # numpy views of it below: no Python number per entry
-    order = sorted(range(got.num_rows), key=lambda i: (got["id"][i].as_py(), got["l"][i].as_py()))
+    made = sample(rows, PER_LANGUAGE).mapInArrow(run, "l string, h bigint, ids array<int>, counts array<int>")
+    got = made.toArrow().combine_chunks()  # numpy views of it below: no Python number per entry
+    order = sorted(range(got.num_rows), key=lambda i: (got["l"][i].as_py(), got["h"][i].as_py()))
     ids, counts = ([x.values.to_numpy() for x in got[c]] for c in ("ids", "counts"))
     return train([(got["l"][i].as_py(), ids[i], counts[i]) for i in order])
 
