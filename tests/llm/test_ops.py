@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from weft.llm import decontam, htmlmain, kdtree, langid, license, linededup, packing, queries, sharding, simhash, tokenize, tokenstore
 
@@ -58,6 +58,39 @@ def test_language_hard_cases(spark, hard, empty):
     assert langid.keep_known(hard, model).columns == hard.columns
 
 
+def test_the_sample_is_bounded_whatever_repeats(spark, monkeypatch):
+    rows = [(5, "one id in thousands of rows", "en")] * 3000 + [(i, f"text {i}", "de") for i in range(900)] + [(7, f"other text {i}", "fr") for i in range(500)]
+    docs = spark.createDataFrame(rows, "id long, t string, l string").repartition(7)
+    docs = docs.select("l", "t", F.xxhash64("id", "t").alias("h"))
+    got = langid.sample(docs, 400).collect()
+    want = {}
+    for r in docs.collect():
+        want.setdefault(r.l, set()).add((r.h, r.t))
+    assert sorted((r.l, r.h, r.t) for r in got) == sorted((k, *x) for k, v in want.items() for x in sorted(v)[:400])
+    texts = [f"wort haus garten {i % 9}" if i % 2 else f"word house garden {i % 9}" for i in range(60)]
+    ids = [i // 6 for i in range(60)]  # repeated ids with different texts
+    one = docs_of(spark, texts, ids).withColumn("lang", F.when(F.col("text").startswith("wort"), "de").otherwise("en"))
+    a, b = (langid.fit(x, "doc_id", "text", "lang", F.lit(True)) for x in (one, one.orderBy(F.rand(3)).repartition(5)))
+    assert (a.table == b.table).all() and a.threshold == b.threshold  # training is repeatable
+
+
+def test_language_matches_a_plain_softmax(spark):
+    """Predictions are those of the mean of n-gram logits, made by hand."""
+    model = langid.fit(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id", "text", "lang", langid.training_fold())
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in queries.op1_language_id(spark, SF).collect():
+        text = texts[r.doc_id]
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        if not text or not any(c.isalpha() for c in text):
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        n = langid.bucket_counts(text)
+        z = (n @ model.table / n.sum() + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert r.lang_pred == model.labels[p.argmax()] and abs(r.score - p.max()) < 1e-9
+        assert r.rejected == (p.max() < model.threshold)
+
+
 def test_long_texts_are_counted_whole(monkeypatch):
     text = "".join(random.Random(3).choice("ab é.") for _ in range(5000))
     whole = langid.bucket_counts(text)
@@ -275,17 +308,31 @@ def test_top_k_matches_brute_force(spark, monkeypatch):
 # 7 and tokenizing ------------------------------------------------------------
 
 
+BLANKS = [c for c in map(chr, range(0x110000)) if c.isspace()]
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_chunked_ids_are_the_library_ids(name, monkeypatch):
-    monkeypatch.setattr(tokenize, "GENERATION", 200)
+    """Against the plain library call, over all white space, added tokens and marks."""
+    monkeypatch.setattr(tokenize, "MEMORY", 40_000)
     tok = Tokenizer.from_file(public_tokenizers.path(name))
-    tok.encode_special_tokens = True
-    rng, alphabet = random.Random(1), "ab'sA1 \n\t ́é.,\x01 \x1c\x85ß-—日İ"
-    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(3000)] + ["<|endoftext|> x", "  a   b ", "a" * 500]
+    rng, alphabet = random.Random(1), ["a", "b", "'s", "A", "1", *" \t\n\n" * 2, "\u0301", *"é.,-_—日İß²ⅷΣς", "\x01", "\x02", "<|endoftext|>", "J\u030c"]
+    texts = ["".join(rng.choice([*alphabet, rng.choice(BLANKS)]) for _ in range(rng.randint(0, 30))) for _ in range(6000)]
+    texts += ["".join(rng.choice("ab. \n'sS") for _ in range(rng.randint(0, 30))) for _ in range(6000)]
+    texts += ["<|endoftext|> x", "<|ENDOFTEXT|>", "x<|startoftext|>y", "  a   b ", "a" * 500, " \xa0 \xa0 x", "", None]
     enc = tokenize.ChunkEncoder(public_tokenizers.path(name))
+    assert enc.kind == name.split("_")[0]
     for i in range(0, len(texts), 500):
         for t, ids in zip(texts[i : i + 500], enc.encode(texts[i : i + 500]), strict=True):
-            assert ids.tolist() == tok.encode(t, add_special_tokens=False).ids
+            assert ids.tolist() == tok.encode(t or "", add_special_tokens=False).ids
+
+
+def test_a_file_of_another_kind_is_encoded_whole(tmp_path):
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tok.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    tok.save(str(tmp_path / "t.json"))
+    enc = tokenize.ChunkEncoder(str(tmp_path / "t.json"))
+    assert enc.kind is None and [x.tolist() for x in enc.encode(["a b", None, "c\n d"], 2)] == [[*tok.encode(t).ids, 2] for t in ("a b", "", "c\n d")]
 
 
 def test_simple8b_round_trip():

@@ -21,13 +21,14 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.tokenize import batches_of, encoder
+from weft.llm.tokenize import encoder, runs_of
 from weft.session import materialize
 
 
@@ -129,28 +130,29 @@ def cut(total: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(
-    docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True
 ) -> DataFrame:
-    """Rows (id, piece, start, length, crc, ids): every document's tokens, cut. ``ids`` is little-endian uint32."""
+    """Rows (id, piece, start, length, crc) of every document's tokens, cut; ``ids``, little-endian uint32, if asked for."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            keys, enc = batch.column(0), encoder(tokenizer)
-            for start, texts in batches_of(batch.column(1).to_pylist()):
+            keys, whole, enc = batch.column(0), batch.column(1), encoder(tokenizer)
+            for a, b in runs_of(whole):
+                ids, edges = enc.encode_flat(whole[a:b], end_id)
                 at, rows = [], []
-                for i, ids in enumerate(enc.encode(texts, end_id), start):
-                    for n, (s, size) in enumerate(cut(len(ids), capacity)):
-                        data = ids[s : s + size].tobytes()
+                for i, (left, right) in enumerate(pairwise(edges.tolist()), a):
+                    for n, (s, size) in enumerate(cut(right - left, capacity)):
+                        data = ids[left + s : left + s + size]
                         at.append(i)
-                        rows.append((n, s, size, zlib.crc32(data), data))
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), TYPES, strict=True)]
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), *columns], NAMES)
+                        rows.append((n, s, size, zlib.crc32(data), *([data.tobytes()] if with_ids else [])))
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), TYPES, strict=False)]
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), *columns], NAMES[: len(columns) + 1])
 
     NAMES = ["id", "piece", "start", "length", "crc", "ids"]
     TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-    return slim.mapInArrow(run, f"id {kind}, piece int, start bigint, length bigint, crc bigint, ids binary")
+    return slim.mapInArrow(run, f"id {kind}, piece int, start bigint, length bigint, crc bigint" + ", ids binary" * with_ids)
 
 
 def pack(parts: DataFrame, capacity: int) -> DataFrame:
@@ -165,7 +167,7 @@ def pack(parts: DataFrame, capacity: int) -> DataFrame:
     within = Window.partitionBy("pid", "length").orderBy("rid")
     ranked = (
         stored.withColumn("nth", F.row_number().over(within) - 1)
-        .join(base, ["pid", "length"])
+        .join(base.hint("merge"), ["pid", "length"])  # both sides are dealt alike; base grows with the partitions
         .withColumn("rank", F.col("base") + F.col("nth"))
         .drop("base", "nth", "pid", "rid")
     )

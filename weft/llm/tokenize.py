@@ -1,188 +1,228 @@
 """Whole texts to token ids with the tokenizers library, quickly.
 
-Both tokenizer files here never let a token span a single space between two other
-characters, except that the space starts the token after it. So the ids of a text
-are those of its space-parted chunks, in order, and chunks repeat. A batch of texts
-is split and its distinct chunks found in Arrow; each Python worker keeps the ids of
-chunks it has seen, in two generations of bounded size (a full young one becomes the
-old one, and what is used again moves back), and sends only new ones to the library,
-many in one string, parted by a control character whose id marks where one ends.
-Texts that hold that character, spaces in a row where those make tokens, or the literal
-of an added token, are encoded directly.
+Two kinds of tokenizer file are known, byte-level ones and those that drop white space;
+in both, a token never spans a single space or line end between other characters (but for
+the space that starts a token) nor the place where a letter meets an ASCII mark. So the ids
+of a text are those of its chunks between such places, and chunks repeat. Batches are cut
+and their distinct chunks found in Arrow; each Python worker keeps the ids of chunks it has
+seen, in two generations of ``MEMORY`` bytes (a full young one becomes the old one, and what
+is used again moves back), and sends only new ones to the library, many in one string,
+parted by a control character whose id marks where one ends.
+
+Texts in which a space stands next to other white space, where that makes tokens, or that
+hold the literal of an added token or a control character used here are encoded whole by
+the library, and so is every text with a tokenizer file of another kind.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_MARK = "\x01"
-#: A chunk's first run of letters, parted from what follows: tokens start anew at ASCII marks and line ends.
-#: A capital I with a dot is left out: in lower case it ends in a mark that joins what follows.
-_HEAD = re.compile(r"( ?[^\W\d_\u0130]+)([!-/:-@\[-`{-~\n].*)", re.S)
-_LINE = re.compile(r"(?<=\S)\n(?=\S)")
-GENERATION = 500_000  # chunks in one generation of the memory
-LONGEST = 48  # characters of the longest chunk that is remembered
+_MARK, _CUT = "\x01", "\x02"
+#: White space in any of the libraries' senses, as the inside of a character class.
+_WHITE = "\\s\x0b\x1c-\x1f\x85\u00a0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: Long-known letters that stay letters in lower case (a capital I with a dot does not), and ASCII marks.
+_LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f\u0391-\u03a1\u03a3-\u03c9\u0410-\u044f"
+_MEET = rf"([{_LETTER}])([!-/:-@\[-`{{-~])"
+_LINE_END = rf"([^{_WHITE}])\n([^{_WHITE}])"
+_BLANKS = rf"[{_WHITE}] | [{_WHITE}]"
+#: Fixed value: the pattern of words of the tokenizer that drops white space.
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+MEMORY = 48 << 20  # bytes of one generation of chunks, by estimate
+_ENTRY = 190  # bytes of a chunk in memory besides its characters and ids
 _JOIN = 100_000  # characters encoded in one call
 
 
-class ChunkEncoder:
-    """Encodes texts with one tokenizer file; ``encode`` returns uint32 arrays.
+def _kind(file: dict) -> str | None:
+    """"byte" or "word" if the file cuts texts as stated above."""
+    if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in file["added_tokens"]):
+        return None
+    normal, pre = file["normalizer"], file["pre_tokenizer"] or {}
+    if normal is None and pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]:
+        return "byte"
+    steps = pre.get("pretokenizers") or [{}]
+    split = steps[0].get("type") == "Split" and steps[0]["pattern"] == {"Regex": _WORDS} and steps[0]["behavior"] == "Removed" and steps[0]["invert"]
+    plain = all(s["type"] == "ByteLevel" and not s["use_regex"] and not s["add_prefix_space"] for s in steps[1:])
+    usual = {"NFC", "Replace", "Lowercase"}
+    if split and plain and normal and {n["type"] for n in normal.get("normalizers", [normal])} <= usual:
+        return "word"
+    return None
+
+
+class _Generation:
+    """Chunks and their ids, which lie one after another."""
+
+    def __init__(self):
+        self.at: dict[str, int] = {}
+        self.begin, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+        self.bytes = 0
+
+    def add(self, chunks: list[str], size: np.ndarray, ids: np.ndarray) -> None:
+        self.at.update(zip(chunks, range(len(self.at), len(self.at) + len(chunks)), strict=True))
+        self.begin = np.concatenate((self.begin, np.cumsum(size) - size + len(self.ids)))
+        self.size = np.concatenate((self.size, size))
+        self.ids = np.concatenate((self.ids, ids))
+        self.bytes += _ENTRY * len(chunks) + sum(map(len, chunks)) + 4 * len(ids)
 
-    ``special``: the literal of an added token in a text is that token's id, as the library
-    has it by default; else it is text like any other.
-    """
+    def get(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(size, ids) of chunks that it has, in order."""
+        at = np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))
+        return self.size[at], self.ids[_spans(self.begin[at], self.size[at])]
+
+
+def _spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1, ... of each span, one after another."""
+    stop = np.cumsum(size)
+    return np.arange(stop[-1] if len(stop) else 0) + np.repeat(begin - stop + size, size)
+
+
+class ChunkEncoder:
+    """Encodes texts with one tokenizer file, as the library does by default without special tokens."""
 
-    def __init__(self, path: str, special: bool = False):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = not special
-        added = self.tok.get_added_tokens_decoder().values() if special else ()
-        self.literals = [t.content for t in added if not t.normalized]
-        self.normal_literals = [t.content for t in added if t.normalized]  # found in the normalised text
-        # White space makes no token: chunks are plain words. Otherwise it belongs to the chunk.
-        self.plain = not self.raw(" ") and not self.raw("\n")
-        self.mark = self.raw(_MARK)
-        self.newline = self.raw("\n")
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        file = json.loads(self.tok.to_str())
+        self.kind = _kind(file)
+        self.literals = [t["content"] for t in file["added_tokens"]]
+        self.mark, self.newline = self.raw(_MARK), self.raw("\n")
+        self.young, self.old = _Generation(), _Generation()
 
     def raw(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of new chunks. Each follows a mark; one without a leading space follows a newline too."""
-        out: dict[str, bytes] = {}
-        spaced = [c for c in chunks if self.plain or (c[:1] == " " and len(c) > 1 and not c[1].isspace() and not c[-1].isspace())]
-        bare = [c for c in chunks if c and not self.plain and not c[0].isspace() and not c[-1].isspace()]
-        rest = set(chunks) - set(spaced) - set(bare)
-        for group, lead in ((spaced, " " if self.plain else ""), (bare, "\n")):
-            skip = len(self.newline) if lead == "\n" else 0
-            start, parts, size = 0, [], 0
-            for i, c in enumerate(group):
-                size += len(c) + 2
-                if size >= _JOIN or i == len(group) - 1:
-                    parts.append(group[start : i + 1])
-                    start, size = i + 1, 0
-            joint = [_MARK + lead + (" " + _MARK + lead if self.plain else _MARK + lead).join(p) for p in parts]
+    def _learn(self, chunks: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(chunk, size, ids) of new chunks, in an order of its own.
+
+        Each follows a mark; where white space counts, one without a leading space follows a newline too.
+        """
+        if self.kind == "word":
+            groups, alone = [(chunks, " ", " ", 0)], []
+        else:
+            spaced, bare, alone = [], [], []
+            for c in chunks:
+                if not c or c[-1].isspace() or c[0] != " " and c[0].isspace() or c[0] == " " and c[1].isspace():
+                    alone.append(c)
+                else:
+                    (spaced if c[0] == " " else bare).append(c)
+            groups = [(spaced, "", "", 0), (bare, "\n", "", len(self.newline))]
+        order, sizes, found = [], [], []
+        for group, lead, gap, skip in groups:
+            ends = np.cumsum([len(c) + 2 for c in group]) // _JOIN
+            cuts = [0, *(np.nonzero(np.diff(ends))[0] + 1).tolist(), len(group)]
+            parts = [group[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
+            joint = [_MARK + lead + (gap + _MARK + lead).join(p) for p in parts]
             for part, e in zip(parts, self.tok.encode_batch_fast(joint, add_special_tokens=False), strict=True):
                 ids = np.array(e.ids, "<u4")
                 at = np.nonzero(ids == self.mark[0])[0]
                 if len(self.mark) != 1 or len(at) != len(part):  # cannot tell them apart: one by one
-                    rest.update(part)
+                    alone += part
                     continue
-                ends = np.append(at[1:], len(ids))
-                data = ids.tobytes()
-                for c, a, b in zip(part, (at + 1 + skip).tolist(), ends.tolist(), strict=True):
-                    out[c] = data[4 * a : 4 * b]
-        for c in rest:
-            out[c] = np.array(self.raw(c), "<u4").tobytes()
-        return out
-
-    def _parts(self, chunk: str) -> list[str]:
-        """The chunk in pieces whose ids follow each other: at single line ends, and after a first word."""
-        out = []
-        for i, line in enumerate(_LINE.split(chunk)):
-            if i:
-                out.append("\n")
-            m = _HEAD.fullmatch(line)
-            out += m.groups() if m else (line,)
-        return out
-
-    def _lookup(self, chunks: list[str]) -> list[bytes]:
-        young, old, new, direct, made = self.young, self.old, set(), {}, {}
-
-        def known(c: str) -> bool:
-            if c in young:
-                return True
-            got = old.get(c)
-            if got is not None:
-                young[c] = got
-            return got is not None
-
-        for c in chunks:
-            if c in young or known(c):
-                continue
-            parts = self._parts(c)
-            if len(parts) > 1:
-                made[c] = parts
-            for p in parts:
-                if len(p) > LONGEST:
-                    direct[p] = np.array(self.raw(p), "<u4").tobytes()
-                elif p not in new and not known(p):
-                    new.add(p)
+                keep = np.ones(len(ids), bool)
+                keep[at] = False
+                if skip:
+                    keep[_spans(at + 1, np.full(len(at), skip))] = False
+                order += part
+                sizes.append(np.diff(np.append(at, len(ids))) - 1 - skip)
+                found.append(ids[keep])
+        each = [self.raw(c) for c in alone]
+        sizes.append(np.array([len(x) for x in each], np.int64))
+        found += [np.array(x, "<u4") for x in each]
+        return order + alone, np.concatenate(sizes).astype(np.int64), np.concatenate([np.zeros(0, "<u4"), *found])
+
+    def _lookup(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(size, ids) of distinct chunks, in order."""
+        young, old = self.young, self.old
+        new = [c for c in chunks if c not in young.at]
+        if new and old.at:
+            again = [c for c in new if c in old.at]
+            young.add(again, *old.get(again))
+            new = [c for c in new if c not in old.at]
         if new:
-            young.update(self._learn(list(new)))
-        for c, parts in made.items():  # not remembered: their parts are
-            direct[c] = b"".join([direct[p] if len(p) > LONGEST else young[p] for p in parts])
-        out = [direct[c] if c in direct else young[c] for c in chunks] if direct else [young[c] for c in chunks]
-        if len(young) > GENERATION:
-            self.old, self.young = young, {}
+            young.add(*self._learn(new))
+        out = young.get(chunks)
+        if young.bytes > MEMORY:
+            self.old, self.young = young, _Generation()
         return out
 
-    def _direct(self, text: str) -> bool:
-        if _MARK in text or (not self.plain and "  " in text) or any(x in text for x in self.literals):
-            return True
-        if not self.normal_literals:
-            return False
-        norm = self.tok.normalizer
-        plain = norm.normalize_str(text) if norm else text
-        return any((norm.normalize_str(x) if norm else x) in plain for x in self.normal_literals)
+    def _whole(self, texts: pa.Array) -> np.ndarray:
+        """Which texts the library must see whole."""
+        if self.kind is None:
+            return np.ones(len(texts), bool)
+        tests = [pc.match_substring(texts, x) for x in (_MARK, _CUT, *self.literals)]
+        if self.kind == "byte":
+            tests.append(pc.match_substring_regex(texts, _BLANKS))
+        return np.any([np.asarray(x) for x in tests], axis=0)
+
+    def _chunks(self, texts: pa.Array) -> pa.Array:
+        """The lists of chunks of texts."""
+        if self.kind == "word":
+            lines = pc.replace_substring(texts, "\n", " ")
+            return pc.split_pattern(pc.replace_substring_regex(lines, _MEET, r"\1 \2"), " ")
+        lines = pc.replace_substring_regex(texts, _LINE_END, f"\\1{_CUT}\n{_CUT}\\2")
+        words = pc.replace_substring_regex(lines, _MEET, rf"\1{_CUT}\2")
+        return pc.split_pattern(pc.replace_substring(words, " ", f"{_CUT} "), _CUT)
+
+    def encode_flat(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, edges of each) of strings (NULL: empty), each followed by ``end_id`` if given."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        whole = self._whole(texts)
+        lists = self._chunks(texts.filter(pa.array(~whole)))
+        offsets = np.asarray(lists.offsets)
+        coded = lists.flatten().dictionary_encode()
+        index = np.asarray(coded.indices).astype(np.int64)
+        size, ids = self._lookup(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        begin, n = (np.cumsum(size) - size)[index], size[index]
+        usual = ids[_spans(begin, n)]
+        edges = np.concatenate(([0], np.cumsum(n)))[offsets - offsets[0]]
+        odd = [np.array(self.raw(t), "<u4") for t in texts.filter(pa.array(whole)).to_pylist()]
+        length = np.zeros(len(texts), np.int64)
+        length[~whole], length[whole] = np.diff(edges), [len(x) for x in odd]
+        extra = 0 if end_id is None else 1
+        stop = np.cumsum(length + extra)
+        out = np.full(int(stop[-1]) if len(stop) else 0, end_id or 0, "<u4")
+        start = stop - length - extra
+        out[_spans(start[~whole], length[~whole])] = usual
+        for a, x in zip(start[whole].tolist(), odd, strict=True):
+            out[a : a + len(x)] = x
+        return out, np.concatenate(([0], stop))
 
     def encode(self, texts: list[str | None], end_id: int | None = None) -> list[np.ndarray]:
         """Ids of whole texts (None: empty) as uint32, each followed by ``end_id`` if given."""
-        end = np.array([] if end_id is None else [end_id], "<u4")
-        out: list = [None] * len(texts)
-        usual = []
-        for i, t in enumerate(texts):
-            if not t:
-                out[i] = end
-            elif self._direct(t):
-                out[i] = np.concatenate((np.array(self.raw(t), "<u4"), end))
-            else:
-                usual.append(i)
-        if not usual:
-            return out
-        lists = pc.split_pattern(pa.array([texts[i] for i in usual], pa.large_string()), " ")
-        offsets = np.asarray(lists.offsets)
-        coded = lists.values.dictionary_encode()
-        index, words = np.array(coded.indices), coded.dictionary.to_pylist()
-        if not self.plain:  # a chunk has its space, unless it is the first of its text
-            first = offsets[:-1]
-            heads, back = np.unique(index[first], return_inverse=True)
-            index[first] = len(words) + back
-            words = [" " + w for w in words] + [words[i] for i in heads.tolist()]
-            kept, index = np.unique(index, return_inverse=True)  # those that occur in this form
-            words = [words[i] for i in kept.tolist()]
-        found = self._lookup(words)
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        flat = np.frombuffer(b"".join(found), "<u4")
-        begin = np.cumsum(sizes) - sizes
-        n = sizes[index]
-        stop = np.cumsum(n)
-        ids = flat[np.arange(stop[-1]) + np.repeat(begin[index] - stop + n, n)]
-        edges = np.concatenate(([0], stop))[offsets]
-        for i, a, b in zip(usual, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            out[i] = np.concatenate((ids[a:b], end))
-        return out
+        ids, edges = self.encode_flat(pa.array(texts, pa.large_string()), end_id)
+        return np.split(ids, edges[1:-1]) if len(texts) else []
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
 def encoder(path: str) -> ChunkEncoder:
-    """This worker's encoder for a tokenizer file, as the library encodes by default."""
+    """This worker's encoder for a tokenizer file."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path, special=True)
+        _ENCODERS[path] = ChunkEncoder(path)
     return _ENCODERS[path]
 
 
+def runs_of(texts: pa.Array, limit: int = 4 << 20):
+    """(start, end) of consecutive runs of texts of at most ``limit`` bytes, or one text."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
+    a = size = 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > a and size + n > limit:
+            yield a, i
+            a, size = i, 0
+        size += n
+    if len(sizes):
+        yield a, len(sizes)
+
+
 def batches_of(texts, limit: int = 8_000_000):
     """Consecutive runs (start, list of texts) of at most ``limit`` characters, or one text."""
     run, size, start = [], 0, 0

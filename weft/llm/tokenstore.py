@@ -20,13 +20,12 @@ other columns are ignored.
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.tokenize import batches_of, encoder
+from weft.llm.tokenize import encoder, runs_of
 
 #: Fixed values of the format: ids in a word and their width in bits, by selector; 15 escapes.
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
@@ -131,30 +130,35 @@ def write(
 ) -> None:
     """Encode whole texts in ascending ``id_col`` and write the files."""
 
-    def row(part, nth, before, keys, ids):
-        sizes = np.array([len(x) for x in ids], "<u8")
-        words, blocks = encode(np.concatenate(ids))
+    def row(part, nth, before, keys, ids, sizes):
+        words, blocks = encode(ids)
         nulls = np.array([k is None for k in keys])
         names = np.array([0 if k is None else k for k in keys], "<i8").tobytes() + np.packbits(nulls).tobytes()
         starts = np.concatenate(([0], np.cumsum(sizes))).astype("<u8").tobytes()
-        return part, nth, before, len(keys), int(sizes.sum()), names, starts, words.tobytes(), blocks.tobytes()
+        return part, nth, before, len(keys), len(ids), names, starts, words.tobytes(), blocks.tobytes()
 
     def run(batches):
         from pyspark import TaskContext
 
-        part, nth, before, keys, ids, held = TaskContext.get().partitionId(), 0, 0, [], [], 0
+        part, nth, before = TaskContext.get().partitionId(), 0, 0
+        keys, ids, sizes, held = [], [], [], 0
         for batch in batches:
-            names = batch.column(0).to_pylist()
-            for start, texts in batches_of(batch.column(1).to_pylist()):
-                for i, x in enumerate(encoder(tokenizer).encode(texts, end_id), start):
-                    keys.append(names[i])
-                    ids.append(x)
-                    held += len(x)
+            names, whole = batch.column(0).to_pylist(), batch.column(1)
+            for a, b in runs_of(whole):
+                flat, edges = encoder(tokenizer).encode_flat(whole[a:b], end_id)
+                done = a
+                while done < b:  # as many documents as fill the row
+                    over = int(np.searchsorted(edges, edges[done - a] + ROW_IDS - held)) + a
+                    upto = min(b, max(done + 1, over))
+                    keys += names[done:upto]
+                    ids.append(flat[edges[done - a] : edges[upto - a]])
+                    sizes.append(np.diff(edges[done - a : upto - a + 1]))
+                    held, done = held + len(ids[-1]), upto
                     if held >= ROW_IDS:
-                        yield to_batch([row(part, nth, before, keys, ids)])
-                        nth, before, keys, ids, held = nth + 1, before + held, [], [], 0
+                        yield to_batch([row(part, nth, before, keys, np.concatenate(ids), np.concatenate(sizes))])
+                        nth, before, keys, ids, sizes, held = nth + 1, before + held, [], [], [], 0
         if keys:
-            yield to_batch([row(part, nth, before, keys, ids)])
+            yield to_batch([row(part, nth, before, keys, np.concatenate(ids), np.concatenate(sizes))])
 
     def to_batch(rows):
         kinds = [pa.int32(), *[pa.int64()] * 4, *[pa.binary()] * 4]
