@@ -153,6 +153,35 @@ def test_block_max_search_is_exact():
     assert set(index.search([text])[0]) == want >= {7, 40}
 
 
+def test_retrieval_is_that_of_exhaustive_scoring():
+    """Block-max WAND finds exactly the items whose BM25 reaches the threshold, and passes over postings."""
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(300)]
+    weights = [1 / (i + 1) for i in range(300)]
+    items = [(i, " ".join(rng.choices(vocabulary, weights, k=rng.randint(5, 25)))) for i in range(400)]
+    index = decontam.Index(items)
+    listed = [t.split() for _, t in items]
+    df = {w: sum(w in ws for ws in listed) for w in vocabulary}
+    mean = sum(map(len, listed)) / len(listed)
+
+    def weight(w, ws):
+        tf = ws.count(w)
+        idf = np.log(1 + (len(items) - df[w] + 0.5) / (df[w] + 0.5))
+        return idf * tf * (decontam.K1 + 1) / (tf + decontam.K1 * (1 - decontam.B + decontam.B * len(ws) / mean))
+
+    lookup = {w: i for i, w in enumerate(index.lookup.to_pylist())}
+    read = 0
+    for threshold in (0.3, 0.6, 0.9):
+        for _ in range(60):
+            query = set(rng.choices(vocabulary, weights, k=40)) | set(rng.choice(listed))
+            scores = [sum(weight(w, ws) for w in query if w in ws) / sum(weight(w, ws) for w in set(ws)) for ws in listed]
+            terms = np.array(sorted(lookup[w] for w in query if w in lookup))
+            want = [i for i, x in enumerate(scores) if x >= threshold - 1e-9]
+            assert sorted(index.retrieve(terms, threshold - 1e-9)) == want
+            read += int(np.diff(index.pointer)[terms].sum())
+    assert index.scored < read / 2
+
+
 def test_decontamination_hard_cases(spark, hard, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, None), (2, "..."), (3, "same text here"), (4, "same text here")], "item_id long, text string")
@@ -161,12 +190,15 @@ def test_decontamination_hard_cases(spark, hard, empty):
     assert got[11] == [3, 4] and got[1] == []
     assert decontam.clean(hard, some).count() == len(HARD) - 2 and decontam.clean(hard, some).columns == hard.columns
     assert decontam.matches(empty, some).count() == 0
+    long = docs_of(spark, ["filler " * 30_000 + "same text here " + "filler " * 30_000] * 2 + ["same text here"], [1, 1, 1])
+    assert sorted(len(r.item_ids) for r in decontam.matches(long, some).collect()) == [2, 2, 2]
 
 
 def test_index_in_parts_finds_the_same(spark, monkeypatch):
     docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     whole = {r.id: r.item_ids for r in decontam.matches(docs, items).collect()}
-    monkeypatch.setattr(decontam, "INDEX_BYTES", 4000)
+    monkeypatch.setattr(decontam, "INDEX_BYTES", 8_000)
+    assert len(list(decontam.indexes(items))) > 2
     assert {r.id: r.item_ids for r in decontam.matches(docs, items).collect()} == whole
 
 

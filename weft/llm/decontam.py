@@ -1,59 +1,75 @@
 """Benchmark decontamination: BM25 with block-max WAND, then exact overlap.
 
-Test items are indexed: per term a posting list in blocks of ``BLOCK_ITEMS`` items with
-each block's largest impact. Impacts are divided by the item's score against itself, so
-that one threshold holds for all items. Every document is cut into overlapping passages
-of twice the longest item's words, a stride of one such length apart, so that each
-stretch as long as an item lies whole in some passage. Each passage is a query: the sum
-of its terms' largest impacts bounds any item's score and drops most passages; the sums
-of block maxima then drop most blocks; the rest are scored exactly and every item at
-or over the threshold is kept. Bounds are taken for many passages at a time. A kept
-item is verified: its question and its answer (its last sentence, or what follows an
-answer mark) must each have at least ``overlap`` of their word shingles in the passage.
-
-An index larger than ``INDEX_BYTES`` of text is dealt by item into parts of at most that
-size, with corpus-wide term statistics, and the documents are scanned once per part, so
-that what a task holds is bounded. Long documents are read in stretches of passages.
+Test items are indexed: per term a posting list in order of items, and the largest impact in
+each block of ``BLOCK_ITEMS`` items that the list meets (others are not stored). Impacts are
+divided by the item's score against itself, so that one threshold holds for all items. Every
+document is cut into overlapping passages of twice the longest item's words, a stride of one
+such length apart, so that each stretch as long as an item lies whole in some passage. Each
+passage is a query, and every item at or over the threshold is retrieved. For many passages at
+a time, the sum of the terms' largest impacts, then the sums of their block maxima, tell which
+passages can reach the threshold at all; each of these is searched with block-max WAND: lists
+are kept in order of their next item, the pivot is where the largest impacts add up to the
+threshold, a pivot whose block maxima do not is skipped with the rest of its block, and only
+items that pass both are scored. A retrieved item is verified: its question and its answer (its
+last sentence, or what follows an answer mark) must each have at least ``overlap`` of their
+word shingles in the passage.
+
+An index of more than ``INDEX_BYTES`` of text is dealt by a hash of id and text into parts of
+half that size on average, with statistics of all items, taken with the same splitter. The
+documents are scanned once per part, whose matches are written before the next part is made,
+so that one part at a time is in memory; matches are united by row. Long documents are read in
+stretches of passages.
 
 Defined results: NULL or word-less text matches nothing; items that are NULL or without
-words are ignored; an item shorter than a shingle is one shingle; repeated items are
-reported under each id; repeated rows give repeated rows; empty tables on either side
-give no match; other columns are kept by ``clean`` and ignored by ``matches``.
+words are ignored; an item shorter than a shingle is one shingle; items repeated under several
+ids are reported under each id, repeated rows of items once; repeated rows of documents give
+repeated rows; empty tables on either side give no match; other columns are kept by ``clean``
+and ignored by ``matches``, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from weft.llm.tokenize import batches_of
+from weft.session import materialize, release
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6  # of an item's score against itself
 OVERLAP = 0.8
 SHINGLE = 5
-BLOCK_ITEMS = 8  # at least; more where a part of the index would have over MAX_BLOCKS
-MAX_BLOCKS = 256
+BLOCK_ITEMS = 8
 INDEX_BYTES = 4 << 20
 _CELLS = 1 << 22  # bounds held at once
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _ANSWER = re.compile(r"(?:^|\n)\s*(?:answer|a)\s*[:.]\s*", re.I)
 
 
-def split_words(texts: list[str | None]) -> pa.LargeListArray:
+def split_words(texts: list[str | None] | pa.Array) -> pa.LargeListArray:
     """Lower-cased runs of letters, digits and underscores; texts start and end with an empty one."""
     spaced = pc.replace_substring_regex(pc.utf8_lower(pa.array(texts, pa.large_string())), r"[^\pL\pN_]+", " ")
     return pc.split_pattern(pc.fill_null(spaced, ""), " ")
 
 
+def words_of(texts: list[str | None]) -> list[list[str]]:
+    """The words of each text, all split in one call."""
+    return [[w for w in ws if w] for ws in split_words(texts).to_pylist()]
+
+
 def words(text: str | None) -> list[str]:
-    return [w for w in split_words([text])[0].as_py() if w]
+    return words_of([text])[0]
+
+
+def _has_word(text: str) -> bool:
+    return any(c.isalnum() or c == "_" for c in text)
 
 
 def question_and_answer(text: str) -> tuple[str, str]:
@@ -61,10 +77,10 @@ def question_and_answer(text: str) -> tuple[str, str]:
     m = None
     for m in _ANSWER.finditer(text):
         pass
-    if m and words(text[: m.start()]) and words(text[m.end() :]):
+    if m and _has_word(text[: m.start()]) and _has_word(text[m.end() :]):
         return text[: m.start()], text[m.end() :]
     parts = _SENTENCE.split(text.strip())
-    if len(parts) > 1 and words(parts[-1]):
+    if len(parts) > 1 and _has_word(parts[-1]):
         return text.strip()[: -len(parts[-1])], parts[-1]
     return text, text
 
@@ -80,57 +96,96 @@ class Index:
     """
 
     def __init__(self, items: list[tuple[int, str]], df: dict[str, int] | None = None, n_items: int = 0, mean_words: float = 0.0, longest: int = 0):
-        items = [(i, t) for i, t in items if words(t)]
-        listed = [words(t) for _, t in items]
+        listed = words_of([t for _, t in items])
+        items = [x for x, ws in zip(items, listed, strict=True) if ws]
+        listed = [ws for ws in listed if ws]
         self.ids = [i for i, _ in items]
-        self.parts = []
-        for _, t in items:
-            q, a = question_and_answer(t)
-            self.parts.append((shingles(words(q)), shingles(words(a))))
-        self.df = df or Counter(w for ws in listed for w in set(ws))
-        n_items = n_items or len(items)
-        mean_words = mean_words or (sum(map(len, listed)) / len(listed) if listed else 1.0)
-        self.window = max(longest, max(map(len, listed), default=1), SHINGLE) + 1  # the empty word at an end
-        self.vocabulary = {w: k for k, w in enumerate(sorted({w for ws in listed for w in ws}))}
-        self.lookup = pa.array(sorted(self.vocabulary), pa.large_string())
-        postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
-        for item, ws in enumerate(listed):
-            impact = {}
-            for w, tf in Counter(ws).items():
-                idf = np.log(1 + (n_items - self.df[w] + 0.5) / (self.df[w] + 0.5))
-                impact[w] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ws) / mean_words))
-            own = sum(impact.values())
-            for w, v in impact.items():
-                postings[self.vocabulary[w]].append((item, v / own))
-        self.block_items = max(BLOCK_ITEMS, -(-len(items) // MAX_BLOCKS))
-        self.n_blocks = max(1, -(-len(items) // self.block_items))
-        self.block_max = np.zeros((len(self.vocabulary), self.n_blocks), np.float32)
-        order = sorted(postings)
-        self.pointer = np.concatenate(([0], np.cumsum([len(postings[t]) for t in order]))).astype(np.int64)
-        self.item = np.array([i for t in order for i, _ in postings[t]], np.int64)
-        self.impact = np.array([v for t in order for _, v in postings[t]])
-        owner = np.repeat(np.arange(len(order)), np.diff(self.pointer))
-        np.maximum.at(self.block_max, (owner, self.item // self.block_items), self.impact.astype(np.float32))
-        self.term_max = self.block_max.max(1)
-
-    def retrieve(self, terms: np.ndarray, blocks: np.ndarray, threshold: float) -> list[int]:
-        """Items of the given blocks with an exact score of at least the threshold."""
-        a, n = self.pointer[terms], np.diff(self.pointer)[terms]
-        stop = np.cumsum(n)
-        at = np.arange(stop[-1]) + np.repeat(a - stop + n, n)
-        score = np.bincount(self.item[at], weights=self.impact[at], minlength=len(self.ids))
-        over = np.nonzero(score >= threshold)[0]
-        return over[np.isin(over // self.block_items, blocks)].tolist()
-
-    def _bounds(self, term: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Sums of block maxima of each passage whose terms start at ``first``."""
-        out = np.zeros((len(first), self.n_blocks), np.float32)
+        halves = [question_and_answer(t) for _, t in items]
+        questions, answers = words_of([q for q, _ in halves]), words_of([a for _, a in halves])
+        self.parts = [(shingles(q), shingles(a)) for q, a in zip(questions, answers, strict=True)]
+        sizes = np.array([len(ws) for ws in listed], np.int64)
+        self.window = max(longest, int(sizes.max(initial=1)), SHINGLE) + 1  # the empty word at an end
+        vocabulary, code = np.unique(np.array([w for ws in listed for w in ws], object), return_inverse=True) if items else (np.zeros(0, object), np.zeros(0, np.int64))
+        self.lookup = pa.array(vocabulary.tolist(), pa.large_string())
+        pair, tf = np.unique(code.reshape(-1).astype(np.int64) * max(1, len(items)) + np.repeat(np.arange(len(items)), sizes), return_counts=True)
+        term, self.item = pair // max(1, len(items)), pair % max(1, len(items))  # by term, then item
+        n = n_items or len(items)
+        mean = mean_words or (float(sizes.mean()) if items else 1.0)
+        count = np.bincount(term, minlength=len(vocabulary)) if df is None else np.array([df[w] for w in vocabulary.tolist()], np.float64)
+        idf = np.log(1 + (n - count + 0.5) / (count + 0.5))
+        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[self.item] / mean))
+        own = np.bincount(self.item, weights=impact, minlength=len(items))
+        self.impact = impact / own[self.item]
+        self.pointer = np.searchsorted(term, np.arange(len(vocabulary) + 1))
+        # Block maxima, one entry for each block that a term's list meets.
+        self.n_blocks = max(1, -(-len(items) // BLOCK_ITEMS))
+        key = term * self.n_blocks + self.item // BLOCK_ITEMS
+        first = np.nonzero(np.diff(key, prepend=-1))[0]
+        self.block = key[first] % self.n_blocks
+        self.block_max = np.maximum.reduceat(self.impact, first) if len(first) else np.zeros(0)
+        self.block_pointer = np.searchsorted(term[first], np.arange(len(vocabulary) + 1))
+        self.term_max = np.array([self.block_max[a:b].max() for a, b in zip(self.block_pointer[:-1], self.block_pointer[1:], strict=True)])
+        self.scored = 0  # postings read by ``retrieve``
+
+    def retrieve(self, terms: np.ndarray, threshold: float) -> list[int]:
+        """Items whose score over the given distinct terms is at least the threshold, by block-max WAND."""
+        lists = []  # [next item, place of it, items, impacts, largest impact, its block maxima]
+        for t in terms.tolist():
+            a, b = self.pointer[t], self.pointer[t + 1]
+            c, d = self.block_pointer[t], self.block_pointer[t + 1]
+            maxima = dict(zip(self.block[c:d].tolist(), self.block_max[c:d].tolist(), strict=True))
+            items = self.item[a:b].tolist()
+            lists.append([items[0], 0, items, self.impact[a:b].tolist(), float(self.term_max[t]), maxima])
+        found, end = [], len(self.ids)
+
+        def move(entry: list, item: int) -> None:
+            """To the first posting at or after ``item``, passing over those between."""
+            entry[1] = bisect_left(entry[2], item, entry[1])
+            entry[0] = entry[2][entry[1]] if entry[1] < len(entry[2]) else end
+
+        while True:
+            lists.sort(key=lambda x: x[0])
+            bound, pivot = 0.0, -1
+            for p, entry in enumerate(lists):
+                if entry[0] == end:
+                    break
+                bound += entry[4]
+                if bound >= threshold:
+                    pivot = p
+                    break
+            if pivot < 0:
+                return found
+            item = lists[pivot][0]
+            while pivot + 1 < len(lists) and lists[pivot + 1][0] == item:
+                pivot += 1
+            block = item // BLOCK_ITEMS
+            if sum(entry[5].get(block, 0.0) for entry in lists[: pivot + 1]) < threshold:
+                after = min((block + 1) * BLOCK_ITEMS, lists[pivot + 1][0] if pivot + 1 < len(lists) else end)
+                for entry in lists[: pivot + 1]:
+                    move(entry, after)
+                continue
+            for entry in lists[: pivot + 1]:
+                move(entry, item)
+            at = [entry for entry in lists[: pivot + 1] if entry[0] == item]
+            self.scored += len(at)
+            if sum(entry[3][entry[1]] for entry in at) >= threshold:
+                found.append(item)
+            for entry in at:
+                move(entry, item + 1)
+
+    def _reach(self, term: np.ndarray, first: np.ndarray, threshold: float) -> np.ndarray:
+        """Which passages, whose terms start at ``first``, have a block whose maxima add up to the threshold."""
+        out = np.zeros(len(first), bool)
         step, ends = max(1, _CELLS // self.n_blocks), np.append(first[1:], len(term))
-        a = 0
-        while a < len(first):
-            b = max(a + 1, int(np.searchsorted(ends, first[a] + step, side="right")))
-            out[a:b] = np.add.reduceat(self.block_max[term[first[a] : ends[b - 1]]], first[a:b] - first[a])
-            a = b
+        for a in range(0, len(first), step):
+            b = min(len(first), a + step)
+            mine = term[first[a] : ends[b - 1]]
+            n = self.block_pointer[mine + 1] - self.block_pointer[mine]
+            stop = np.cumsum(n)
+            at = np.arange(stop[-1]) + np.repeat(self.block_pointer[mine] - stop + n, n)
+            passage = np.repeat(np.repeat(np.arange(b - a), ends[a:b] - first[a:b]), n)
+            sums = np.bincount(passage * self.n_blocks + self.block[at], weights=self.block_max[at], minlength=(b - a) * self.n_blocks)
+            out[a:b] = sums.reshape(b - a, self.n_blocks).max(1) >= threshold
         return out
 
     def search(self, texts: list[str | None], threshold: float = THRESHOLD, overlap: float = OVERLAP) -> list[dict[int, float]]:
@@ -149,10 +204,10 @@ class Index:
         doc = np.searchsorted(offsets, hit, side="right") - 1
         halves = -(-np.diff(offsets) // self.window) + 1
         before = np.cumsum(halves) - halves
-        size = len(self.vocabulary)
+        size = len(self.lookup)
         half = before[doc] + (hit - offsets[doc]) // self.window
         bound = np.bincount(half, weights=self.term_max[term], minlength=int(halves.sum()) + 1)
-        slack = threshold - 1e-4  # bounds are single precision
+        slack = threshold - 1e-9
         likely = bound[:-1] + bound[1:] >= slack  # the bound over all blocks, repeated words and all
         late, early = likely[half], np.maximum(half - 1, 0)
         key = np.concatenate((half[late] * size + term[late], early[likely[early]] * size + term[likely[early]]))
@@ -162,11 +217,10 @@ class Index:
         first = np.nonzero(np.diff(passages, prepend=-1))[0]
         if not len(first):
             return found
-        bounds = self._bounds(terms, first)
         ends = np.append(first[1:], len(key))
-        for p in np.nonzero((bounds >= slack).any(1))[0].tolist():
+        for p in np.nonzero(self._reach(terms, first, slack))[0].tolist():
             k = int(passages[first[p]])
-            items = self.retrieve(terms[first[p] : ends[p]], np.nonzero(bounds[p] >= slack)[0], threshold - 1e-9)
+            items = self.retrieve(terms[first[p] : ends[p]], slack)
             if not items:
                 continue
             d = int(np.searchsorted(before, k, side="right")) - 1
@@ -189,25 +243,46 @@ def _share(part: set, there: set, ws: list[str]) -> float:
     return len(part & there) / len(part)
 
 
+def _distinct_items(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return items.where(text.isNotNull()).select(F.col(id_col).alias("id"), text.alias("t")).distinct()
+
+
+def _worded(items: DataFrame) -> DataFrame:
+    """(part, n, w): the part, number of words and distinct words of each item with words."""
+
+    def run(batches):
+        for batch in batches:
+            listed = words_of(batch.column(1).to_pylist())
+            keep = [i for i, ws in enumerate(listed) if ws]
+            columns = [pa.array([len(listed[i]) for i in keep], pa.int64()), pa.array([sorted(set(listed[i])) for i in keep], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), *columns], ["part", "n", "w"])
+
+    return items.select("part", "t").mapInArrow(run, "part bigint, n bigint, w array<string>")
+
+
+def _collected(items: DataFrame) -> list[tuple]:
+    return sorted(((r.id, r.t) for r in items.select("id", "t").collect()), key=lambda r: (r[0] is None, r[0], r[1]))
+
+
 def indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text"):
     """Index parts of bounded size, one at a time, with statistics of all items."""
-    slim = items.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
+    slim = _distinct_items(items, id_col, text_col)
     total = slim.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).first().b
-    parts = max(1, -(-int(total) // INDEX_BYTES))
-    if parts == 1:
-        got = sorted(((r.id, r.t) for r in slim.collect()), key=lambda r: (r[0] is None, r[0], r[1]))  # at most INDEX_BYTES
-        yield Index(got)
+    parts = 2 * -(-int(total) // INDEX_BYTES)
+    if parts <= 2:
+        yield Index(_collected(slim))  # at most INDEX_BYTES
         return
-    w = slim.select("id", "t", F.regexp_extract_all(F.lower("t"), F.lit(r"(?U)(\w+)"), 1).alias("w"))
-    stats = w.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("m"), F.max(F.size("w")).alias("x")).first()
-    df = w.select(F.explode(F.array_distinct("w")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    for p in range(2 * parts):
-        mine = slim.where(F.pmod(F.xxhash64("id", "t"), F.lit(2 * parts)) == p)
-        got = sorted(((r.id, r.t) for r in mine.collect()), key=lambda r: (r[0] is None, r[0], r[1]))
-        have = {x for _, t in got for x in words(t)}
-        counts = mine.select(F.explode(F.regexp_extract_all(F.lower("t"), F.lit(r"(?U)(\w+)"), 1)).alias("w")).distinct()
-        known = {r.w: r.n for r in df.join(counts, "w").collect()}
-        yield Index(got, {x: known.get(x, 1) for x in have}, stats.n, stats.m, stats.x)
+    dealt = materialize(slim.withColumn("part", F.pmod(F.xxhash64("id", "t"), F.lit(parts))))
+    worded = materialize(_worded(dealt))
+    stats = worded.agg(F.count(F.lit(1)).alias("n"), F.avg("n").alias("m"), F.max("n").alias("x")).first()
+    each = worded.select("part", F.explode("w").alias("w"))
+    df = materialize(each.groupBy("w").agg(F.count(F.lit(1)).alias("n")))
+    for p in range(parts):
+        own = df.join(each.where(F.col("part") == p).select("w").distinct(), "w")
+        known = {r.w: r.n for r in own.collect()}  # words of a part
+        yield Index(_collected(dealt.where(F.col("part") == p)), known, stats.n, stats.m, stats.x)
+    release(dealt, worded, df)
 
 
 def matches(
@@ -218,29 +293,48 @@ def matches(
     return _with_matches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), items, "t", item_col, threshold, overlap).drop("t")
 
 
+def _found(docs: DataFrame, index: Index, text_col: str, item_kind: str, threshold: float, overlap: float, only_hits: bool) -> DataFrame:
+    """``docs`` without the text column but with ``item_ids`` and ``overlap``; ``only_hits``: without rows that match nothing."""
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+    at = docs.columns.index(text_col)
+    rest = [c for c in docs.columns if c != text_col]
+
+    def run(batches):
+        index = shared.value
+        for batch in batches:
+            found = []
+            for _, texts in batches_of(batch.column(at).to_pylist()):
+                found += index.search(texts, threshold, overlap)
+            ids = [sorted({index.ids[i] for i in f}, key=lambda x: (x is None, x)) for f in found]
+            best = [max([0.0, *f.values()]) for f in found]
+            columns = [batch.column(i) for i in range(batch.num_columns) if i != at]
+            out = pa.RecordBatch.from_arrays([*columns, pa.array(ids, kind), pa.array(best, pa.float64())], [*rest, "item_ids", "overlap"])
+            yield out.filter(pa.array([bool(f) for f in found], pa.bool_())) if only_hits else out
+
+    schema = docs.select(*rest, F.array().cast(f"array<{item_kind}>").alias("item_ids"), F.lit(0.0).alias("overlap")).schema
+    kind = to_arrow_type(schema["item_ids"].dataType)
+    return docs.mapInArrow(run, schema)
+
+
 def _with_matches(docs: DataFrame, items: DataFrame, text_col: str, item_col: str, threshold: float, overlap: float) -> DataFrame:
-    item_kind = items.schema[item_col].dataType.simpleString()
-    out = docs.withColumns({"item_ids": F.array().cast(f"array<{item_kind}>"), "overlap": F.lit(0.0)})
-    spark = docs.sparkSession
-    for index in indexes(items, item_col):
-        shared = spark.sparkContext.broadcast(index)
-        at = out.columns.index(text_col)
-
-        def run(batches, shared=shared, at=at):
-            for batch in batches:
-                index = shared.value
-                ids, best, found_all = [], [], []
-                for _, texts in batches_of(batch.column(at).to_pylist()):
-                    found_all += index.search(texts, threshold, overlap)
-                for found, had, score in zip(found_all, batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1), strict=True):
-                    ids.append(sorted({*had.as_py(), *(index.ids[i] for i in found)}, key=lambda x: (x is None, x)))
-                    best.append(max([score.as_py(), *found.values()]))
-                columns = [batch.column(i) for i in range(batch.num_columns - 2)]
-                kind = batch.schema.types[-2]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, kind), pa.array(best, pa.float64())], batch.schema.names)
-
-        out = out.mapInArrow(run, out.schema)
-    return out
+    """``docs`` (columns without the names used here) with ``item_ids`` and ``overlap``."""
+    kind = items.schema[item_col].dataType.simpleString()
+    text = F.col(text_col).cast("string")
+    made = indexes(items, item_col)
+    index, more = next(made), next(made, None)
+    if more is None:
+        out = _found(docs.withColumn("text_", text), index, "text_", kind, threshold, overlap, False)
+        return out.select(*docs.columns, "item_ids", "overlap")
+    rows = materialize(docs.withColumn("row_", F.monotonically_increasing_id()))
+    slim, hits = rows.select("row_", text.alias("text_")), None
+    while index is not None:
+        found = materialize(_found(slim, index, "text_", kind, threshold, overlap, True))
+        hits = found if hits is None else hits.unionByName(found)
+        index, more = more, next(made, None)
+    by_row = hits.groupBy("row_").agg(F.array_sort(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), F.max("overlap").alias("overlap"))
+    out = rows.join(by_row, "row_", "left")
+    none = F.array().cast(f"array<{kind}>")
+    return out.select(*docs.columns, F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
 
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
