@@ -326,15 +326,38 @@ def brute_top(rows, k):
 
 def test_top_k_matches_brute_force(spark, monkeypatch):
     monkeypatch.setattr(kdtree, "SHARD_ROWS", 120)
-    monkeypatch.setattr(kdtree, "BLOCK_ROWS", 4)
     rng = np.random.default_rng(4)
     rows = [(i, rng.normal(size=8).astype(float).tolist()) for i in range(500)]
     rows += [(i, [1.0] * 8) for i in range(500, 700)] + [(900, None), (901, []), (902, [None] * 8), (903, [float("nan")] * 8), (950, [1e6] * 8), (1000, [1.0, 2.0])]
-    df = kdtree.whole_numbers(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    schema = "vec_id long, embedding array<double>, id int, v string, shard int, size int, tree string, floor int"
+    df = kdtree.whole_numbers(spark.createDataFrame([(*r, 1, "x", 2, 3, "y", 4) for r in rows], schema))
     got = kdtree.top_k(df.where("id % 50 = 0"), df, 5)
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got.collect()) == brute_top(rows, 5)
     nothing = df.where("id < 0")
     assert kdtree.top_k(nothing, nothing, 5).count() == 0
+    assert kdtree.top_k(df.where("id = 0"), df.where("id in (0, 7)"), 5).count() == 1
+
+
+def test_top_k_of_very_large_components(spark, monkeypatch):
+    """Exact in rank beyond what doubles and longs hold; scores end at the longs' ends."""
+    monkeypatch.setattr(kdtree, "SHARD_ROWS", 30)
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(size=4) * 10.0 ** rng.integers(-1, 25)).tolist()) for i in range(150)]
+    rows += [(i, (rng.normal(size=4) * 1e9).tolist()) for i in range(150, 250)]
+    df = kdtree.whole_numbers(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = kdtree.top_k(df.where("id % 50 = 0"), df, 5)
+
+    def long(x):
+        return min(max(x, -(2**63)), 2**63 - 1)
+
+    def floor(x):
+        return int(np.floor(256 * x))
+
+    want = []
+    for q, v in rows[::50]:
+        best = sorted((-sum(floor(a) * floor(b) for a, b in zip(v, w, strict=True)), i) for i, w in rows if i != q)[:5]
+        want += [(q, r, i, long(-s)) for r, (s, i) in enumerate(best, 1)]
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got.collect()) == want
 
 
 # 7 and tokenizing ------------------------------------------------------------
