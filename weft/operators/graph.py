@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.session import materialize
+
 # Fixed values that task scores are defined by.
 STRUCTURE_BONUS = {
     "chain_2": 0.00, "chain_3": 0.03, "chain_4": 0.06, "chain_5": 0.09,
@@ -58,7 +60,8 @@ def edge_aggregate(alignments: DataFrame) -> DataFrame:
 def with_dense_id(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
     """Numbers 1.. in a global order, from sorted partitions and their sizes, without a one-partition window."""
     ordered = df.repartitionByRange(*[F.col(o) if isinstance(o, str) else o for o in order]).sortWithinPartitions(*order)
-    marked = ordered.withColumns({"_p": F.spark_partition_id(), "_m": F.monotonically_increasing_id()})
+    # Written once: partition numbers read twice must be those of one run.
+    marked = materialize(ordered.withColumns({"_p": F.spark_partition_id(), "_m": F.monotonically_increasing_id()}))
     sizes = marked.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_first"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     base = sizes.select("_p", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
@@ -107,6 +110,19 @@ def hub_weights(edges: DataFrame) -> DataFrame:
     return d.crossJoin(F.broadcast(most)).select("node", (F.log1p("degree") / F.log1p("_most")).alias("weight"))
 
 
+def with_hub_weights(edges: DataFrame) -> DataFrame:
+    """Edges with the hub weights of both ends, so that tasks made of them carry their weights along."""
+    w = hub_weights(edges)
+    out = edges.join(w.select(F.col("node").alias("source"), F.col("weight").alias("source_weight")), "source")
+    return out.join(w.select(F.col("node").alias("target"), F.col("weight").alias("target_weight")), "target")
+
+
+def _weights(edges: DataFrame) -> tuple[Column, Column]:
+    """Weights of both ends, NULL where edges carry none."""
+    there = "source_weight" in edges.columns
+    return tuple(F.col(c) if there else F.lit(None).cast("double") for c in ("source_weight", "target_weight"))
+
+
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: how many nodes are connected, only sources, only sinks, between others, or isolated."""
     d = degrees(edges)
@@ -127,61 +143,74 @@ def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def chains(out_edges: DataFrame, nodes: int) -> DataFrame:
     """Paths of ``nodes`` different nodes along trimmed out-edges."""
-    steps = out_edges.select(F.col("source").alias("_s"), F.col("target").alias("_t"), F.col("edge_score").alias("_e"))
-    found = steps.select(F.array("_s", "_t").alias("path"), F.col("_e").alias("edge_sum"), F.lit(1).alias("n_edges"))
+    sw, tw = _weights(out_edges)
+    steps = out_edges.select(F.col("source").alias("_s"), F.col("target").alias("_t"), F.col("edge_score").alias("_e"), sw.alias("_sw"), tw.alias("_tw"))
+    found = steps.select(F.array("_s", "_t").alias("path"), F.col("_e").alias("edge_sum"), F.lit(1).alias("n_edges"), (F.col("_sw") + F.col("_tw")).alias("hub_sum"))
     for _ in range(nodes - 2):
         found = (
             found.join(steps, F.element_at("path", -1) == F.col("_s"))
             .where(~F.array_contains("path", F.col("_t")))
-            .select(F.concat("path", F.array("_t")).alias("path"), (F.col("edge_sum") + F.col("_e")).alias("edge_sum"), (F.col("n_edges") + 1).alias("n_edges"))
-        )
+            .select(
+                F.concat("path", F.array("_t")).alias("path"), (F.col("edge_sum") + F.col("_e")).alias("edge_sum"), (F.col("n_edges") + 1).alias("n_edges"),
+                (F.col("hub_sum") + F.col("_tw")).alias("hub_sum"),
+            )
+        )
     return found.withColumn("category", F.lit(f"chain_{nodes}"))
 
 
 def _choose(edges: DataFrame, hub: str, other: str, k: int) -> DataFrame:
-    """(hub, others, edge_sum): each choice of ``k`` of a hub's ranked edges, in rank order."""
-    slim = edges.select(F.col(hub).alias("_h"), F.col(other).alias("_o"), F.col("edge_score").alias("_e"), F.col("rank").alias("_r"))
-    found = slim.select(F.col("_h").alias("hub"), F.array("_o").alias("others"), F.col("_e").alias("edge_sum"), F.col("_r").alias("last"))
+    """(hub, others, edge_sum, hub_sum): each choice of ``k`` of a hub's ranked edges, in rank order."""
+    weights = dict(zip(("source", "target"), _weights(edges), strict=True))
+    slim = edges.select(
+        F.col(hub).alias("_h"), F.col(other).alias("_o"), F.col("edge_score").alias("_e"), F.col("rank").alias("_r"),
+        weights[hub].alias("_hw"), weights[other].alias("_ow"),
+    )
+    found = slim.select(F.col("_h").alias("hub"), F.array("_o").alias("others"), F.col("_e").alias("edge_sum"), F.col("_r").alias("last"), (F.col("_hw") + F.col("_ow")).alias("hub_sum"))
     for _ in range(k - 1):
         found = found.join(slim, (F.col("hub") == F.col("_h")) & (F.col("_r") > F.col("last"))).select(
-            "hub", F.concat("others", F.array("_o")).alias("others"), (F.col("edge_sum") + F.col("_e")).alias("edge_sum"), F.col("_r").alias("last")
-        )
+            "hub", F.concat("others", F.array("_o")).alias("others"), (F.col("edge_sum") + F.col("_e")).alias("edge_sum"), F.col("_r").alias("last"),
+            (F.col("hub_sum") + F.col("_ow")).alias("hub_sum"),
+        )
     return found
 
 
 def fan_out(out_edges: DataFrame, nodes: int) -> DataFrame:
     """A source with ``nodes`` - 1 of its trimmed out-edges."""
     f = _choose(out_edges, "source", "target", nodes - 1)
-    return f.select(F.concat(F.array("hub"), "others").alias("path"), "edge_sum", F.lit(nodes - 1).alias("n_edges"), F.lit(f"fan_out_{nodes}").alias("category"))
+    return f.select(F.concat(F.array("hub"), "others").alias("path"), "edge_sum", F.lit(nodes - 1).alias("n_edges"), "hub_sum", F.lit(f"fan_out_{nodes}").alias("category"))
 
 
 def fan_in(in_edges: DataFrame, nodes: int) -> DataFrame:
     """A target with ``nodes`` - 1 of its trimmed in-edges; the target comes last."""
     f = _choose(in_edges, "target", "source", nodes - 1)
-    return f.select(F.concat("others", F.array("hub")).alias("path"), "edge_sum", F.lit(nodes - 1).alias("n_edges"), F.lit(f"fan_in_{nodes}").alias("category"))
+    return f.select(F.concat("others", F.array("hub")).alias("path"), "edge_sum", F.lit(nodes - 1).alias("n_edges"), "hub_sum", F.lit(f"fan_in_{nodes}").alias("category"))
 
 
 def diamonds(out_edges: DataFrame) -> DataFrame:
     """a to b and c, both to d: (a, b, c, d) with b ranked before c among a's out-edges."""
-    e = out_edges.select("source", "target", "edge_score", "rank")
-    ab = e.select(F.col("source").alias("a"), F.col("target").alias("b"), F.col("edge_score").alias("e1"), F.col("rank").alias("rb"))
-    ac = e.select(F.col("source").alias("a"), F.col("target").alias("c"), F.col("edge_score").alias("e2"), F.col("rank").alias("rc"))
-    bd = e.select(F.col("source").alias("b"), F.col("target").alias("d"), F.col("edge_score").alias("e3"))
+    sw, tw = _weights(out_edges)
+    e = out_edges.select("source", "target", "edge_score", "rank", sw.alias("sw"), tw.alias("tw"))
+    ab = e.select(F.col("source").alias("a"), F.col("target").alias("b"), F.col("edge_score").alias("e1"), F.col("rank").alias("rb"), F.col("sw").alias("wa"), F.col("tw").alias("wb"))
+    ac = e.select(F.col("source").alias("a"), F.col("target").alias("c"), F.col("edge_score").alias("e2"), F.col("rank").alias("rc"), F.col("tw").alias("wc"))
+    bd = e.select(F.col("source").alias("b"), F.col("target").alias("d"), F.col("edge_score").alias("e3"), F.col("tw").alias("wd"))
     cd = e.select(F.col("source").alias("c"), F.col("target").alias("d"), F.col("edge_score").alias("e4"))
     found = ab.join(ac, "a").where("rb < rc").join(bd, "b").where("d <> a AND d <> c").join(cd, ["c", "d"])
     return found.select(
-        F.array("a", "b", "c", "d").alias("path"), F.expr("e1 + e2 + e3 + e4").alias("edge_sum"), F.lit(4).alias("n_edges"), F.lit("diamond_4").alias("category")
-    )
+        F.array("a", "b", "c", "d").alias("path"), F.expr("e1 + e2 + e3 + e4").alias("edge_sum"), F.lit(4).alias("n_edges"),
+        F.expr("wa + wb + wc + wd").alias("hub_sum"), F.lit("diamond_4").alias("category"),
+    )
 
 
 def diamond_tails(found: DataFrame, out_edges: DataFrame) -> DataFrame:
     """Diamonds with the best edge from the sink to a node outside: at most one tail each."""
-    e = out_edges.select(F.col("source").alias("_s"), F.col("target").alias("_t"), F.col("edge_score").alias("_e"), "rank")
+    _, tw = _weights(out_edges)
+    e = out_edges.select(F.col("source").alias("_s"), F.col("target").alias("_t"), F.col("edge_score").alias("_e"), "rank", tw.alias("_tw"))
     tailed = found.join(e, F.element_at("path", 4) == F.col("_s")).where(~F.array_contains("path", F.col("_t")))
     first = tailed.withColumn("_n", F.row_number().over(Window.partitionBy("path").orderBy("rank"))).where("_n = 1")
     return first.select(
-        F.concat("path", F.array("_t")).alias("path"), (F.col("edge_sum") + F.col("_e")).alias("edge_sum"), F.lit(5).alias("n_edges"), F.lit("diamond_5").alias("category")
-    )
+        F.concat("path", F.array("_t")).alias("path"), (F.col("edge_sum") + F.col("_e")).alias("edge_sum"), F.lit(5).alias("n_edges"),
+        (F.col("hub_sum") + F.col("_tw")).alias("hub_sum"), F.lit("diamond_5").alias("category"),
+    )
 
 
 def _case(column: str, table: dict, default) -> Column:
@@ -199,26 +228,17 @@ def difficulty_of(column: str = "category") -> Column:
     return _case(column, {c: level for level, cs in DIFFICULTY.items() for c in cs}, "unknown")
 
 
-def score_tasks(tasks: DataFrame, edges: DataFrame) -> DataFrame:
-    """Add mean edge score, bonus, hub penalty and quality. ``edges`` are the untrimmed ones."""
-    keyed = tasks.withColumn("_key", F.array_join("path", ","))
-    weights = hub_weights(edges)
-    members = keyed.select("_key", "category", F.posexplode("path").alias("_i", "node")).join(weights, "node")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_i", "weight"))), lambda s: s["weight"])
-    hub = members.groupBy("category", "_key").agg(F.aggregate(ordered, F.lit(0.0), lambda a, w: a + w).alias("_hub"))
+def score_tasks(tasks: DataFrame) -> DataFrame:
+    """Add mean edge score, bonus, hub penalty and quality to tasks made of edges with hub weights: no join, no shuffle."""
     mean = F.col("edge_sum") / F.col("n_edges")
-    penalty = 0.05 * F.col("_hub") / F.size("path")
-    return (
-        keyed.join(hub, ["category", "_key"])
-        .withColumns({
-            "mean_edge_score": F.round(mean, 9),
-            "structure_bonus": structure_bonus(),
-            "hub_penalty": F.round(penalty, 9),
-            "task_quality_score": F.round(mean + structure_bonus() - penalty, 9),
-            "difficulty": difficulty_of(),
-        })
-        .drop("_key", "_hub", "edge_sum")
-    )
+    penalty = 0.05 * F.col("hub_sum") / F.size("path")
+    return tasks.withColumns({
+        "mean_edge_score": F.round(mean, 9),
+        "structure_bonus": structure_bonus(),
+        "hub_penalty": F.round(penalty, 9),
+        "task_quality_score": F.round(mean + structure_bonus() - penalty, 9),
+        "difficulty": difficulty_of(),
+    }).drop("edge_sum", "hub_sum")
 
 
 def quality_topn(tasks: DataFrame, n: int = 1000) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.operators import graph
-from weft.session import table
+from weft.session import materialize, table
 
 TYPE_SQL = """CASE WHEN l_returnflag = 'R' THEN 'data_state_handoff'
   WHEN l_returnflag = 'A' THEN 'same_state_merge'
@@ -67,5 +67,10 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored edges, written once: what follows reads them several times."""
     used = alignments(spark, sf_dir).where(graph.is_used_alignment())
-    return graph.edge_quality(graph.edge_aggregate(used))
+    return materialize(graph.edge_quality(graph.edge_aggregate(used)))
+
+
+def weighted_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(graph.with_hub_weights(edges(spark, sf_dir)))

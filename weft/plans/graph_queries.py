@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weft.operators import graph
-from weft.plans.bindings import EDGES_SQL, TRIM_SQL, alignments, edges
+from weft.plans.bindings import EDGES_SQL, TRIM_SQL, alignments, edges, weighted_edges
 from weft.session import materialize, table
 
 
@@ -44,8 +44,7 @@ def graph_stats(spark, d):
 
 
 def _scored(spark, d, make):
-    e = edges(spark, d)
-    tasks = graph.quality_topn(graph.score_tasks(make(e), e))
+    tasks = graph.quality_topn(graph.score_tasks(make(weighted_edges(spark, d))))
     return tasks.select(
         "category", F.array_join("path", ",").alias("path"), "difficulty", "mean_edge_score", "hub_penalty", "task_quality_score", "task_rank"
     )
@@ -77,16 +76,14 @@ def diamond_5(spark, d):
 
 def greedy_coverage(spark, d):
     """The 20 three-node chains that cover most edges, picked one by one."""
-    e = edges(spark, d)
-    tasks = materialize(graph.score_tasks(graph.chains(graph.trim_out(e), 3), e))
+    tasks = materialize(graph.score_tasks(graph.chains(graph.trim_out(weighted_edges(spark, d)), 3)))
     return graph.greedy_coverage(tasks, 20)
 
 
 def category_stats(spark, d):
-    e = edges(spark, d)
-    outs = graph.trim_out(e)
+    outs = graph.trim_out(weighted_edges(spark, d))
     tasks = graph.chains(outs, 2).unionByName(graph.chains(outs, 3)).unionByName(graph.chains(outs, 4)).unionByName(graph.fan_out(outs, 3))
-    return graph.category_stats(graph.score_tasks(tasks, e))
+    return graph.category_stats(graph.score_tasks(tasks))
 
 
 def pair_jobs(spark, d):

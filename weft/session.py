@@ -2,8 +2,9 @@
 
 A cluster names one folder that the driver and every executor can reach in
 ``spark.checkpoint.dir``. Intermediate tables are written there as Parquet, so a
-lost executor costs only a re-read. Without that setting (tests, one machine) a
-temporary folder is made once per application.
+lost executor costs only a re-read. Without that setting a local session (tests, one machine)
+gets a temporary folder, made once per application; on a cluster it is an error, since
+executors do not see each other's folders.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     own = spark.conf.get("spark.weft.local.dir", None)
     if not own:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="weft-")
         spark.conf.set("spark.weft.local.dir", own)
     return own
