@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions import scalars as s
+from weft.session import materialize
 
 
 def number_steps(events: DataFrame, session: str, ordinal: str, is_step: Column) -> DataFrame:
@@ -100,21 +101,32 @@ def ends(edges: DataFrame, task: str) -> DataFrame:
     return tally.select(task, "node", (F.col("i") == 0).alias("is_source"), (F.col("o") == 0).alias("is_sink"))
 
 
-def all_paths(edges: DataFrame, task: str, longest: int) -> DataFrame:
-    """(task, path): every path from a source to a sink, of at most ``longest`` different nodes."""
-    role = ends(edges, task)
-    sources = role.where("is_source").select(task, F.array("node").alias("path"))
+def all_paths(edges: DataFrame, task: str, nodes: DataFrame | None = None) -> DataFrame:
+    """(task, path): every path from a source to a sink over different nodes, of any length.
+
+    A task without such a path, one of cycles or of lone ``nodes`` (task, node), has each of its nodes
+    as a path. Paths grow by a step a round, each round written; it ends when none grows.
+    """
+    role = materialize(ends(edges, task))
     sinks = role.where("is_sink").select(task, F.col("node").alias("_end"))
-    step = edges.select(task, F.col("source").alias("_s"), F.col("target").alias("_t")).distinct()
-    found, grown = None, sources
-    for _ in range(longest - 1):
-        grown = (
+    step = materialize(edges.select(task, F.col("source").alias("_s"), F.col("target").alias("_t")).distinct())
+    grown = role.where("is_source").select(task, F.array("node").alias("path"))
+    found, rounds = role.where("false").select(task, F.array("node").alias("path")), []
+    while True:
+        longer = (
             grown.withColumn("_s", F.element_at("path", -1)).join(step, [task, "_s"])
             .where(~F.array_contains("path", F.col("_t"))).select(task, F.concat("path", F.array("_t")).alias("path"))
         )
-        done = grown.withColumn("_end", F.element_at("path", -1)).join(sinks, [task, "_end"], "left_semi").select(task, "path")
-        found = done if found is None else found.unionByName(done)
-    return found
+        grown = materialize(longer)
+        if not grown.limit(1).count():
+            break
+        rounds.append(grown)
+    for some in rounds:
+        done = some.withColumn("_end", F.element_at("path", -1)).join(sinks, [task, "_end"], "left_semi").select(task, "path")
+        found = found.unionByName(done)
+    every = role.select(task, "node") if nodes is None else role.select(task, "node").unionByName(nodes.select(task, "node")).distinct()
+    lone = every.join(found.select(task).distinct(), task, "left_anti").select(task, F.array("node").alias("path"))
+    return found.unionByName(lone)
 
 
 def topological_order(edges: DataFrame, task: str) -> DataFrame:

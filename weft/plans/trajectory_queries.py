@@ -19,11 +19,16 @@ def _steps(spark, d):
     return t.number_steps(e.withColumn("tool", tool), "user_id", "event_id", F.col("event_type").isNotNull()).select("user_id", "event_id", "step_id", "tool", "event_type", "value")
 
 
-def _dag(spark, d):
-    """Small task graphs: one per ten suppliers' nations and size of part, acyclic by construction."""
+def _nodes(spark, d):
     li = table(spark, d, "lineitem")
-    a = F.col("l_linenumber").cast("long")
-    return li.select(F.pmod("l_orderkey", F.lit(200)).alias("task"), a.alias("source"), (a + 1 + F.pmod("l_partkey", F.lit(3))).alias("target")).where("l_quantity > 49").distinct()
+    return li.select(F.col("l_orderkey").alias("task"), F.col("l_linenumber").cast("long").alias("node")).distinct()
+
+
+def _dag(spark, d):
+    """A task graph per order: an item hands work to a later one, by its part; acyclic by construction."""
+    li, a = table(spark, d, "lineitem"), F.col("l_linenumber").cast("long")
+    edges = li.select(F.col("l_orderkey").alias("task"), a.alias("source"), (a + 1 + F.pmod("l_partkey", F.lit(3))).alias("target")).distinct()
+    return edges.join(_nodes(spark, d).withColumnRenamed("node", "target"), ["task", "target"], "left_semi").select("task", "source", "target")
 
 
 def pair_tool_results(spark, d):
@@ -50,7 +55,7 @@ def trajectory_summary(spark, d):
 
 
 def validate_trajectory(spark, d):
-    v = t.validate(t.summary(_steps(spark, d).where("value > 30"), "user_id", "tool"))
+    v = t.validate(t.summary(_steps(spark, d), "user_id", "tool"))
     return v.select("user_id", F.array_join("errors", ",").alias("errors"), F.array_join("warnings", ",").alias("warnings"), "valid")
 
 
@@ -84,7 +89,7 @@ def source_sink_nodes(spark, d):
 
 
 def all_paths(spark, d):
-    return t.all_paths(_dag(spark, d), "task", 10).select("task", F.array_join("path", ">").alias("path"))
+    return t.all_paths(_dag(spark, d), "task", _nodes(spark, d)).select("task", F.array_join("path", ">").alias("path"))
 
 
 def topological_order(spark, d):
@@ -161,7 +166,8 @@ _TOOL = "(['" + "', '".join(TOOLS) + "'])[CAST(event_id % 7 AS INTEGER) + 1]"
 _STEPS = f"""steps AS (SELECT user_id, event_id, {_TOOL} AS tool, event_type, value,
   CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INTEGER) AS step_id FROM events WHERE event_type IS NOT NULL)"""
 _CATEGORY = "CASE " + " ".join(f"WHEN tool IN ({', '.join(repr(x) for x in v)}) THEN '{k}'" for k, v in s.TOOL_CATEGORIES.items()) + " ELSE 'other' END"
-_DAG = """dag AS (SELECT DISTINCT l_orderkey % 200 AS task, CAST(l_linenumber AS BIGINT) AS source, l_linenumber + 1 + l_partkey % 3 AS target FROM lineitem WHERE l_quantity > 49),
+_DAG = """nodes AS (SELECT DISTINCT l_orderkey AS task, CAST(l_linenumber AS BIGINT) AS node FROM lineitem),
+ dag AS (SELECT DISTINCT task, CAST(l_linenumber AS BIGINT) AS source, node AS target FROM lineitem JOIN nodes ON task = l_orderkey AND node = l_linenumber + 1 + l_partkey % 3),
  ends AS (SELECT task, node, sum(i) = 0 AS is_source, sum(o) = 0 AS is_sink FROM (SELECT task, source AS node, 1 AS o, 0 AS i FROM dag UNION ALL SELECT task, target, 0, 1 FROM dag) GROUP BY 1, 2)"""
 _SUMMARY = """SELECT user_id, count(*) AS steps, count(DISTINCT tool) AS tools, count(*) FILTER (tool IN ('Read', 'Glob', 'Grep')) AS reads,
   count(*) FILTER (tool IN ('Write', 'Edit', 'NotebookEdit')) AS writes, count(*) FILTER (tool = 'Bash') AS commands, count(*) FILTER (tool = 'Skill') AS skills,
@@ -184,7 +190,7 @@ def oracle_sql():
         "tool_usage_by_category": f"""WITH {_STEPS}, f AS (SELECT user_id, {_CATEGORY} AS category, tool, min(event_id) AS o FROM steps GROUP BY 1, 2, 3)
             SELECT user_id, category, array_to_string(list(tool ORDER BY o), ',') AS tools FROM f GROUP BY 1, 2""",
         "trajectory_summary": f"WITH {_STEPS} {_SUMMARY} GROUP BY user_id",
-        "validate_trajectory": f"""WITH {_STEPS}, x AS ({_SUMMARY} WHERE value > 30 GROUP BY user_id)
+        "validate_trajectory": f"""WITH {_STEPS}, x AS ({_SUMMARY} GROUP BY user_id)
             SELECT user_id, CASE WHEN writes = 0 THEN 'no_outputs' ELSE '' END AS errors,
               array_to_string(list_filter([CASE WHEN steps <= 2 THEN 'few_steps' END, CASE WHEN commands = 0 THEN 'no_commands' END], lambda w: w IS NOT NULL), ',') AS warnings, writes > 0 AS valid FROM x""",
         "clip_middle_steps": f"""WITH {_STEPS}, n AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM steps)
@@ -203,8 +209,10 @@ def oracle_sql():
         "source_sink_nodes": f"WITH {_DAG} SELECT * FROM ends",
         "all_paths": f"""WITH RECURSIVE {_DAG}, walk(task, node, path, n) AS (
               SELECT task, node, CAST(node AS VARCHAR), 1 FROM ends WHERE is_source
-              UNION ALL SELECT w.task, g.target, w.path || '>' || g.target, n + 1 FROM walk w JOIN dag g ON g.task = w.task AND g.source = w.node WHERE n < 10)
-            SELECT w.task, path FROM walk w JOIN ends e ON e.task = w.task AND e.node = w.node AND e.is_sink WHERE n > 1""",
+              UNION ALL SELECT w.task, g.target, w.path || '>' || g.target, n + 1 FROM walk w JOIN dag g ON g.task = w.task AND g.source = w.node)
+            SELECT w.task, path FROM walk w JOIN ends e ON e.task = w.task AND e.node = w.node AND e.is_sink WHERE n > 1
+            UNION ALL SELECT task, CAST(node AS VARCHAR) FROM nodes WHERE task NOT IN (SELECT task FROM dag)""",
+        "topological_order": f"""WITH {_DAG} SELECT task, CAST(row_number() OVER (PARTITION BY task ORDER BY node) - 1 AS INTEGER) AS place, node FROM ends""",
         "dag_coverage": f"""WITH {_DAG} SELECT task, count(*) AS documented, count(*) FILTER (target % 2 = 0) AS tested, round(count(*) FILTER (target % 2 = 0) / count(*), 6) AS coverage FROM dag GROUP BY task""",
         "pytest_summary": """WITH x AS (SELECT *, o_orderstatus <> 'P' AS ran FROM orders), y AS (SELECT o_orderkey, CAST(CASE WHEN ran THEN o_custkey % 9 ELSE 0 END AS INTEGER) AS passed,
               CAST(CASE WHEN ran THEN o_orderkey % 3 ELSE 0 END AS INTEGER) AS failed, 0 AS errors, CAST(CASE WHEN ran THEN o_custkey % 2 ELSE 0 END AS INTEGER) AS skipped,
