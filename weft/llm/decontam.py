@@ -46,7 +46,7 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.6  # of an item's score against itself
 OVERLAP = 0.8
 SHINGLE = 5
-BLOCK_ITEMS = 8
+BLOCK_ITEMS = 4
 INDEX_BYTES = 4 << 20
 _CELLS = 1 << 22  # bounds held at once
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
