@@ -115,7 +115,7 @@ def test_topological_order_leaves_out_cycles(spark):
 
 def test_all_paths(spark):
     df = spark.createDataFrame([(1, "a", "b"), (1, "b", "d"), (1, "a", "c"), (1, "c", "d")], "task long, source string, target string")
-    assert sorted("".join(r.path) for r in trajectory.all_paths(df, "task", 4).collect()) == ["abd", "acd"]
+    assert sorted("".join(r.path) for r in trajectory.all_paths(df, "task").collect()) == ["abd", "acd"]
 
 
 def test_pytest_summary(spark):

@@ -124,3 +124,63 @@ def copy_plan(tasks: DataFrame, records: DataFrame, task: str, ordinal: str) ->
     n = F.row_number().over(Window.partitionBy(task, "name").orderBy(ordinal))
     status = F.when(F.col("name").isNull(), "missing").when(n > 1, "duplicate_skill_name_skipped").otherwise("copied")
     return found.select(task, ordinal, F.coalesce("name", F.lit("")).alias("name"), status.alias("status"))
+
+
+def candidate_paths(given: Column, folder: Column, name: Column, root: str) -> Column:
+    """Where a skill's text may lie, in the order in which it is looked for; missing parts give no candidate."""
+    def filled(c: Column) -> Column:
+        return F.nullif(c, F.lit(""))
+
+    parts = [filled(given), F.concat(F.lit(f"{root}/"), filled(given)), F.concat(filled(folder), F.lit("/SKILL.md")), F.concat(F.lit(f"{root}/"), filled(name), F.lit("/SKILL.md"))]
+    return F.array_distinct(F.array_compact(F.array(*parts)))
+
+
+def skill_text(name: Column, description: Column, queries: Column, body: Column) -> Column:
+    """The text that is embedded for a skill: labelled name, description and queries, then its body."""
+    return F.concat(
+        F.lit("Skill name: "), F.coalesce(name, F.lit("")), F.lit("\nDescription: "), F.coalesce(description, F.lit("")),
+        F.lit("\nQueries: "), F.coalesce(F.array_join(queries, ", "), F.lit("")), F.lit("\n\n"), F.coalesce(body, F.lit("")),
+    )
+
+
+def sorted_clusters(members: DataFrame, cluster: str, member: str) -> DataFrame:
+    """(cluster, size, first): clusters by size, then first member, largest first."""
+    out = members.groupBy(cluster).agg(F.count(F.lit(1)).alias("size"), F.min(member).alias("first"))
+    return out.orderBy(F.desc("size"), F.desc("first"))
+
+
+def joined_texts(rows: DataFrame, key: str, ordinal: str, text: str, separator: str) -> DataFrame:
+    """(key, text): the texts of a key in order, joined."""
+    listed = F.array_sort(F.collect_list(F.struct(ordinal, text)))
+    return rows.groupBy(key).agg(F.array_join(F.transform(listed, lambda x: x[text]), separator).alias("text"))
+
+
+def nested_document(steps: DataFrame, key: str, ordinal: str, columns: list[str]) -> DataFrame:
+    """(key, document): a session and its steps in order as one JSON text."""
+    listed = F.array_sort(F.collect_list(F.struct(ordinal, *columns)))
+    return steps.groupBy(key).agg(listed.alias("steps")).select(key, F.to_json(F.struct(key, F.size("steps").alias("n"), "steps")).alias("document"))
+
+
+def dag_state(edges: DataFrame, paths: DataFrame, task: str) -> DataFrame:
+    """(task, edges, paths): what of a task graph is still to be covered: all labels of its edges and paths, sorted."""
+    label = F.concat_ws("->", "source", "target")
+    e = edges.select(task, label.alias("l")).groupBy(task).agg(F.array_sort(F.collect_set("l")).alias("edges"))
+    p = paths.select(task, F.array_join("path", "->").alias("l")).groupBy(task).agg(F.array_sort(F.collect_set("l")).alias("paths"))
+    return p.join(e, task, "left").select(task, F.coalesce("edges", F.array().cast("array<string>")).alias("edges"), "paths")
+
+
+def go_on(complete: Column, path_coverage: Column) -> Column:
+    """Whether an exploration goes on: not complete, and paths left where there are any."""
+    return ~complete & (path_coverage.isNull() | (path_coverage < 1.0))
+
+
+def notebook_profile(document: Column) -> Column:
+    """(cells, code, markdown, has_outputs) of a notebook's JSON; NULL if it is none."""
+    shape = "struct<cells: array<struct<cell_type: string, outputs: array<string>>>>"
+    cells = F.from_json(document, shape)["cells"]
+
+    def of(kind: str) -> Column:
+        return F.size(F.filter(cells, lambda c: c.cell_type == kind))
+
+    outputs = F.exists(cells, lambda c: F.coalesce(F.size(c.outputs), F.lit(0)) > 0)
+    return F.when(cells.isNotNull(), F.struct(F.size(cells).alias("cells"), of("code").alias("code"), of("markdown").alias("markdown"), outputs.alias("has_outputs")))

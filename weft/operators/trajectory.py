@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import heapq
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from weft.functions import scalars as s
 from weft.session import materialize
@@ -130,13 +133,10 @@ def all_paths(edges: DataFrame, task: str, nodes: DataFrame | None = None) -> Da
 
 
 def topological_order(edges: DataFrame, task: str) -> DataFrame:
-    """(task, place, node): the smallest ready node first; nodes on cycles are left out. One task graph at a time."""
-    kind = edges.schema["source"].dataType.simpleString()
-
-    def order(g: pd.DataFrame) -> pd.DataFrame:
-        import heapq
+    """(task, place, node): the smallest ready node first; nodes on cycles are left out. A row holds one task graph."""
 
-        pairs = set(zip(g.source, g.target, strict=True))
+    def ordered(pairs: set) -> list:
+        """The nodes of an edge set, the smallest ready one first."""
         after: dict = {}
         waits = dict.fromkeys({n for p in pairs for n in p}, 0)
         for a, b in pairs:
@@ -151,9 +151,19 @@ def topological_order(edges: DataFrame, task: str) -> DataFrame:
                 waits[b] -= 1
                 if not waits[b]:
                     heapq.heappush(ready, b)
-        return pd.DataFrame({task: [g[task].iloc[0]] * len(out), "place": range(len(out)), "node": out})
+        return out
+
+    kinds = {c: edges.schema[c].dataType.simpleString() for c in (task, "source")}
+    graphs = edges.groupBy(task).agg(F.collect_set(F.struct("source", "target")).alias("_e"))
+    node = to_arrow_type(edges.schema["source"].dataType)
+
+    def run(batches):
+        for batch in batches:
+            listed = [ordered({(e["source"], e["target"]) for e in es}) for es in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(listed, pa.list_(node))], [task, "nodes"])
 
-    return edges.select(task, "source", "target").groupBy(task).applyInPandas(order, f"{task} bigint, place int, node {kind}")
+    made = graphs.mapInArrow(run, f"`{task}` {kinds[task]}, nodes array<{kinds['source']}>")
+    return made.select(task, F.posexplode("nodes").alias("place", "node"))
 
 
 def pytest_summary(output: DataFrame, text: str, code: str) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from weft.functions import parsers as p
 from weft.operators import tasks as t
-from weft.operators import tools
+from weft.operators import tools, trajectory
+from weft.plans import trajectory_queries as tq
 from weft.session import table
 
 _TOOLS = [name for name, _, _ in tools.OPERATIONS]
@@ -275,7 +276,79 @@ def basic_summary(spark, d):
     return docs.select("doc_id", F.substring(head, 1, 500).alias("summary"))
 
 
+def candidate_paths(spark, d):
+    s = table(spark, d, "supplier")
+    given = F.when(F.col("s_suppkey") % 3 == 0, "").when(F.col("s_suppkey") % 3 == 1, F.concat(F.lit("x/"), "s_suppkey"))
+    folder = F.when(F.col("s_nationkey") % 2 == 0, F.concat(F.lit("/f/"), "s_nationkey"))
+    return s.select("s_suppkey", F.posexplode(t.candidate_paths(given, folder, F.col("s_name"), "/skills")).alias("place", "path"))
+
+
+def skill_text(spark, d):
+    li = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.array_sort(F.collect_set("l_linestatus")).alias("q"))
+    parts = table(spark, d, "part").join(li, F.col("p_partkey") == F.col("l_partkey"), "left")
+    return parts.select("p_partkey", t.skill_text(F.col("p_name"), F.when(F.col("p_size") > 9, F.col("p_type")), F.col("q"), F.col("p_brand")).alias("text"))
+
+
+def sort_clusters(spark, d):
+    return t.sorted_clusters(table(spark, d, "customer"), "c_nationkey", "c_custkey")
+
+
+def sort_starts(spark, d):
+    """Suppliers by their best parts, with the sum of the first four."""
+    li = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target")).agg(F.sum("l_quantity").alias("edge_score"))
+    return t.best_starts(li)
+
+
+def checkpoint_concat(spark, d):
+    return t.joined_texts(table(spark, d, "conversations"), "conv_id", "turn", "text", "\n---\n")
+
+
+def serialize_trajectory(spark, d):
+    return t.nested_document(table(spark, d, "events"), "user_id", "event_id", ["event_type"])
+
+
+def dag_state_init(spark, d):
+    edges, nodes = tq._dag(spark, d), tq._nodes(spark, d)
+    out = t.dag_state(edges, trajectory.all_paths(edges, "task", nodes), "task")
+    return out.select("task", *[F.array_join(c, ",").alias(c) for c in ("edges", "paths")])
+
+
+def should_continue_flag(spark, d):
+    o = table(spark, d, "orders")
+    share = F.when(F.col("o_orderkey") % 3 > 0, F.pmod("o_custkey", F.lit(5)) / 4)
+    return o.select("o_orderkey", t.go_on(F.col("o_orderstatus") == "F", share).alias("go_on"))
+
+
+def notebook_profile(spark, d):
+    """Orders as notebooks: a cell per line, code for every other one, with outputs where something was returned."""
+    li = table(spark, d, "lineitem")
+    cell = F.struct(
+        F.when(F.col("l_linenumber") % 2 == 1, "code").otherwise("markdown").alias("cell_type"),
+        F.when(F.col("l_returnflag") == "R", F.array(F.col("l_linestatus"))).otherwise(F.array().cast("array<string>")).alias("outputs"),
+    )
+    books = li.groupBy("l_orderkey").agg(F.to_json(F.struct(F.collect_list(cell).alias("cells"))).alias("j"))
+    broken = F.when(F.col("l_orderkey") % 7 == 0, F.lit("[1, 2")).otherwise(F.col("j"))
+    p = t.notebook_profile(broken)
+    return books.select("l_orderkey", *[p[c].alias(c) for c in ("cells", "code", "markdown", "has_outputs")])
+
+
+def skill_names(spark, d):
+    """Folders of the skill files that events touch."""
+    steps = _steps(spark, d).where(F.col("path").endswith("/SKILL.md"))
+    return steps.select(F.element_at(F.split("path", "/"), -2).alias("skill")).where(~F.col("skill").startswith(".")).distinct()
+
+
+def loop_text(spark, d):
+    """A line per loop of how many files it read, wrote and edited."""
+    ops = track_tool_operation(spark, d).withColumn("loop", F.floor(F.col("event_id") / 100))
+    s = tools.loop_summary(ops, ["user_id", "loop"], "event_id")
+    text = F.concat_ws(", ", *[F.concat(F.size(c).cast("string"), F.lit(f" {c}")) for c in ("reads", "writes", "edits")])
+    return s.select("user_id", "loop", text.alias("text"))
+
+
 _QUERIES = (
+    candidate_paths, skill_text, sort_clusters, sort_starts, checkpoint_concat, serialize_trajectory, dag_state_init, should_continue_flag, notebook_profile,
+    skill_names, loop_text,
     track_tool_operation, filter_outputs, file_operations, used_skills, loop_summary, pair_by_tool_use_id, tool_lists, empty_trajectory, last_text_block,
     step_preview, parse_connection, upstream_roots, infer_entity_skill, node_list, task_item_keys, record_key, limited_edge_evidence, entities_in_tasks,
     join_manifest, load_retained_skills, load_quality_keep, entity_fit_record, normalize_suggested_task, get_edge, category_cap, copy_plan, repository_urls,
@@ -290,6 +363,30 @@ def queries():
 def oracle_sql():
     steps, skills = f"WITH {_STEPS_SQL}", f"WITH {_SKILLS_SQL}"
     return {
+        "candidate_paths": """WITH x AS (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 1 THEN 'x/' || s_suppkey END AS g, CASE WHEN s_nationkey % 2 = 0 THEN '/f/' || s_nationkey END AS f, s_name AS n FROM supplier),
+            y AS (SELECT s_suppkey, list_filter([g, '/skills/' || g, f || '/SKILL.md', '/skills/' || n || '/SKILL.md'], lambda p: p IS NOT NULL) AS l FROM x)
+            SELECT s_suppkey, CAST(unnest(range(len(l))) AS INTEGER) AS place, unnest(l) AS path FROM y""",
+        "skill_text": """WITH q AS (SELECT l_partkey, string_agg(DISTINCT l_linestatus, ', ' ORDER BY l_linestatus) AS q FROM lineitem GROUP BY 1)
+            SELECT p_partkey, 'Skill name: ' || p_name || chr(10) || 'Description: ' || CASE WHEN p_size > 9 THEN p_type ELSE '' END || chr(10) || 'Queries: ' || coalesce(q, '') || chr(10) || chr(10) || p_brand AS text
+            FROM part LEFT JOIN q ON p_partkey = l_partkey""",
+        "sort_clusters": "SELECT c_nationkey, count(*) AS size, min(c_custkey) AS first FROM customer GROUP BY 1 ORDER BY 2 DESC, 3 DESC",
+        "sort_starts": """WITH e AS (SELECT l_suppkey AS s, l_partkey AS p, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY q DESC, p) AS i FROM e)
+            SELECT s AS node, max(q) AS best, round(sum(q), 6) AS total FROM n WHERE i <= 4 GROUP BY 1""",
+        "checkpoint_concat": "SELECT conv_id, string_agg(text, chr(10) || '---' || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1",
+        "serialize_trajectory": """SELECT user_id, CAST(to_json({'user_id': user_id, 'n': count(*), 'steps': list({'event_id': event_id, 'event_type': event_type} ORDER BY event_id)}) AS VARCHAR) AS document
+            FROM events GROUP BY 1""",
+        "dag_state_init": f"""WITH RECURSIVE {tq._DAG}, walk(task, node, path) AS (SELECT task, node, CAST(node AS VARCHAR) FROM ends WHERE is_source
+              UNION ALL SELECT w.task, g.target, w.path || '->' || g.target FROM walk w JOIN dag g ON g.task = w.task AND g.source = w.node),
+            p AS (SELECT w.task, path FROM walk w JOIN ends e ON e.task = w.task AND e.node = w.node AND e.is_sink
+              UNION ALL SELECT task, CAST(node AS VARCHAR) FROM nodes WHERE task NOT IN (SELECT task FROM dag)),
+            e AS (SELECT task, string_agg(source || '->' || target, ',' ORDER BY source || '->' || target) AS edges FROM dag GROUP BY 1)
+            SELECT task, coalesce(edges, '') AS edges, paths FROM (SELECT task, string_agg(path, ',' ORDER BY path) AS paths FROM p GROUP BY 1) LEFT JOIN e USING (task)""",
+        "should_continue_flag": "SELECT o_orderkey, o_orderstatus <> 'F' AND (o_orderkey % 3 = 0 OR o_custkey % 5 < 4) AS go_on FROM orders",
+        "notebook_profile": """WITH x AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_linenumber % 2 = 1) AS c, bool_or(l_returnflag = 'R') AS o, l_orderkey % 7 > 0 AS ok FROM lineitem GROUP BY 1)
+            SELECT l_orderkey, CAST(CASE WHEN ok THEN n END AS INTEGER) AS cells, CAST(CASE WHEN ok THEN c END AS INTEGER) AS code, CAST(CASE WHEN ok THEN n - c END AS INTEGER) AS markdown, CASE WHEN ok THEN o END AS has_outputs FROM x""",
+        "skill_names": f"{steps} SELECT DISTINCT regexp_extract(path, '([^/]*)/SKILL.md$', 1) AS skill FROM steps WHERE ends_with(path, '/SKILL.md')",
+        "loop_text": f"""{steps}, f AS (SELECT DISTINCT user_id, event_id // 100 AS loop, kind, value FROM operations)
+            SELECT user_id, loop, count(*) FILTER (kind = 'input') || ' reads, ' || count(*) FILTER (kind = 'output') || ' writes, ' || count(*) FILTER (kind = 'edited') || ' edits' AS text FROM f GROUP BY 1, 2""",
         "track_tool_operation": f"{steps} SELECT * FROM operations",
         "filter_outputs": f"""{steps} SELECT DISTINCT user_id, 'output' AS side, value AS path FROM operations o WHERE kind = 'output'
             AND (contains(regexp_extract(value, '[^/]*$'), '.') OR NOT EXISTS (SELECT 1 FROM operations i WHERE i.kind = 'input' AND i.user_id = o.user_id AND i.value = o.value))
