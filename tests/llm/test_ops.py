@@ -303,7 +303,7 @@ def test_line_dedup_hard_cases(spark, hard, empty):
     assert linededup.dedup_lines(empty).count() == 0
 
 
-@pytest.mark.parametrize("n", [1, 2, 300, 32_767, 40_000])
+@pytest.mark.parametrize("n", [1, 2, 3, 127, 128, 300, 32_767, 40_000])
 def test_simhash_of_lines_counts_any_number_of_words(spark, n):
     norm = " ".join(f"v{i % 997}" for i in range(n))
     docs = spark.createDataFrame([(1, 1, norm)], "id long, k long, t string")
