@@ -232,7 +232,22 @@ def review_keep(given: Column, redundant: Column, overlap: Column, drop_at: int
 
 
 def split_text(text: Column, most: int = 12_000) -> Column:
-    """Non-empty pieces of at most ``most`` characters at fixed cuts, trimmed; the whole text if none is left."""
-    n = F.greatest(F.ceil(F.length(text) / most).cast("int"), F.lit(1))
-    cut = F.filter(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.trim(F.substr(text, i * most + 1, F.lit(most)))), lambda x: x != "")
-    return F.when(F.size(cut) == 0, F.array(text)).otherwise(cut)
+    """Non-empty pieces of at most ``most`` characters, trimmed; the whole text if it is short or none is left.
+
+    A piece ends after the last line end in its second half, if there is one.
+    """
+    n = F.length(text)
+
+    def cut(state: Column, _: Column) -> Column:
+        start = state.start
+        window = F.substr(text, start + 1, F.lit(most))
+        back = F.instr(F.reverse(window), "\n")
+        line = F.length(window) - back + 1  # characters up to and with the last line end
+        size = F.when((start + most < n) & (back > 0) & (line - 1 > most // 2), line).otherwise(F.length(window))
+        piece = F.trim(F.substr(window, F.lit(1), size), F.lit(" \t\n\r\x0b\f"))
+        return F.struct((start + size).alias("start"), F.when((start < n) & (piece != ""), F.concat(state.pieces, F.array(piece))).otherwise(state.pieces).alias("pieces"))
+
+    begin = F.struct(F.lit(0).alias("start"), F.array().cast("array<string>").alias("pieces"))
+    steps = F.sequence(F.lit(0), F.ceil(n * 2 / most).cast("int"))  # every piece but the last is longer than half
+    pieces = F.aggregate(steps, begin, cut).pieces
+    return F.when((n <= most) | (F.size(pieces) == 0), F.array(text)).otherwise(pieces)

@@ -38,7 +38,7 @@ def scenario_lists(spark, d):
 def model_json(spark, d):
     e = table(spark, d, "events")
     fenced = F.concat(F.lit("```json\n"), "props", F.lit("\n```"))
-    told = F.concat(F.lit("The answer is "), "props", F.lit(" as asked."))
+    told = F.concat(F.lit("The answer is "), F.when(F.col("event_id") % 5 == 0, F.rtrim("props", F.lit("}"))).otherwise(F.col("props")), F.lit(" as asked."))
     return e.select(
         "event_id", *[s.parse_model_json(v, "k").alias(n) for n, v in (("plain", F.col("props")), ("fenced", fenced), ("told", told))],
         s.parse_model_json(F.col("event_type"), "k").alias("none"),
@@ -57,12 +57,16 @@ def commands(spark, d):
     """Shell commands made of part names: what they install and write."""
     p = table(spark, d, "part")
     name = F.regexp_replace("p_name", " ", "-")
-    command = F.concat(F.lit("pip install --quiet "), name, F.lit("==1.2 && apt-get install -y "), name, F.lit(" > /root/out/"), name, F.lit(".log 2>/dev/null; cat /x/skills/"), "p_brand")
+    version = F.concat(F.lit("=="), F.pmod("p_size", F.lit(4)).cast("string"))
+    pip = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("pip3 install --quiet --upgrade "), name, version)).when(F.col("p_size") % 3 == 1, F.concat(F.lit("pip install "), name)).otherwise("pip list")
+    apt = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("apt-get install -y "), name)).otherwise("apt update")
+    out = F.when(F.col("p_size") % 5 == 0, "/dev/null").otherwise(F.concat(F.lit("/root/out/"), name, F.lit(".log")))
+    command = F.concat(pip, F.lit(" && "), apt, F.lit(" > "), out, F.lit(" 2>/dev/null; cat /x/skills/"), "p_brand")
     return p.select(
         "p_partkey", F.array_join(s.pip_packages(command), ",").alias("pip"), F.array_join(s.apt_packages(command), ",").alias("apt"),
         F.array_join(s.redirect_targets(command), ",").alias("files"), s.skill_from_path(command).alias("skill"),
         F.array_join(s.requirement_names(F.concat_ws("\n", F.lit("# head"), name, F.lit("-r x"), F.concat(name, F.lit(">=2")))), ",").alias("requirements"),
-        F.array_join(s.system_packages(F.concat(F.lit("uses ffmpeg and Pandoc "), "p_name")), ",").alias("system"),
+        F.array_join(s.system_packages(F.concat(F.when(F.col("p_size") % 2 == 0, "uses ffmpeg and ").otherwise("has "), F.when(F.col("p_size") % 3 == 0, "Pandoc ").otherwise("none "), "p_name")), ",").alias("system"),
     )
 
 
@@ -151,6 +155,13 @@ _STATUS = """SELECT doc_id, source, CASE WHEN u > 1 THEN 'duplicate_url' WHEN do
   SELECT doc_id, source, md5(text) AS content, row_number() OVER (PARTITION BY source, source || '/' || (doc_id % 97) ORDER BY doc_id) AS u FROM documents)"""
 
 
+def _cut_end(a, most=1000):
+    """Where the piece that starts after ``a`` characters ends."""
+    w = f"substr(text, {a} + 1, {most})"
+    line = f"{a} + length({w}) - strpos(reverse({w}), chr(10))"
+    return f"CASE WHEN {a} + {most} < length(text) AND contains({w}, chr(10)) AND {line} > {a} + {most // 2} THEN {line} + 1 ELSE least(length(text), {a} + {most}) END"
+
+
 def _any(column, words):
     return "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
 
@@ -177,14 +188,27 @@ def oracle_sql():
         "scenario_lists": f"""WITH x AS (SELECT conv_id, turn, text, list_filter(list_transform(string_split(text, '.'), lambda s: {clean.format("s")}), lambda s: s <> '') AS a FROM conversations),
             y AS (SELECT *, list_transform(a, lambda s: lower(s)) AS l FROM x), z AS (SELECT *, list_filter(a, lambda s, i: list_position(l, lower(s)) = i) AS k FROM y)
             SELECT conv_id, turn, CAST(len(k) AS INTEGER) AS n, array_to_string(k, '|') AS scenarios, {clean.format("text")} AS whole FROM z""",
-        "model_json": "SELECT event_id, props ->> '$.k' AS plain, props ->> '$.k' AS fenced, props ->> '$.k' AS told, CAST(NULL AS VARCHAR) AS none FROM events",
-        "truncations": f"""WITH x AS (SELECT *, CASE WHEN length(text) <= 2000 THEN text ELSE substr(text, 1, 1400) || chr(10) || '... [' || (length(text) - 2000) || ' characters truncated] ...' || chr(10) || right(text, 600) END AS ht FROM documents)
+        "model_json": r"""WITH x AS (SELECT event_id, event_type, props, '```json' || chr(10) || props || chr(10) || '```' AS fenced,
+              'The answer is ' || CASE WHEN event_id % 5 = 0 THEN rtrim(props, '}') ELSE props END || ' as asked.' AS told FROM events),
+            y AS (SELECT *, regexp_extract(fenced, '^```json\s*(.*?)\s*```$', 1, 's') AS f, regexp_extract(told, '\{.*\}', 0, 's') AS t FROM x)
+            SELECT event_id, CASE WHEN json_valid(props) THEN props ->> '$.k' END AS plain, CASE WHEN json_valid(f) THEN f ->> '$.k' END AS fenced,
+              CASE WHEN json_valid(t) THEN t ->> '$.k' END AS told, CASE WHEN json_valid(event_type) THEN event_type ->> '$.k' END AS none FROM y""",
+        "truncations": f"""WITH RECURSIVE cuts(doc_id, text, a, b) AS (
+              SELECT doc_id, text, 0, {_cut_end("0")} FROM documents UNION ALL SELECT doc_id, text, b, {_cut_end("b")} FROM cuts WHERE b < length(text)),
+            parts AS (SELECT doc_id, count(*) FILTER (trim(substr(text, a + 1, b - a), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '') AS n FROM cuts GROUP BY 1),
+            x AS (SELECT *, CASE WHEN length(text) <= 2000 THEN text ELSE substr(text, 1, 1400) || chr(10) || '... [' || (length(text) - 2000) || ' characters truncated] ...' || chr(10) || right(text, 600) END AS ht FROM documents)
             SELECT doc_id, md5(ht) AS head_tail, CAST(length(ht) AS INTEGER) AS n, CASE WHEN length(text) <= 100 THEN text ELSE substr(text, 1, 100) || '...' END AS prefix,
-              CAST(greatest(1, (SELECT count(*) FROM generate_series(0, greatest(CAST(ceil(length(text) / 1000.0) AS INTEGER), 1) - 1) g(i) WHERE trim(substr(text, CAST(i * 1000 + 1 AS INTEGER), 1000)) <> '')) AS INTEGER) AS pieces,
+              CAST(CASE WHEN length(text) <= 1000 THEN 1 ELSE greatest(1, parts.n) END AS INTEGER) AS pieces,
               CASE WHEN {_any("lower(text)", s.FORM_WORDS)} THEN 'form' WHEN {_any("lower(text)", s.TABLE_WORDS)} THEN 'table' WHEN {_any("lower(text)", s.CODE_WORDS)} THEN 'code' ELSE 'text' END AS content,
-              regexp_matches(text, '{s.DATE_PATTERN}') AS date FROM x""",
-        "commands": f"""SELECT p_partkey, {name} || '==1.2' AS pip, {name} AS apt, '/root/out/' || {name} || '.log' AS files, p_brand AS skill,
-            {name} || ',' || {name} AS requirements, 'ffmpeg,pandoc' AS system FROM part""",
+              regexp_matches(text, '{s.DATE_PATTERN}') AS date FROM x JOIN parts USING (doc_id)""",
+        "commands": rf"""WITH x AS (SELECT p_partkey, p_brand, {name} AS n, p_size,
+              CASE p_size % 3 WHEN 0 THEN 'pip3 install --quiet --upgrade ' || {name} || '==' || (p_size % 4) WHEN 1 THEN 'pip install ' || {name} ELSE 'pip list' END || ' && '
+              || CASE WHEN p_size % 2 = 0 THEN 'apt-get install -y ' || {name} ELSE 'apt update' END || ' > ' || CASE WHEN p_size % 5 = 0 THEN '/dev/null' ELSE '/root/out/' || {name} || '.log' END
+              || ' 2>/dev/null; cat /x/skills/' || p_brand AS c, CASE WHEN p_size % 2 = 0 THEN 'ffmpeg' END AS a, CASE WHEN p_size % 3 = 0 THEN 'pandoc' END AS b FROM part)
+            SELECT p_partkey, array_to_string(regexp_extract_all(c, 'pip3?\s+install\s+(?:--[^\s]+\s+)*([^\s&|;#]+)', 1), ',') AS pip,
+              array_to_string(regexp_extract_all(c, 'apt(?:-get)?\s+install\s+(?:-y\s+)?([^\s&|;#]+)', 1), ',') AS apt,
+              array_to_string(list_filter(regexp_extract_all(c, '>\s*([^\s&|;>]+)', 1), lambda f: NOT starts_with(f, '/dev/')), ',') AS files, regexp_extract(c, '/skills/([^/\s]+)', 1) AS skill,
+              n || ',' || n AS requirements, concat_ws(',', a, b) AS system FROM x""",
         "lists": """SELECT o_orderkey, array_to_string(list_sort(list_distinct([o_custkey, 7])), ',') AS ints,
             o_custkey || ',' || o_orderpriority || ',' || o_custkey || ',7' AS texts FROM orders""",
         "normalized_verdicts": """WITH x AS (SELECT *, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS conf FROM orders)

@@ -117,7 +117,7 @@ def oracle_sql():
     return {
         "l2_normalize": """WITH x AS (SELECT vec_id AS id, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings),
           n AS (SELECT id, sqrt(sum(x * x)) AS n, sum(x) AS s FROM x GROUP BY id)
-          SELECT id, 1.0::DOUBLE AS norm2, round(s / n, 6) AS total FROM n""",
+          SELECT id, round(sum((x / n) * (x / n)), 6) AS norm2, round(sum(x / n), 6) AS total FROM x JOIN n USING (id) GROUP BY id""",
         "knn_self_join": f"WITH {_pairs(50, 0.35)} SELECT * FROM pairs",
         "similarity_graph": f"""WITH {_pairs(100, THRESHOLD)}, ends AS (SELECT i AS id, score FROM pairs UNION ALL SELECT j, score FROM pairs)
           SELECT vec_id AS id, count(score) AS links, coalesce(round(sum(score), 5), 0.0) AS weight FROM embeddings LEFT JOIN ends ON id = vec_id GROUP BY vec_id""",
