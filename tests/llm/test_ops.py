@@ -415,6 +415,9 @@ def test_token_files(spark, hard, empty, monkeypatch):
         assert (r.start, r.n_tokens, bytes(r.ids)) == (at, len(ids), np.array(ids, "<u4").tobytes())
         at += len(ids)
     assert tokenstore.round_trip(empty, path, 2).count() == 0
+    same = tokenstore.round_trip(docs_of(spark, ["a b", "c"] * 200, [None, 5] * 200).repartition(6), path, 2).orderBy("start").collect()
+    assert [r.id for r in same] == [None] * 200 + [5] * 200
+    assert [r.start for r in same] == np.cumsum([0, *[r.n_tokens for r in same]])[:-1].tolist()
 
 
 # 8 ---------------------------------------------------------------------------

@@ -14,7 +14,8 @@ the row size or the longest document. Lost tasks are redone before anything is
 committed.
 
 Defined results: NULL or empty text is the end id alone; NULL document ids come first;
-repeated rows are written as often as they occur; an empty table gives an empty file;
+documents of one id follow each other by a hash of their text, repeated rows are written as
+often as they occur; an empty table gives an empty file;
 other columns are ignored.
 """
 
@@ -168,7 +169,10 @@ def write(
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = slim.repartitionByRange(parts, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "t")
+    # Rows of one id, or of none, are parted too: by their text's hash, and equal rows by their place.
+    keyed = slim.withColumns({"h": F.xxhash64("t"), "m": F.monotonically_increasing_id()})
+    first = F.col("id").asc_nulls_first()
+    ordered = keyed.repartitionByRange(parts, first, "h", "m").sortWithinPartitions(first, "h", "t").select("id", "t")
     ordered.mapInArrow(run, ROW).write.parquet(path)
 
 
