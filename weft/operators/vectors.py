@@ -22,8 +22,12 @@ def dot(a: Column, b: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """Divided by its norm; a zero vector stays as it is."""
-    norm = F.sqrt(dot(v, v))
-    return F.transform(v.cast("array<double>"), lambda x: x / F.when(norm == 0, 1.0).otherwise(norm))
+    norms = F.array(F.sqrt(dot(v, v)))  # bound to a name below, so that it is computed once and not for each component
+
+    def divided(norm: Column) -> Column:
+        return F.transform(v.cast("array<double>"), lambda x: x / F.when(norm == 0, 1.0).otherwise(norm))
+
+    return F.element_at(F.transform(norms, divided), 1)
 
 
 def cosine(a: Column, b: Column) -> Column:
