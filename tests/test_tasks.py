@@ -8,7 +8,7 @@ from test_entry import SF, TABLES
 import __spark_entry__ as entry
 from weft.functions import parsers
 from weft.operators import graph, tasks, tools, trajectory
-from weft.plans import task_queries
+from weft.plans import gate_queries, task_queries
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +19,7 @@ def con():
     return con
 
 
-@pytest.mark.parametrize("name", [*task_queries.queries(), "all_paths", "topological_order", "dag_coverage"])
+@pytest.mark.parametrize("name", [*task_queries.queries(), *gate_queries.queries(), "all_paths", "topological_order", "dag_coverage"])
 def test_query_matches_its_sql(spark, con, name):
     got, want = entry.queries()[name](spark, SF), con.execute(entry.oracle_sql()[name])
     names = [c[0] for c in want.description]

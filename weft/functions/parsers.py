@@ -103,3 +103,64 @@ def failure_summary(total: Column, passed: Column, failed: Column, errors: Colum
         .when(none, F.format_string("No test results (passed=%d, failed=%d, errors=%d)", passed, failed, errors))
         .otherwise(lines)
     )
+
+
+#: What files of an extension are about.
+DOMAINS = {
+    "pdf": "document analysis", "doc": "document processing", "docx": "document processing", "xlsx": "data analysis", "xls": "data analysis",
+    "csv": "data analysis", "json": "data processing", "xml": "data processing", "py": "software engineering", "js": "software engineering",
+    "ts": "software engineering", "java": "software engineering", "sql": "database", "md": "technical writing", "stl": "3D modeling",
+}
+#: Packages that are installed from another channel.
+CONDA_PREFERRED = ["rdkit", "pysam", "pymatgen", "biopython", "anndata", "scanpy", "cobra", "scikit-bio"]
+#: Tags by extension, and how instructions give their implementation away.
+EXTENSION_TAGS = {"data-processing": ["json", "csv", "xlsx"], "text-processing": ["md", "txt"], "document-analysis": ["pdf"], "code-generation": ["py", "js", "ts"]}
+GIVEAWAYS = ["step 1:", "step 2:", "first,", "then,", "finally,", "```python", "```bash", "def ", "import "]
+
+
+def _suffix(path: Column) -> Column:
+    """What follows the last dot of a path, in lower case; empty without one."""
+    return F.when(F.contains(path, F.lit(".")), F.lower(F.regexp_extract(path, r"([^.]*)$", 1))).otherwise("")
+
+
+def domain_of(path: Column) -> Column:
+    table = F.create_map(*[F.lit(x) for pair in DOMAINS.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, _suffix(path)), F.lit("general"))
+
+
+def conda_packages(requirements: Column) -> Column:
+    """Of a list of requirements, the names that another channel has, in order."""
+    names = F.transform(requirements, lambda r: F.regexp_extract(F.lower(r), r"^(.*?)(?:\[.*|>=.*|==.*)?$", 1))
+    return F.filter(names, lambda n: n.isin(CONDA_PREFERRED))
+
+
+def script_paths(script: Column) -> Column:
+    """Different paths in a script, sorted: quoted ones, those below /root and /tmp; no addresses."""
+    found = [F.regexp_extract_all(script, F.lit(p), 1) for p in ("[\"'](/[^\"'<>\\s]+)[\"']", "\\s(/root/[^\\s\"'<>]+)", "(/tmp/[^\\s\"'<>]+)")]
+    return F.array_sort(F.array_distinct(F.filter(F.concat(*found), lambda p: ~p.endswith(":") & ~F.contains(p, F.lit("://")))))
+
+
+def tags_of(skills: Column, outputs: Column, uses_shell: Column) -> Column:
+    """Up to five tags, sorted: skills, kinds of written files, and the shell."""
+    def kind(path: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for tag, endings in EXTENSION_TAGS.items():
+            out = F.when(_suffix(path).isin(endings), tag).otherwise(out)
+        return out
+
+    shell = F.when(uses_shell, F.array(F.lit("shell"))).otherwise(F.array().cast("array<string>"))
+    return F.slice(F.array_sort(F.array_distinct(F.array_compact(F.concat(skills, F.transform(outputs, kind), shell)))), 1, 5)
+
+
+def instruction_issues(instruction: Column, outputs: Column, inputs: Column) -> Column:
+    """What speaks against an instruction: files it does not mention, and implementation details."""
+    low = F.lower(instruction)
+
+    def missing(paths: Column, side: str) -> Column:
+        names = F.transform(paths, lambda p: F.regexp_extract(p, r"([^/]*)$", 1))
+        left = F.filter(names, lambda n: ~F.contains(low, F.lower(n)))
+        return F.transform(left, lambda n: F.concat(F.lit(f"{side} file '"), n, F.lit("' not mentioned in instruction")))
+
+    told = F.filter(F.array(*[F.lit(k) for k in GIVEAWAYS]), lambda k: F.contains(low, k))
+    details = F.transform(told, lambda k: F.concat(F.lit("Possible implementation detail: '"), k, F.lit("'")))
+    return F.concat(missing(outputs, "Output"), missing(inputs, "Input"), details)
