@@ -5,9 +5,8 @@ hashes to a bucket with a learned vector; a text is the mean of its n-grams' vec
 and a linear softmax over it gives the language. Vectors and weights are trained by
 stochastic gradient descent in numpy on a sample of at most ``PER_LANGUAGE`` different
 labelled rows a language, those with the smallest hashes of id and text. The bound holds for
-any number of rows, repeated ones too: it is found by ranks within partitions, within groups
-of partitions and over all, so that no task reads more than a bounded number of hashes a
-partition. The sample's bucket counts are made on the executors and are bounded by the number
+any number of rows, repeated ones too: different hashes are counted about, and only those below
+a share of their range that holds a few times the bound are ranked. The sample's bucket counts are made on the executors and are bounded by the number
 of buckets whatever the length of a text. Every fifth row of a language is kept out of
 training; on these the softmax is calibrated by one temperature, and the score below which a
 text is rejected is set so that at most ``REJECT`` of their rightly labelled texts would be,
@@ -152,12 +151,25 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Mode
 
 
 def sample(rows: DataFrame, per_label: int) -> DataFrame:
-    """Of rows (l, t, h), at most ``per_label`` different (l, h), the smallest h of each l, once each."""
-    slim = rows.select("l", "h", F.pmod(F.spark_partition_id(), F.lit(1024)).alias("g"))
-    some = slim.withColumn("n", F.dense_rank().over(Window.partitionBy("l", "g").orderBy("h"))).where(F.col("n") <= per_label)
-    best = some.withColumn("n", F.dense_rank().over(Window.partitionBy("l").orderBy("h"))).where(F.col("n") <= per_label)
-    last = best.groupBy(F.col("l").alias("label")).agg(F.max("h").alias("last"))  # a row a label
-    return rows.join(F.broadcast(last), (F.col("l") == F.col("label")) & (F.col("h") <= F.col("last"))).select("l", "t", "h").dropDuplicates(["l", "h"])
+    """Of rows (l, t, h), at most ``per_label`` different (l, h), the smallest h of each l, once each.
+
+    Only hashes below a share of their range are ranked, four times what is expected to be needed;
+    where that holds too few, the share grows.
+    """
+    spark = rows.sparkSession
+    share = {r.l: 4 * per_label / max(1, r.n) for r in rows.groupBy("l").agg(F.approx_count_distinct("h").alias("n")).collect()}  # a row a label
+    while True:
+        shares = spark.createDataFrame(list(share.items()), "label string, share double")
+        low = rows.join(F.broadcast(shares), F.col("l") == F.col("label")).where(F.col("h") / 2.0**64 + 0.5 < F.col("share"))
+        ranked = low.select("l", "h").distinct().withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("n") <= per_label)
+        found = {r.l: (r.last, r.n) for r in ranked.groupBy("l").agg(F.max("h").alias("last"), F.count(F.lit(1)).alias("n")).collect()}
+        short = [x for x in share if share[x] < 1 and found.get(x, (0, 0))[1] < per_label]
+        if not short:
+            break
+        share |= {x: 4 * share[x] for x in short}
+    last = spark.createDataFrame([(x, h) for x, (h, _) in found.items()], "label string, last bigint")
+    chosen = rows.join(F.broadcast(last), (F.col("l") == F.col("label")) & (F.col("h") <= F.col("last")))
+    return chosen.select("l", "t", "h").dropDuplicates(["l", "h"])
 
 
 def fit(docs: DataFrame, id_col: str, text_col: str, label_col: str, where: Column) -> Model:
