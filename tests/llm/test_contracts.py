@@ -20,7 +20,7 @@ def texts(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_with_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "pages", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.execute(queries.oracle_sql()[name])
     names = [c[0] for c in want.description]

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import decontam, htmlmain, kdtree, langid, license, linededup, packing, sharding, simhash, tokenstore
+from weft.llm import decontam, htmlmain, kdtree, langid, license, linededup, packing, sharding, simhash, tokenstore, warc
 from weft.session import table
 
 END_ID = 2
@@ -74,6 +74,11 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries():
     return {
         "op1_language_id": op1_language_id,
@@ -86,6 +91,7 @@ def queries():
         "op8_near_duplicates": op8_near_duplicates,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_shards": op10_shards,
+        "op11_warc_archive": op11_warc_archive,
     }
 
 
@@ -105,6 +111,13 @@ WITH usable AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+_WARC = """
+WITH payloads AS (SELECT page_id, sha256(coalesce(html, '')) AS d, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages),
+kept AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS kept FROM payloads)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN n < 100 OR page_id = kept THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN n < 100 OR page_id = kept THEN NULL ELSE kept END AS refers_to FROM kept
+"""
+
 
 def oracle_sql():
-    return {"op4_license_scan": license.oracle_sql(), "op6_exact_top_k": _TOP_K}
+    return {"op4_license_scan": license.oracle_sql(), "op6_exact_top_k": _TOP_K, "op11_warc_archive": _WARC}
