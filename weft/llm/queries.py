@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import decontam, htmlmain, kdtree, langid, license, linededup, packing, sharding, simhash, tokenstore, warc
+from weft.llm import balltree, decontam, htmlmain, kdtree, langid, license, linededup, packing, sharding, simhash, tokenstore, warc
 from weft.session import table
 
 END_ID = 2
@@ -79,6 +79,10 @@ def op11_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.top_k(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
 def queries():
     return {
         "op1_language_id": op1_language_id,
@@ -92,6 +96,7 @@ def queries():
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_shards": op10_shards,
         "op11_warc_archive": op11_warc_archive,
+        "op13_ranked_search": op13_ranked_search,
     }
 
 
@@ -118,6 +123,25 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN n < 100 OR pa
   CASE WHEN n < 100 OR page_id = kept THEN NULL ELSE kept END AS refers_to FROM kept
 """
 
+_RANKED = r"""
+WITH split AS (
+  SELECT *, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM (SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark)
+), counts AS (
+  SELECT side, id, t, count(*) AS c FROM (SELECT side, id, unnest(ts) AS t FROM split) GROUP BY ALL
+), docs AS (
+  SELECT id, len(ts) AS n, count(*) OVER () AS n_docs, CAST(sum(len(ts)) OVER () AS BIGINT) AS n_terms FROM split WHERE side = 0 AND len(ts) > 0
+), weights AS (
+  SELECT t, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counts JOIN docs USING (id) WHERE side = 0 GROUP BY t
+), scored AS (
+  SELECT q.id AS item_id, d.id AS doc_id,
+    CAST(sum(q.c * w * ((1000000000 * d.c) // (1000 * d.c + 8 * (25 + (75 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM counts q JOIN counts d ON q.t = d.t JOIN weights USING (t) JOIN docs ON docs.id = d.id WHERE q.side = 1 AND d.side = 0 GROUP BY ALL
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10
+"""
+
 
 def oracle_sql():
-    return {"op4_license_scan": license.oracle_sql(), "op6_exact_top_k": _TOP_K, "op11_warc_archive": _WARC}
+    return {"op4_license_scan": license.oracle_sql(), "op6_exact_top_k": _TOP_K, "op11_warc_archive": _WARC, "op13_ranked_search": _RANKED}
