@@ -3,8 +3,8 @@
 A document's score for an item is an inner product of whole numbers: the item counts its
 terms, the document holds for each term its weight times its saturated frequency. Documents are
 reduced once to the terms that items have, then every task takes the documents it reads in
-runs of bounded size and builds a ball tree over each run: nodes split at the median of the
-projection on two far points, and keep their centroid and the radius around it. By
+runs of bounded size and builds a ball tree over each run: nodes split at the median along a
+direction in which their rows spread, and keep their centroid and the radius around it. By
 Cauchy-Schwarz no document of a node scores above q * centroid + |q| * radius; the radius and
 the bound are rounded up by more than floating point can lose. Nodes are visited best bound
 first, until the best bound left is below the kth score that the task has found; leaves are
@@ -117,17 +117,15 @@ class BallTree:
             self.kids.append([])
             self.spans.append((a, b))
             if b - a > leaf:
-                def along(i, t=t, v=v, row=row, mine=mine, n=b - a):
-                    """Inner products with row i."""
-                    dense = np.zeros(self.width)
-                    dense[terms[edges[mine[i]] : edges[mine[i] + 1]]] = reals[edges[mine[i]] : edges[mine[i] + 1]]
-                    return np.bincount(row, v * dense[t], n)
-
-                p = int(far.argmax())
-                by_p = along(p)
-                q = int((norms[mine] - 2 * by_p).argmax())  # the row farthest from p
+                # From a random direction two steps towards that in which the rows spread most.
+                along = np.random.default_rng(me).standard_normal(self.width)
+                for _ in range(2):
+                    by = np.bincount(row, v * along[t], b - a)
+                    along = np.bincount(t, v * (by - by.mean())[row], self.width)
+                    along /= np.abs(along).max() or 1.0
+                by = np.bincount(row, v * along[t], b - a)
                 half = (b - a) // 2
-                order[a:b] = mine[np.argpartition(by_p - along(q), half)]
+                order[a:b] = mine[np.argpartition(by, half)]
                 todo += [(a + half, b, me), (a, a + half, me)]
         self.order, self.radius = order, np.array(self.radius)
         # Centroids by term, and the rows' entries by leaf and term.
