@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import balltree, decontam, htmlmain, kdtree, langid, license, linededup, packing, sharding, simhash, tokenstore, warc
+from weft.llm import balltree, decontam, htmlmain, kdtree, langid, license, linededup, packing, prefixtrie, sharding, simhash, tokenstore, warc
 from weft.session import table
 
 END_ID = 2
@@ -79,6 +79,11 @@ def op11_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, convs = prefixtrie.graft_heads(*prefixtrie.number_turns(table(spark, sf_dir, "conversations")))
+    return prefixtrie.trie(turns, convs)
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balltree.top_k(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
 
@@ -96,6 +101,7 @@ def queries():
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_shards": op10_shards,
         "op11_warc_archive": op11_warc_archive,
+        "op12_prefix_trie": op12_prefix_trie,
         "op13_ranked_search": op13_ranked_search,
     }
 
@@ -123,6 +129,37 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN n < 100 OR pa
   CASE WHEN n < 100 OR page_id = kept THEN NULL ELSE kept END AS refers_to FROM kept
 """
 
+_TRIE = """
+WITH RECURSIVE turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos FROM conversations WHERE conv_id IS NOT NULL
+), crc(c, s, i, v) AS (
+  SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR), 0, CAST(4294967295 AS BIGINT) FROM turns
+  UNION ALL
+  SELECT c, s, i + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, CAST(3988292384 AS BIGINT)) ELSE x >> 1 END
+  FROM (SELECT c, s, i, CASE WHEN i % 8 = 0 THEN xor(v, CAST(ascii(substr(s, i // 8 + 1, 1)) AS BIGINT)) ELSE v END AS x FROM crc WHERE i < 8 * length(s))
+), plan AS (
+  SELECT c, c - c % 100 AS base, xor(v, CAST(4294967295 AS BIGINT)) % 6 AS h FROM crc WHERE i = 8 * length(s)
+), rebuilt AS (
+  SELECT c, 0 AS part, pos, role, text FROM plan JOIN turns ON conv_id = base WHERE pos < h
+  UNION ALL SELECT c, 1, pos, role, text FROM plan JOIN turns ON conv_id = c WHERE pos >= h
+), whole AS (
+  SELECT c, coalesce(list({'role': role, 'text': text} ORDER BY part, pos) FILTER (pos IS NOT NULL), []) AS s FROM plan LEFT JOIN rebuilt USING (c) GROUP BY c
+), member AS (
+  SELECT c, d, len(s) AS l, length(s[d].text) AS chars, min(c) OVER (PARTITION BY d, s[1:d]) AS node FROM (SELECT c, s, unnest(range(len(s) + 1)) AS d FROM whole)
+), nodes AS (
+  SELECT node, d, count(*) AS n, coalesce(any_value(chars), 0) AS chars, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (d = l), '') AS ends FROM member GROUP BY node, d
+), linked AS (
+  SELECT nodes.*, up.node AS parent FROM nodes LEFT JOIN member up ON up.c = nodes.node AND up.d = nodes.d - 1
+), kids AS (
+  SELECT a.*, (SELECT count(*) FROM linked b WHERE b.parent = a.node AND b.d = a.d + 1) AS children FROM linked a
+), below AS (
+  SELECT m.node, m.d, count(*) FILTER (k.children = 0) AS leaves, sum((k.n - 1) * k.chars) AS saved FROM kids k JOIN member m ON m.c = k.node AND m.d <= k.d GROUP BY ALL
+)
+SELECT node AS conv_id, CAST(d AS BIGINT) AS depth, parent AS parent_conv_id, n AS n_convs, children AS n_children, leaves AS n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, sha256(ends) AS ends_sha256 FROM kids JOIN below USING (node, d)
+"""
+
 _RANKED = r"""
 WITH split AS (
   SELECT *, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
@@ -144,4 +181,4 @@ FROM scored WHERE score > 0 QUALIFY rank <= 10
 
 
 def oracle_sql():
-    return {"op4_license_scan": license.oracle_sql(), "op6_exact_top_k": _TOP_K, "op11_warc_archive": _WARC, "op13_ranked_search": _RANKED}
+    return {"op4_license_scan": license.oracle_sql(), "op6_exact_top_k": _TOP_K, "op11_warc_archive": _WARC, "op12_prefix_trie": _TRIE, "op13_ranked_search": _RANKED}
