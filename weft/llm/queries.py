@@ -173,7 +173,7 @@ WITH split AS (
 ), scored AS (
   SELECT q.id AS item_id, d.id AS doc_id,
     CAST(sum(q.c * w * ((1000000000 * d.c) // (1000 * d.c + 8 * (25 + (75 * n * n_docs) // n_terms)))) AS BIGINT) AS score
-  FROM counts q JOIN counts d ON q.t = d.t JOIN weights USING (t) JOIN docs ON docs.id = d.id WHERE q.side = 1 AND d.side = 0 GROUP BY ALL
+  FROM counts q JOIN counts d ON q.t = d.t JOIN weights ON weights.t = q.t JOIN docs ON docs.id = d.id WHERE q.side = 1 AND d.side = 0 GROUP BY ALL
 )
 SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
 FROM scored WHERE score > 0 QUALIFY rank <= 10
