@@ -1,19 +1,28 @@
-"""Vector operators: normalisation, exact neighbours by blocks, thresholds, pooling.
-
-Neighbour searches are block joins: rows are dealt into blocks of bounded size, block
-pairs are formed by an equi join on block numbers, and each task multiplies two blocks
-with numpy and keeps only what passes. No pair of rows is ever a row of a shuffle unless
-it is a result.
+"""Vector operators: normalisation, exact neighbours by pruned blocks, thresholds, pooling.
+
+Neighbour searches deal the searched vectors to cells around pivots, a bounded sample of them, and
+keep for each cell its radius, the largest angle to its pivot. By the triangle inequality of angles no vector
+of a cell is nearer to a query than the query's angle to the pivot less the radius. A query first
+searches the cell of its nearest pivot; with the kth score found there, or the given threshold, it
+then visits only the cells that can hold better ones. Cells are cut into blocks of bounded size, and
+visitors of a cell into chunks; a task multiplies one chunk with one block in numpy and keeps
+what passes, so no pair of rows is ever a row of a shuffle unless it is a result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.session import materialize, release
+
 BLOCK = 2048
+PIVOTS = 512
+MARGIN = 1e-6  # of an angle, more than arc cosines of doubles can be off by
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -34,51 +43,129 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(l2_normalize(a), l2_normalize(b))
 
 
-def _blocks(rows: DataFrame, blocks: int, side: str) -> DataFrame:
-    """Rows with their block, copied to each block of the other side."""
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    if side == "left":
-        return rows.select("id", "v", own.alias("a"), other.alias("b"))
-    return rows.select(F.col("id").alias("id"), F.col("v").alias("v"), other.alias("a"), own.alias("b"))
-
-
-def neighbours(left: DataFrame, right: DataFrame, k: int, min_score: float | None = None) -> DataFrame:
-    """(source, target, score): the k nearest of ``right`` by cosine for each of ``left``, without itself; ties to the smaller id.
-
-    Both sides are (id, v). The score is rounded to 6 places after the choice; the
-    threshold holds before it.
+def _units(col: pd.Series) -> np.ndarray:
+    m = np.array(col.tolist(), np.float64)
+    m = m.reshape(len(m), -1)
+    norm = np.sqrt((m * m).sum(1, keepdims=True))
+    return m / np.where(norm == 0, 1.0, norm)
+
+
+class Cells:
+    """The searched vectors in cells around pivots. Zero vectors, which have no angle, are in a cell that everyone visits."""
+
+    def __init__(self, rows: DataFrame, block: int = BLOCK):
+        self.block = block
+        known = rows.where(F.col("v").isNotNull() & F.col("id").isNotNull()).select("id", "v")
+        n = known.count()
+        chosen = known.orderBy(F.xxhash64("id"), "id").limit(max(1, min(PIVOTS, -(-n // block)))).collect()  # a bounded sample
+        pivots = self.pivots = _units(pd.Series([r.v for r in chosen])) if chosen else np.zeros((1, 1))
+
+        def place(batches):
+            for batch in batches:
+                if len(batch):
+                    u = _units(batch.v)
+                    near = u @ pivots.T
+                    cell = near.argmax(1)
+                    angle = np.arccos(np.clip(near[np.arange(len(u)), cell], -1, 1))
+                    zero = ~u.any(1)
+                    yield batch.assign(cell=np.where(zero, len(pivots), cell), angle=np.where(zero, np.pi, angle))
+
+        self.rows = materialize(known.mapInPandas(place, f"id {known.schema['id'].dataType.simpleString()}, v {known.schema['v'].dataType.simpleString()}, cell int, angle double"))
+        self.radius, self.sizes = np.full(len(pivots) + 1, -np.inf), np.zeros(len(pivots) + 1, int)
+        for r in self.rows.groupBy("cell").agg(F.max("angle").alias("r"), F.count(F.lit(1)).alias("n")).collect():  # one row a pivot
+            self.radius[r.cell], self.sizes[r.cell] = r.r, r.n
+
+    def _per_cell(self, values, name: str) -> DataFrame:
+        spark = self.rows.sparkSession
+        return F.broadcast(spark.createDataFrame([(c, int(x)) for c, x in enumerate(values)], f"cell int, {name} int"))
+
+    def visits(self, queries: DataFrame, home: bool, min_score: float | None) -> DataFrame:
+        """(cell, id, v): each query with its home cell, or with every other cell that can hold scores over its ``floor``."""
+        pivots, radius = self.pivots, self.radius
+        lowest = -np.inf if min_score is None else min_score - 1e-12
+
+        def run(batches):
+            for batch in batches:
+                if not len(batch) or not (radius > -np.inf).any():
+                    continue
+                u = _units(batch.v)
+                near = u @ pivots.T
+                first, here = near.argmax(1), np.zeros((len(u), len(radius)), bool)
+                if home:
+                    here[np.arange(len(u)), first] = True
+                else:
+                    angle = np.concatenate((np.arccos(np.clip(near, -1, 1)), np.zeros((len(u), 1))), axis=1)
+                    angle[~u.any(1)] = 0
+                    floor = np.maximum(batch.floor.fillna(-np.inf).to_numpy(float), lowest)
+                    here = np.cos(np.clip(angle - radius - MARGIN, 0, np.pi)) >= floor[:, None] - 1e-12
+                    here[np.arange(len(u)), first] = False
+                here &= radius > -np.inf  # cells that hold something
+                row, cell = np.nonzero(here)
+                yield pd.DataFrame({"cell": cell.astype("int32"), "id": batch.id.to_numpy()[row], "v": batch.v.to_numpy()[row]})
+
+        kinds = {f.name: f.dataType.simpleString() for f in queries.schema}
+        return queries.mapInPandas(run, f"cell int, id {kinds['id']}, v {kinds['v']}")
+
+    def search(self, visits: DataFrame, k: int | None, min_score: float | None) -> DataFrame:
+        """(source, target, score) of visitors and the cells they visit: each block's k best, or all, at the least score or over it."""
+        visits = materialize(visits)
+        asked = np.zeros(len(self.sizes), int)
+        for r in visits.groupBy("cell").count().collect():  # one row a pivot
+            asked[r.cell] = r["count"]
+        blocks, chunks = -(-self.sizes // self.block), -(-asked // (4 * self.block))
+        lowest = -np.inf if min_score is None else min_score - 1e-12
+
+        def spread(rows: DataFrame, own: str, own_n, other: str, other_n) -> DataFrame:
+            """Rows with their own part of the cell, copied to each part of the other side."""
+            there = rows.join(self._per_cell(own_n, "_own"), "cell").join(self._per_cell(other_n, "_other"), "cell").where("_own > 0 AND _other > 0")
+            parts = F.explode(F.sequence(F.lit(0), F.col("_other") - 1)).alias(other)
+            return there.select("cell", "id", "v", F.pmod(F.xxhash64("id"), F.col("_own")).cast("int").alias(own), parts)
+
+        def multiply(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            out = {"source": [], "target": [], "score": []}
+            if len(a) and len(b):
+                b = b.sort_values("id")
+                ids, right = b.id.to_numpy(), _units(b.v)
+                for i, s in zip(a.id.to_numpy(), _units(a.v) @ right.T, strict=True):
+                    s[ids == i] = -np.inf
+                    best = np.flatnonzero(s >= lowest) if k is None else np.argsort(-s, kind="stable")[:k]
+                    best = best[(s[best] > -np.inf) & (s[best] >= lowest)]
+                    out["source"] += [i] * len(best)
+                    out["target"] += ids[best].tolist()
+                    out["score"] += s[best].tolist()
+            return pd.DataFrame(out)
+
+        left = spread(visits, "chunk", chunks, "block", blocks).groupBy("cell", "block", "chunk")
+        right = spread(self.rows, "block", blocks, "chunk", chunks).groupBy("cell", "block", "chunk")
+        kind = self.rows.schema["id"].dataType.simpleString()
+        return left.cogroup(right).applyInPandas(multiply, f"source {kind}, target {kind}, score double")
+
+
+def neighbours(left: DataFrame, right: DataFrame, k: int, min_score: float | None = None, block: int = BLOCK) -> DataFrame:
+    """(source, target, score, rank): the k nearest of ``right`` by cosine for each of ``left``, without itself; ties to the smaller id.
+
+    Both sides are (id, v), vectors of one length; NULL ids and vectors take no part. Scores that agree to 9
+    places tie; the threshold holds before any rounding.
     """
-    n = max(left.count(), right.count())
-    blocks = max(1, -(-n // BLOCK))
-
-    def search(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        def unit(col):
-            m = np.array(col.tolist(), np.float64)
-            norm = np.sqrt((m * m).sum(1, keepdims=True))
-            return m / np.where(norm == 0, 1.0, norm)
-
-        out = {"source": [], "target": [], "score": []}
-        if len(a) and len(b):
-            b = b.sort_values("id")
-            ids, scores = b.id.to_numpy(), unit(a.v) @ unit(b.v).T
-            for i, s in zip(a.id.to_numpy(), scores, strict=True):
-                s[ids == i] = -np.inf
-                best = np.argsort(-s, kind="stable")[:k]
-                best = best[s[best] > (-np.inf if min_score is None else min_score - 1e-12)]
-                out["source"] += [i] * len(best)
-                out["target"] += ids[best].tolist()
-                out["score"] += s[best].tolist()
-        return pd.DataFrame(out)
-
-    found = (
-        _blocks(left, blocks, "left").groupBy("a", "b").cogroup(_blocks(right, blocks, "right").groupBy("a", "b"))
-        .applyInPandas(search, "source bigint, target bigint, score double")
-    )
+    cells = Cells(right, block)
+    asked = materialize(left.where(F.col("v").isNotNull() & F.col("id").isNotNull()).select("id", "v"))
+    found = materialize(cells.search(cells.visits(asked, True, min_score), k, min_score))
     w = Window.partitionBy("source").orderBy(F.desc(F.round("score", 9)), "target")
+    best = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    kth = best.where(F.col("rank") == k).select(F.col("source").alias("id"), (F.col("score") - 1e-9).alias("floor"))
+    others = cells.visits(asked.join(kth, "id", "left"), False, min_score)
+    found = found.unionByName(cells.search(others, k, min_score))
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def similar_pairs(rows: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(i, j, score), i < j: all pairs whose cosine is ``threshold`` or more. Rows are (id, v), as in :func:`neighbours`."""
+    cells = Cells(rows, block)
+    asked = cells.rows.select("id", "v", F.lit(None).cast("double").alias("floor"))
+    visits = cells.visits(asked, True, threshold).unionByName(cells.visits(asked, False, threshold))
+    return cells.search(visits, None, threshold).where("source < target").select(F.col("source").alias("i"), F.col("target").alias("j"), "score")
+
+
 def knn_self_join(rows: DataFrame, k: int, threshold: float) -> DataFrame:
     """(i, j, score), i < j: pairs at or over the threshold that either end has among its k nearest."""
     found = neighbours(rows, rows, k).where(F.col("score") >= threshold)
@@ -87,10 +174,9 @@ def knn_self_join(rows: DataFrame, k: int, threshold: float) -> DataFrame:
 
 
 def mean_pool(chunks: DataFrame, key: str, vec: str) -> DataFrame:
-    """(key, v): the mean of the normalised chunk vectors of each key."""
-    parts = chunks.select(key, F.posexplode(l2_normalize(F.col(vec))).alias("_i", "_x"))
-    means = parts.groupBy(key, "_i").agg(F.avg("_x").alias("_m"))
-    return means.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda s: s["_m"]).alias("v"))
+    """(key, v): the mean of the normalised chunk vectors of each key, one vector of sums a key and map task."""
+    units = chunks.where(F.col(vec).isNotNull()).select(key, array_to_vector(l2_normalize(F.col(vec))).alias("_u"))
+    return units.groupBy(key).agg(vector_to_array(Summarizer.mean(F.col("_u"))).alias("v"))
 
 
 def dedup_clusters(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
