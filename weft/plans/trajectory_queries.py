@@ -118,18 +118,6 @@ def text_profile(spark, d):
     )
 
 
-def csv_profile(spark, d):
-    """Kind, different values and missing share of the columns of orders."""
-    o = table(spark, d, "orders").select(*[F.col(c).cast("string") for c in ("o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")])
-    long = o.unpivot([], list(o.columns), "name", "value")
-    tally = long.groupBy("name").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("value").alias("different"), F.count_if(F.col("value").try_cast("double").isNotNull()).alias("numbers"),
-        F.count_if(s.looks_like_date(F.col("value"))).alias("dates"), F.count_if(F.col("value").isNull()).alias("missing"),
-    )
-    kind = F.when(F.col("numbers") == F.col("n"), "numeric").when(F.col("dates") == F.col("n"), "datetime").when(F.col("different") < 0.5 * F.col("n"), "categorical").otherwise("text")
-    return tally.select("name", "n", "different", kind.alias("kind"), F.round(F.col("missing") / F.col("n"), 3).alias("missing_ratio"))
-
-
 def json_profile(spark, d):
     """Top-level keys of every event's properties."""
     e = table(spark, d, "events")
@@ -157,7 +145,7 @@ def exploration_state(spark, d):
 def queries():
     return {f.__name__: f for f in (
         pair_tool_results, record_trajectory, tool_usage, tool_usage_by_category, trajectory_summary, validate_trajectory, clip_middle_steps, no_progress_run,
-        coverage_ratio, retrieval_metrics, source_sink_nodes, all_paths, topological_order, dag_coverage, pytest_summary, text_profile, csv_profile,
+        coverage_ratio, retrieval_metrics, source_sink_nodes, all_paths, topological_order, dag_coverage, pytest_summary, text_profile,
         json_profile, content_type_groups, event_windows, exploration_state,
     )}
 
@@ -221,11 +209,6 @@ def oracle_sql():
               CASE WHEN passed + failed + skipped = 0 THEN 0.0 ELSE round(passed / (passed + failed + skipped), 6) END AS success_rate, code = 0 AND passed > 0 AND failed = 0 AS all_passed FROM y""",
         "text_profile": r"""SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INTEGER) AS lines, CAST(len(regexp_extract_all(text, '[^ \t\n\r\f\v]+')) AS INTEGER) AS words,
             CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^#+ '))) AS INTEGER) AS headings, contains(text, '```') AS has_code FROM documents""",
-        "csv_profile": f"""WITH l AS (
-              SELECT 'o_orderstatus' AS name, o_orderstatus AS value FROM orders UNION ALL SELECT 'o_totalprice', CAST(o_totalprice AS VARCHAR) FROM orders
-              UNION ALL SELECT 'o_orderdate', CAST(o_orderdate AS VARCHAR) FROM orders UNION ALL SELECT 'o_orderpriority', o_orderpriority FROM orders),
-            t AS (SELECT name, count(*) AS n, count(DISTINCT value) AS different, count(TRY_CAST(value AS DOUBLE)) AS numbers, count(*) FILTER (regexp_matches(value, '{s.DATE_PATTERN}')) AS dates, count(*) FILTER (value IS NULL) AS missing FROM l GROUP BY name)
-            SELECT name, n, different, CASE WHEN numbers = n THEN 'numeric' WHEN dates = n THEN 'datetime' WHEN different < 0.5 * n THEN 'categorical' ELSE 'text' END AS kind, round(missing / n, 3) AS missing_ratio FROM t""",
         "json_profile": "SELECT key, event_type, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS key, event_type FROM events) GROUP BY 1, 2",
         "content_type_groups": f"SELECT source, {_content('text')} AS content, count(*) AS n FROM documents GROUP BY 1, 2",
         "event_windows": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -59,6 +59,87 @@ def skill_files(spark: SparkSession, root: str, name: str = "SKILL.md") -> DataF
     return with_dense_id(raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")), "skill_id", "path")
 
 
+def _separator(sample: list[str]) -> str:
+    """The separator that most lines hold equally often, more often being better; a comma if none does."""
+    best = (0, 0, ",")
+    for mark in ("|", ";", "\t", ","):
+        counts = [line.count(mark) for line in sample]
+        common = max(set(counts), key=counts.count) if counts else 0
+        if common:
+            best = max(best, (counts.count(common), common, mark))
+    return best[2]
+
+
+def delimited(spark: SparkSession, path: str, separator: str | None = None, limit: int | None = 1000, many_lines: bool = False) -> DataFrame:
+    """Rows of delimited files with one header line each, as texts, with ``_file`` and ``_row``, their order in it.
+
+    The separator is a tab for .tsv, a comma for .csv, else, or if ``separator`` is "detect", found by counting in the
+    first lines. Rows with too many fields are skipped, with too few filled up with NULLs; bytes that are no
+    text are left out; ``limit`` rows of each file are returned, all if it is None.
+    """
+    if separator is None:
+        separator = "\t" if path.endswith(".tsv") else "," if path.endswith(".csv") else "detect"
+    if separator == "detect":
+        separator = _separator([r.value for r in spark.read.text(path).where("trim(value) <> ''").limit(50).collect()])
+    options = {"sep": separator, "header": True, "multiLine": many_lines, "nullValue": "\x00", "escape": '"'}
+    names = spark.read.options(**options).csv(path).columns
+    fields = ", ".join(f"`{n.replace('`', '``')}` string" for n in [*names, "_extra"])
+    rows = spark.read.options(**options).schema(fields).csv(path)
+    place = rows.select(*[F.replace(F.col(f"`{n.replace('`', '``')}`"), F.lit("\ufffd"), F.lit("")).alias(n) for n in names], "_extra", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
+    kept = place.where("_extra IS NULL").drop("_extra")
+    if limit is not None:
+        first = Window.partitionBy("_file").orderBy("_block", "_row")
+        kept = kept.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= limit).drop("_n")
+    return kept.drop("_block")
+
+
+# The fields of a kept exploration state and their types; maps are by skill.
+STATE_FIELDS = {
+    "skill_names": "array<string>", "session_id": "string", "started_at": "string", "total_steps": "bigint", "checkpoint_count": "bigint",
+    "documented_functions": "map<string, array<string>>", "discovered_functions": "map<string, array<string>>", "tested_functions": "map<string, array<string>>",
+    "workflows": "array<variant>", "last_new_discovery_step": "bigint", "consecutive_no_progress": "bigint", "exploration_complete": "boolean", "completion_reason": "string",
+}
+_EMPTY = {"array": "[]", "map": "{}", "string": '""', "bigint": "0", "boolean": "false"}
+
+
+def states(texts: DataFrame, text: str) -> DataFrame:
+    """The other columns with the fields of the exploration state in ``text``, a JSON object; rows without one are left out.
+
+    Older shapes are brought to today's: ``skill_name`` becomes a list of names, and a list of functions
+    a map of the first skill's, "unknown" if there is none. Unknown and computed fields are dropped, missing ones
+    and those of another type have their defaults. ``coverage_ratio`` is computed anew: of documented functions
+    those tested, 1 if none is documented.
+    """
+    rest = [c for c in texts.columns if c != text]
+    state = texts.select(*rest, F.try_parse_json(text).alias("_v")).where(F.startswith(F.schema_of_variant("_v"), F.lit("OBJECT")))
+
+    def get(name: str, kind: str) -> Column:
+        return F.try_variant_get("_v", f"$.{name}", kind)
+
+    def default(kind: str) -> Column:
+        empty = _EMPTY[kind.partition("<")[0]]
+        return F.try_variant_get(F.parse_json(F.lit(empty)), "$", kind)
+
+    old_name = get("skill_name", "string")
+    names = F.coalesce(get("skill_names", "array<string>"), F.when(F.coalesce(old_name, F.lit("")) != "", F.array(old_name)))
+    columns = {}
+    for name, kind in STATE_FIELDS.items():
+        value = names if name == "skill_names" else get(name, kind)
+        if name.endswith("functions"):
+            listed = get(name, "array<string>")
+            value = F.coalesce(value, F.when(listed.isNotNull(), F.create_map(F.coalesce(F.get(names, 0), F.lit("unknown")), listed)))
+        columns[name] = F.coalesce(value, default(kind))
+    out = state.select(*rest, *[c.alias(n) for n, c in columns.items()])
+    told = F.flatten(F.map_values("documented_functions"))
+    done = F.aggregate(F.map_entries("documented_functions"), F.lit(0), lambda n, e: n + F.size(F.array_intersect(e["value"], F.coalesce(F.col("tested_functions")[e["key"]], F.array().cast("array<string>")))))
+    return out.withColumn("coverage_ratio", F.when(F.size(told) == 0, 1.0).otherwise(done / F.size(told)))
+
+
+def state_json() -> Column:
+    """A row of :func:`states` as the JSON object that it is kept as."""
+    return F.to_json(F.struct(*STATE_FIELDS, "coverage_ratio"))
+
+
 def folder(spark: SparkSession, path: str, extensions: list[str] | None = None, ignore: tuple[str, ...] = ()) -> DataFrame:
     """(path, length, sha256) of files below a folder, without those under an ignored name."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
