@@ -164,3 +164,26 @@ def instruction_issues(instruction: Column, outputs: Column, inputs: Column) ->
     told = F.filter(F.array(*[F.lit(k) for k in GIVEAWAYS]), lambda k: F.contains(low, k))
     details = F.transform(told, lambda k: F.concat(F.lit("Possible implementation detail: '"), k, F.lit("'")))
     return F.concat(missing(outputs, "Output"), missing(inputs, "Input"), details)
+
+
+# Words that are headings, and method names that say nothing.
+HEADINGS = (
+    "overview introduction quick start getting started installation setup usage example examples reference python command line tools common next steps "
+    "advanced basic summary conclusion requirements dependencies configuration config settings notes troubleshooting faq api methods functions classes"
+).split()
+PLAIN_METHODS = "pdf pages page open write read close append extend".split()
+
+
+def documented_functions(document: Column) -> Column:
+    """Operations that a skill's document names, each once ignoring case, as first spelt: headings of the fourth level, then
+    defined functions, calls of classes, of methods, and inline calls; without heading words. NULL has none."""
+    text = F.coalesce(document, F.lit(""))
+    headings = F.transform(F.regexp_extract_all(text, F.lit(r"(?dmU)^####\s+(.+)$"), 1), lambda h: F.regexp_replace(h, r"(?U)^\s+|\s+$", ""))
+    defined, classes, methods, inline = (
+        F.regexp_extract_all(text, F.lit(p), 1)
+        for p in (r"(?U)def\s+(\w+)\s*\(", r"(?U)\b([A-Z][a-zA-Z0-9]+)\s*\(", r"(?U)\.([a-zA-Z_][a-zA-Z0-9_]*)\s*\(", r"(?U)`(\w+)\(\)`")
+    )
+    told = F.filter(methods, lambda m: ~F.lower(m).isin(PLAIN_METHODS) & (F.length(m) > 2))
+    names = F.filter(F.concat(headings, defined, classes, told, inline), lambda n: (n != "") & ~F.lower(n).isin(HEADINGS))
+    low = F.transform(names, F.lower)
+    return F.filter(names, lambda n, i: F.array_position(low, F.lower(n)) == i + 1)

@@ -153,3 +153,45 @@ def code_profile(path: Column, source: Column) -> Column:
         return pd.DataFrame({n: pd.Series([x.get(n) for x in found], dtype="Int32" if n.endswith("count") else object) for n in names})
 
     return F.pandas_udf(run, PROFILE)(path, source)
+
+
+PRM = "is_valid boolean, issues array<string>, feedback string"
+_PRM_PARTS = [re.compile(r"```json\s*(.*?)\s*```", re.DOTALL), re.compile(r"```\s*(.*?)\s*```", re.DOTALL), re.compile(r'(\{[^{}]*"is_valid"[^{}]*\})', re.DOTALL)]
+# What is searched for in answers without JSON, and what is said of those without either.
+_YES, _NO = ('is_valid": true', "is_valid: true"), ('is_valid": false', "is_valid: false")
+_UNREAD = "Could not parse PRM result, assuming valid."
+
+
+def _prm(answer: str) -> tuple:
+    for part in _PRM_PARTS:
+        found = part.search(answer)
+        data = _json(found and found[1])
+        if isinstance(data, dict):
+            issues = data.get("issues") or []
+            return bool(data.get("is_valid", False)), [str(x) for x in (issues if isinstance(issues, list) else [issues])], str(data.get("feedback") or "")
+    low = answer.lower()
+    if any(x in low for x in _YES):
+        return True, [], ""
+    if any(x in low for x in _NO):
+        issues = []
+        for line in answer.split("\n"):
+            bare = line.strip()
+            if bare.startswith(("- ", "* ")):
+                issues.append(bare[2:])
+            elif "issue" in line.lower() or "error" in line.lower():
+                issues.append(bare)
+        return False, issues[:10], answer[:2000]
+    return True, [], _UNREAD
+
+
+def parse_prm_result(answer: Column) -> Column:
+    """(is_valid, issues, feedback) of a review: of its first JSON object, fenced or bare, else of signals in the text, else valid.
+
+    Issues that are no list are one issue; NULL is read as an empty answer.
+    """
+
+    def run(answers: pd.Series) -> pd.DataFrame:
+        rows = [_prm(a or "") for a in answers]
+        return pd.DataFrame({"is_valid": [r[0] for r in rows], "issues": pd.Series([r[1] for r in rows], dtype=object), "feedback": [r[2] for r in rows]})
+
+    return F.pandas_udf(run, PRM)(answer)

@@ -74,13 +74,21 @@ def loop_summary(operations: DataFrame, keys: list[str], ordinal: str) -> DataFr
 
 
 def pair_by_use(uses: DataFrame, results: DataFrame, session: str, use: str, ordinal: str, text: str, limit: int = LIMIT) -> DataFrame:
-    """Each tool use with the first later result of its id, cut to ``limit`` characters; NULL without one."""
-    told = results.select(F.col(session).alias("_s"), F.col(use).alias("_u"), F.col(ordinal).alias("_o"), F.col(text).alias("_t"))
-    own = uses.withColumn("_row", F.struct(ordinal))
-    met = own.join(told, (F.col(session) == F.col("_s")) & (F.col(use) == F.col("_u")) & (F.col("_o") > F.col(ordinal)), "left")
-    names = [c for c in uses.columns]
-    first = met.groupBy(*names).agg(F.min_by("_t", "_o").alias("output"))
-    return first.withColumn("output", F.substring("output", 1, limit))
+    """Each tool use with the first later result of its id, cut to ``limit`` characters; NULL without one.
+
+    Uses and results of an id pass one window, last first, that carries the latest result met: no use is joined with all
+    later ones. Of results at one place the smallest text counts; a NULL session or id pairs with none.
+    """
+    kept = F.struct(*uses.columns)
+    both = uses.select(F.col(session).alias("_s"), F.col(use).alias("_u"), F.col(ordinal).alias("_o"), F.lit(0).alias("_k"), kept.alias("_row"), F.lit(None).cast("string").alias("_t")).unionByName(
+        results.select(F.col(session).alias("_s"), F.col(use).alias("_u"), F.col(ordinal).alias("_o"), F.lit(1).alias("_k"), F.lit(None).cast(uses.select(kept.alias("r")).schema["r"].dataType).alias("_row"), F.substring(text, 1, limit).alias("_t"))
+    )
+    # At one place uses come before results, which are not later.
+    later = Window.partitionBy("_s", "_u").orderBy(F.desc("_o"), "_k", F.desc("_t")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = F.last(F.when(F.col("_k") == 1, F.struct("_t")), ignorenulls=True).over(later)
+    known = F.col("_s").isNotNull() & F.col("_u").isNotNull()
+    found = both.withColumn("output", F.when(known, met["_t"])).where("_k = 0")
+    return found.select("_row.*", "output")
 
 
 def empty_sessions(sessions: DataFrame, steps: DataFrame, session: str) -> DataFrame:

@@ -179,16 +179,24 @@ def mean_pool(chunks: DataFrame, key: str, vec: str) -> DataFrame:
     return units.groupBy(key).agg(vector_to_array(Summarizer.mean(F.col("_u"))).alias("v"))
 
 
-def dedup_clusters(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
-    """(id, root, score, outcome) of linked rows: each component's smallest id is kept, members near it are dropped, others are neither."""
+def dedup_clusters(pairs: DataFrame, rows: DataFrame, threshold: float, *rank: Column | str) -> DataFrame:
+    """(id, cluster_id, representative, score, outcome) of every row (id, v, what ranks).
+
+    Linked rows are one cluster; the first by ``rank``, then id, represents it and is kept, members whose cosine to it is
+    ``threshold`` or more are dropped, others are neither. Clusters are numbered from 1 by their smallest id; a row on its
+    own is kept and has no number.
+    """
     from weft.operators.components import connected_components
+    from weft.operators.graph import with_dense_id
 
     label = connected_components(pairs, "i", "j")
-    vectors = rows.select(F.col("id").alias("_id"), F.col("v").alias("_v"))
-    members = label.join(vectors, label.node == vectors["_id"]).join(
-        rows.select(F.col("id").alias("_rid"), F.col("v").alias("_rv")), F.col("root") == F.col("_rid")
-    )
-    score = cosine(F.col("_v"), F.col("_rv"))
-    scored = members.select(F.col("node").alias("id"), "root", F.round(score, 6).alias("score"), F.when(score >= threshold, "drop").otherwise("neither").alias("outcome"))
-    kept = label.select("root").distinct().select(F.col("root").alias("id"), "root", F.lit(1.0).alias("score"), F.lit("keep").alias("outcome"))
-    return scored.unionByName(kept)
+    keyed = rows.withColumn("_rank", F.struct(*rank, "id")).select("id", "v", "_rank")
+    placed = keyed.join(label, keyed.id == label.node, "left").withColumn("root", F.coalesce("root", "id"))
+    best = placed.groupBy("root").agg(F.min_by(F.struct("id", "v"), "_rank").alias("_best"), F.count(F.lit(1)).alias("_n"))
+    numbers = with_dense_id(best.where("_n > 1").select("root"), "cluster_id", "root")
+    scored = placed.join(best.where("_n > 1"), "root").join(numbers, "root")
+    score = F.when(F.col("id") == F.col("_best.id"), 1.0).otherwise(cosine(F.col("v"), F.col("_best.v")))
+    outcome = F.when(F.col("id") == F.col("_best.id"), "keep").when(score >= threshold, "drop").otherwise("neither")
+    linked = scored.select("id", "cluster_id", F.col("_best.id").alias("representative"), F.round(score, 6).alias("score"), outcome.alias("outcome"))
+    alone = best.where("_n = 1").select(F.col("root").alias("id"), F.lit(None).cast("bigint").alias("cluster_id"), F.col("root").alias("representative"), F.lit(1.0).alias("score"), F.lit("keep").alias("outcome"))
+    return linked.unionByName(alone)

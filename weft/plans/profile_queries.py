@@ -106,7 +106,7 @@ _LINES = """lines AS (SELECT CAST(o_orderkey AS BIGINT) AS key, CASE WHEN o_orde
 _ENDING = "(['PDF', 'csv', 'tsv', 'py', 'h', 'md', 'yml', 'ipynb', 'tar.gz', 'webp', 'pptx', 'html', 'geojson', 'odd', ''])[CAST(p_partkey % 15 AS INTEGER) + 1]"
 _META = """meta AS (SELECT p_partkey, p_partkey % 10 AS k, CAST(p_partkey AS VARCHAR) AS n, CAST(p_size AS VARCHAR) AS z FROM part),
 told AS (SELECT p_partkey, k, n, z, (['table', 'code', 'code', 'notebook', 'scientific', 'scientific', 'data', 'data', 'data', 'document'])[CAST(k AS INTEGER) + 1] AS category,
-  '{"file_size_bytes":' || (CASE k WHEN 0 THEN 53 + length(n) WHEN 1 THEN 24 + length(n) WHEN 2 THEN 12 WHEN 3 THEN 152 + length(n) WHEN 4 THEN 10 + length(n) WHEN 5 THEN 58 + length(n)
+  '{"file_size_bytes":' || (CASE k WHEN 0 THEN 52 + length(n) WHEN 1 THEN 24 + length(n) WHEN 2 THEN 12 WHEN 3 THEN 152 + length(n) WHEN 4 THEN 10 + length(n) WHEN 5 THEN 58 + length(n)
     WHEN 6 THEN 12 + length(n) WHEN 7 THEN 18 + length(z) WHEN 8 THEN 2 + length(z) ELSE length(n) END) || CASE k
     WHEN 0 THEN ',"row_count":2,"column_count":3,"column_names":["id","name","when"],"column_types":{"id":"numeric","name":"text","when":"datetime"},"numeric_columns":["id"],"date_columns":["when"],"categorical_columns":[],"missing_value_ratio":0.167}'
     WHEN 1 THEN ',"line_count":3,"programming_language":"python","function_count":1,"function_names":["f' || n || '"],"class_count":0,"class_names":[],"imports":["os"]}'

@@ -69,7 +69,7 @@ def pair_by_tool_use_id(spark, d):
     """Conversation turns as uses and results: a turn is answered by a later one of the same parity."""
     c = table(spark, d, "conversations").withColumn("use", (F.col("turn") % 2).cast("int"))
     uses = c.where("role = 'assistant'").select("conv_id", "use", "turn")
-    return tools.pair_by_use(uses, c.where("role = 'user'"), "conv_id", "use", "turn", "text", 80)
+    return tools.pair_by_use(uses, c.where("role = 'user'"), "conv_id", "use", "turn", "text")
 
 
 def tool_lists(spark, d):
@@ -398,7 +398,7 @@ def oracle_sql():
         "loop_summary": f"""{steps}, f AS (SELECT user_id, event_id // 100 AS loop, kind, value, min(event_id) AS o FROM operations GROUP BY ALL)
             SELECT user_id, loop, {", ".join(f"coalesce(string_agg(value, ',' ORDER BY o, value) FILTER (kind = '{k}'), '') AS {n}" for k, n in (("input", "reads"), ("output", "writes"), ("edited", "edits")))}
             FROM f GROUP BY 1, 2""",
-        "pair_by_tool_use_id": """SELECT a.conv_id, CAST(a.turn % 2 AS INTEGER) AS use, a.turn, substr(arg_min(b.text, b.turn), 1, 80) AS output FROM conversations a
+        "pair_by_tool_use_id": """SELECT a.conv_id, CAST(a.turn % 2 AS INTEGER) AS use, a.turn, substr(arg_min(b.text, b.turn), 1, 10000) AS output FROM conversations a
             LEFT JOIN conversations b ON b.role = 'user' AND b.conv_id = a.conv_id AND b.turn % 2 = a.turn % 2 AND b.turn > a.turn WHERE a.role = 'assistant' GROUP BY 1, 2, 3""",
         "tool_lists": f"""{steps} SELECT user_id, count(*) FILTER (kind = 'output') AS created, count(*) FILTER (kind = 'command') AS commands,
             count(*) FILTER (kind IN ('url', 'query')) AS web, count(*) FILTER (kind IN ('glob', 'grep')) AS patterns FROM operations GROUP BY 1""",

@@ -5,14 +5,15 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from weft.operators.ranking import pending
-from weft.session import shared_dir, table
+from weft.session import materialize, release, shared_dir, table
 
 
 def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 4) -> DataFrame:
@@ -82,21 +83,118 @@ def run_available(stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(f"{names}, batch bigint, number int").parquet(f"{base}/out").drop("number")
 
 
-def resume(candidates: DataFrame, store: str, keys: list[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Do what no earlier run has finished, append it to ``store`` and return all results.
+def committed(spark: SparkSession, store: str) -> DataFrame | None:
+    """The rows of the batches that were finished; None if there are none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/*/_SUCCESS")
+    done = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(path)
+    names = [str(x.getPath().getParent()) for x in done] if done is not None else []
+    return spark.read.option("mergeSchema", True).parquet(*names) if names else None
 
-    ``work`` adds ``error`` (NULL on success); failed rows are done again next time.
+
+def resume(candidates: DataFrame, store: str, keys: list[str], work: Callable[[DataFrame], DataFrame], batch_rows: int = 1_000_000) -> DataFrame:
+    """Do what no earlier run has finished and return the results: of each key the good one, else the last failure.
+
+    ``work`` adds ``error`` (NULL on success); failed rows are done again next time. Work goes in batches of about
+    ``batch_rows`` rows, each a folder of ``store`` that counts once Spark has committed it: what a run that
+    broke off leaves is not read and its rows are done again, batches before it stay. NULL keys are keys.
     """
     spark = candidates.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(store)
-    there = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
-    todo = pending(candidates, spark.read.parquet(store), keys, F.col("error").isNull()) if there else candidates
-    work(todo).write.mode("append").parquet(store)
-    return spark.read.parquet(store)
+    before = committed(spark, store)
+    todo = candidates
+    if before is not None:
+        good = before.where("error IS NULL").select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+        todo = candidates.join(good, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]), "left_anti")
+    todo = materialize(todo)
+    parts = -(-todo.count() // batch_rows)
+    number = 0 if before is None else before.agg(F.max("batch")).first()[0] + 1
+    for part in range(parts):
+        some = todo.where(F.pmod(F.xxhash64(*keys), F.lit(parts)) == part)
+        work(some).withColumn("batch", F.lit(number + part).cast("bigint")).write.parquet(f"{store}/{number + part:010d}-{uuid.uuid4().hex}")
+    release(todo)
+    rows = committed(spark, store)
+    if rows is None:
+        return work(candidates).withColumn("batch", F.lit(0).cast("bigint")).limit(0)
+    best = Window.partitionBy(*keys).orderBy(F.col("error").isNotNull(), F.when(F.col("error").isNotNull(), -F.col("batch")).otherwise(F.col("batch")))
+    return rows.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
+
+
+# The words of the feedback.
+FEEDBACK_HEAD = "\n\n" + "=" * 60 + "\n## IMPORTANT: Previous Attempts Failed Verification Tests\n" + "=" * 60 + "\n\n"
+FEEDBACK_TAIL = """
+Please carefully review ALL the errors above and ensure your next attempt:
+1. **Avoids ALL previously encountered errors** (not just the most recent ones)
+2. Creates all required output files in the correct locations
+3. Uses the correct output format (JSON, CSV, etc.) and field names
+4. Follows the exact specifications in the instruction
+
+Now, please re-execute the task correctly.
+""" + "=" * 60 + "\n"
+
+
+def attempt_block(attempt: Column, failures: Column, error: Column) -> Column:
+    """What is told of one attempt, from 0: its execution error, or its failures (test_name, error_message) in order."""
+    title = F.when(attempt == 0, "### Attempt 1 (Initial Execution):").otherwise(F.concat(F.lit("### Attempt "), attempt + 1, F.lit(" (Retry "), attempt, F.lit("):")))
+
+    def line(f: Column, i: Column) -> Column:
+        reason = F.when(F.coalesce(f["error_message"], F.lit("")) != "", F.concat(F.lit("\n   Error: "), f["error_message"])).otherwise("")
+        return F.concat(i + 1, F.lit(". **"), F.coalesce(f["test_name"], F.lit("")), F.lit("**"), reason, F.lit("\n\n"))
+
+    told = F.array_join(F.transform(failures, line), "")
+    body = F.when(F.coalesce(error, F.lit("")) != "", F.concat(F.lit("   Execution failed: "), error, F.lit("\n\n"))).when(F.coalesce(F.size(failures), F.lit(0)) < 1, "   No test failures recorded.\n\n").otherwise(told)
+    return F.concat(title, F.lit("\n\n"), body)
+
+
+def retry_prompt(prompt: Column, history: Column, retry: Column, most: int = 3) -> Column:
+    """The prompt of retry ``retry`` (from 1) with the blocks of all attempts before it."""
+    return F.concat(prompt, F.lit(FEEDBACK_HEAD), history, F.lit("---\nThis is retry "), retry, F.lit(f" of {most}.\n{FEEDBACK_TAIL}"))
+
+
+def retry_feedback(attempts: DataFrame, task: str, attempt: str, failures: str, error: str) -> DataFrame:
+    """(task, attempt, history): after each attempt, what is told of it and of all before it, in order.
+
+    Of repeated attempts the largest block counts; rows without an attempt are left out.
+    """
+    blocks = attempts.where(F.col(attempt).isNotNull()).select(task, F.col(attempt).cast("int").alias(attempt), attempt_block(F.col(attempt), F.col(failures), F.col(error)).alias("_b")).groupBy(task, attempt).agg(F.max("_b").alias("_b"))
+    w = Window.partitionBy(task).orderBy(attempt).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return blocks.select(task, attempt, F.array_join(F.collect_list("_b").over(w), "").alias("history"))
+
+
+def retry_feedback_stream(attempts: DataFrame, task: str, attempt: str, failures: str, error: str, at: str, keep: str = "1 day") -> DataFrame:
+    """The same of a stream, as updates: the last row of a (task, attempt) is that of :func:`retry_feedback`, in whatever order attempts come.
+
+    The keyed state holds a task's blocks. By event time ``at``, a task is forgotten ``keep`` after its last attempt,
+    and attempts that are later than that, or have no time, are left out.
+    """
+    kind = attempts.schema[task].dataType.simpleString()
+    millis = int(pd.Timedelta(keep).total_seconds() * 1000)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        known, last = (dict(json.loads(state.get[0])), state.get[1]) if state.exists else ({}, 0)
+        first = None
+        for rows in batches:
+            last = max(last, int(rows["at"].max().timestamp() * 1000))
+            for n, block in zip(rows.attempt.tolist(), rows.block.tolist(), strict=True):
+                if block > known.get(n, ""):
+                    known[n] = block
+                first = n if first is None else min(first, n)
+        state.update((json.dumps(sorted(known.items())), last))
+        state.setTimeoutTimestamp(last + millis + 1)
+        order = sorted(known)
+        out = [(key[0], n, "".join(known[m] for m in order if m <= n)) for n in order if first is not None and n >= first]
+        yield pd.DataFrame(out, columns=["task", "attempt", "history"])
+
+    slim = attempts.where(F.col(attempt).isNotNull() & F.col(at).isNotNull()).select(
+        F.col(task).alias("task"), F.col(attempt).cast("int").alias("attempt"), attempt_block(F.col(attempt), F.col(failures), F.col(error)).alias("block"), F.col(at).cast("timestamp").alias("at")
+    )
+    timed = slim.withWatermark("at", f"{millis} milliseconds")
+    return timed.groupBy("task").applyInPandasWithState(step, f"task {kind}, attempt int, history string", "blocks string, last bigint", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_stream(spark, f"{sf_dir}/events.parquet*")
 
 
-__all__ = ["exploration_state", "idle_runs", "read_events", "read_stream", "resume", "run_available", "table", "window_counts"]
+__all__ = ["exploration_state", "idle_runs", "read_events", "read_stream", "resume", "retry_feedback", "retry_feedback_stream", "retry_prompt", "run_available", "table", "window_counts"]
