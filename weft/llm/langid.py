@@ -7,13 +7,16 @@ stochastic gradient descent in numpy on a sample of at most ``PER_LANGUAGE`` dif
 labelled rows a language, those with the smallest hashes of id and text. The bound holds for
 any number of rows, repeated ones too: different hashes are counted about, and only those below
 a share of their range that holds a few times the bound are ranked. The sample's bucket counts are made on the executors and are bounded by the number
-of buckets whatever the length of a text. Every fifth row of a language is kept out of
-training; on these the softmax is calibrated by one temperature, and the score below which a
-text is rejected is set so that at most ``REJECT`` of their rightly labelled texts would be,
-but to no more than 1.5 times what chance gives (languages of fewer than five rows calibrate
-nothing; without any such row the temperature is 1 and only texts without a letter are
-rejected). Since the mean and the softmax's linear part commute, prediction needs only one
-number per bucket and language.
+of buckets whatever the length of a text.
+
+Every fifth row of a language is kept out of training and calibrates, whole and thinned to as few n-grams
+as short texts have: one temperature for the softmax, the score below which at most ``REJECT`` of the
+rightly labelled ones fall, and the share of n-grams that training met fewer than ``RARE`` times. A text
+is rejected below that score, or if it holds more rare n-grams than that share and chance explain: texts
+of other languages or of random letters do, while a word or two is too little to tell. (Languages of fewer than five rows
+calibrate nothing; without any such row the temperature is 1 and only texts without a letter are
+rejected.) Since the mean and the softmax's linear part commute, prediction needs only one number per
+bucket and language.
 
 Defined results: NULL text or text without a letter is ``und`` with score 0 and is
 rejected; with no labelled row at all every text is ``und``; ties between languages go
@@ -37,6 +40,9 @@ PER_LANGUAGE = 400
 EPOCHS = 8
 REJECT = 0.001
 THIN = (8, 16, 32, 64, 128)  # n-grams of a text that is thinned in training
+RARE = 4  # occurrences in training below which an n-gram is rare
+LEAST_SHARE = 0.02  # of rare n-grams, that any text may have
+DEVIATIONS = 5  # of a count of rare n-grams from its mean, that chance explains
 LETTER = r"\p{L}"
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _PIECE = 1 << 18  # characters hashed at once
@@ -98,6 +104,12 @@ class Model:
     bias: np.ndarray
     temperature: float
     threshold: float
+    rare: np.ndarray  # buckets of rare n-grams
+    share: float  # of rare n-grams in texts of the languages
+
+    def odd(self, rare: int, n: int) -> bool:
+        """Whether so many rare n-grams of ``n`` are more than chance explains."""
+        return rare > n * self.share + DEVIATIONS * (n * self.share) ** 0.5 + 1
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -109,7 +121,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Mode
     """Fit on (label, bucket ids, counts) rows by SGD; every fifth row of a label calibrates."""
     labels = tuple(sorted({r[0] for r in rows}))
     if not labels:
-        return Model((), np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 1.0)
+        return Model((), np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 1.0, np.zeros(BUCKETS, bool), 1.0)
     rng = np.random.default_rng(seed)
     y = np.array([labels.index(r[0]) for r in rows])
     nth = np.zeros(len(rows), np.int64)  # place among the rows of its label, which lie in order of their hashes
@@ -119,7 +131,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Mode
     emb = rng.normal(0, 0.1, (BUCKETS, DIM))
     out, bias = np.zeros((DIM, len(labels))), np.zeros(len(labels))
     for epoch in range(EPOCHS):
-        rate = 2.0 * (1 - epoch / EPOCHS)
+        rate = 0.5 * (1 - epoch / EPOCHS)
         for i in rng.permutation(fit).tolist():
             _, ids, n = rows[i]
             if not len(ids):
@@ -134,20 +146,30 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Mode
             g /= g.sum()
             g[y[i]] -= 1
             back = out @ g
+            back /= max(1.0, np.sqrt(back @ back))  # no step of the vectors is long enough to run away
             out -= rate * np.outer(mean, g)
             bias -= 0.01 * rate * g
             emb[ids] -= rate * 10 * w[:, None] * back
     table = emb @ out
+    met = np.zeros(BUCKETS, np.int64)
+    for i in fit.tolist():
+        met[rows[i][1]] += rows[i][2]
+    rare = met < RARE
     if not len(held):
-        return Model(labels, table, bias, 1.0, 0.0)
-    z = np.array([n @ table[ids] / max(1, n.sum()) + bias for _, ids, n in (rows[i] for i in held)])
-    temperatures = np.geomspace(0.25, 20, 60)
+        return Model(labels, table, bias, 1.0, 0.0, rare, 1.0)
+    some = [(y[i], rows[i][1], rows[i][2]) for i in held.tolist() if len(rows[i][1])]
+    some += [(c, ids, rng.multinomial(t, n / n.sum())) for c, ids, n in some for t in THIN]
+    z = np.array([n @ table[ids] / max(1, n.sum()) + bias for _, ids, n in some]).reshape(-1, len(labels))
+    truth = np.array([c for c, _, _ in some], np.int64)
+    temperatures = np.geomspace(0.02, 50, 120)
     p = [_softmax(z / t) for t in temperatures]
-    loss = [-np.log(q[np.arange(len(held)), y[held]] + 1e-12).mean() for q in p]
+    loss = [-np.log(q[np.arange(len(truth)), truth] + 1e-12).mean() for q in p]
     best = int(np.argmin(loss))
-    score, right = p[best].max(1), p[best].argmax(1) == y[held]
-    threshold = min(float(np.quantile(score[right], REJECT)) if right.any() else 0.0, 1.5 / max(2, len(labels)))
-    return Model(labels, table, bias, float(temperatures[best]), threshold)
+    score, right = p[best].max(1), p[best].argmax(1) == truth
+    threshold = float(np.quantile(score[right], REJECT)) if right.any() else 0.0
+    shares = [n[rare[ids]].sum() / n.sum() for _, ids, n in some[: len(held)]]
+    share = max(LEAST_SHARE, float(np.quantile(shares, 1 - REJECT))) if shares else 1.0
+    return Model(labels, table, bias, float(temperatures[best]), threshold, rare, share)
 
 
 def sample(rows: DataFrame, per_label: int) -> DataFrame:
@@ -199,24 +221,26 @@ def fit(docs: DataFrame, id_col: str, text_col: str, label_col: str, where: Colu
 
 
 def _predictor(model: Model):
-    """(texts, flags of texts with a letter) -> (labels, scores)."""
+    """(text, whether it has a letter) -> (label, score, whether it is rejected)."""
     labels, table = model.labels, model.table.astype(np.float64)
     columns = [np.ascontiguousarray(table[:, i]) for i in range(len(labels))]
 
-    def one(text: str | None, letters: bool) -> tuple[str, float]:
+    def one(text: str | None, letters: bool) -> tuple[str, float, bool]:
         if not letters or not labels:
-            return "und", 0.0
-        z, n = np.zeros(len(labels)), 0
+            return "und", 0.0, True
+        z, n, rare = np.zeros(len(labels)), 0, 0
         for codes, seen in _pieces(text):
             bucket, start = _buckets(codes)
             if seen:
                 bucket = bucket[start + _lengths(codes, start) > seen]
             z += [c[bucket].sum() for c in columns]
             n += len(bucket)
+            rare += int(np.count_nonzero(model.rare[bucket]))
         z = (z / max(1, n) + model.bias) / model.temperature
         p = np.exp(z - z.max())
         best = int(np.argmax(p))
-        return labels[best], min(1.0, float(p[best] / p.sum()))
+        score = min(1.0, float(p[best] / p.sum()))
+        return labels[best], score, score < model.threshold or model.odd(rare, n)
 
     return one
 
@@ -233,15 +257,14 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         for batch in batches:
             got = [one(t.as_py(), known.as_py()) for t, known in zip(batch.column(1), batch.column(2), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())],
-                ["id", "lang_pred", "score"],
+                [batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.bool_())],
+                ["id", "lang_pred", "score", "rejected"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.col(text_col).cast("string")
     slim = docs.select(F.col(id_col).alias("id"), text.alias("t"), _has_letter(text).alias("letters"))
-    out = slim.mapInArrow(run, f"id {kind}, lang_pred string, score double")
-    return out.withColumn("rejected", (F.col("lang_pred") == "und") | (F.col("score") < model.threshold))
+    return slim.mapInArrow(run, f"id {kind}, lang_pred string, score double, rejected boolean")
 
 
 def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -251,8 +274,7 @@ def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
 
     def run(batches):
         for batch in batches:
-            scores = [one(t.as_py(), known.as_py())[1] for t, known in zip(batch.column(at), batch.column(batch.num_columns - 1), strict=True)]
-            keep = pa.array([s >= model.threshold and s > 0 for s in scores], pa.bool_())
+            keep = pa.array([not one(t.as_py(), known.as_py())[2] for t, known in zip(batch.column(at), batch.column(batch.num_columns - 1), strict=True)], pa.bool_())
             table = pa.Table.from_batches([batch]).filter(keep)
             yield from table.select(range(batch.num_columns - 1)).to_batches()
 
