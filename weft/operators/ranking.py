@@ -39,6 +39,11 @@ def pending(candidates: DataFrame, done: DataFrame, keys: list[str], succeeded:
     return candidates.join(done.where(succeeded).select(keys).distinct(), keys, "left_anti")
 
 
+def first_pending(candidates: DataFrame, done: DataFrame, keys: list[str], succeeded: Column, n: int, *order: Column | str) -> DataFrame:
+    """At most ``n`` candidates that no earlier run has finished, the first in order."""
+    return pending(candidates, done, keys, succeeded).orderBy(*order).limit(n)
+
+
 def download_status(requests: DataFrame, task: str, url: str, content_hash: str, ordinal: str) -> DataFrame:
     """Status of each request of a task: first of its URL, same content under another URL, or stored."""
     by_url = Window.partitionBy(task, url).orderBy(ordinal)

@@ -140,6 +140,30 @@ def state_json() -> Column:
     return F.to_json(F.struct(*STATE_FIELDS, "coverage_ratio"))
 
 
+def expand_paths(spark: SparkSession, patterns: list[str]) -> list[str]:
+    """Paths of some patterns, sorted inside each, every path once, where it first occurs; a name without wildcards is itself, there or not."""
+    out: dict[str, str] = {}
+    for pattern in patterns:
+        found = [pattern]
+        if any(c in pattern for c in "*?["):
+            path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+            system = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+            found = sorted(x.getPath().toUri().getPath() for x in system.globStatus(path) or [])
+        for p in found:
+            out.setdefault(p.replace("\\", "/").rstrip("/"), p)
+    return list(out.values())
+
+
+def scenario_names(payloads: DataFrame, text: str) -> DataFrame:
+    """(scenario_id, canonical_scenario) of de-duplication payloads, the last of repeated ids; a payload of another shape is an error."""
+    shape = "struct<scenarios: array<struct<scenario_id: bigint, canonical_scenario: string>>, skill_scenarios: array<string>>"
+    held = F.from_json(text, shape)
+    good = held["scenarios"].isNotNull() & held["skill_scenarios"].isNotNull()
+    checked = F.when(good, held["scenarios"]).otherwise(F.raise_error(F.lit("a payload must hold the lists 'scenarios' and 'skill_scenarios'")))
+    rows = payloads.select(F.posexplode(checked).alias("i", "s")).where("s.scenario_id IS NOT NULL")
+    return rows.groupBy(F.col("s.scenario_id").alias("scenario_id")).agg(F.coalesce(F.max_by("s.canonical_scenario", "i"), F.lit("")).alias("canonical_scenario"))
+
+
 def folder(spark: SparkSession, path: str, extensions: list[str] | None = None, ignore: tuple[str, ...] = ()) -> DataFrame:
     """(path, length, sha256) of files below a folder, without those under an ignored name."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
