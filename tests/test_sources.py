@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 from pyspark.sql import functions as F
@@ -56,3 +57,19 @@ def test_requirements_prefer_versions(spark):
     rows = spark.createDataFrame([(1, "Numpy"), (1, "numpy>=2"), (1, "-r x"), (1, "3"), (1, "pandas")], "k int, r string")
     got = {r.package: r.requirement for r in records.merge_requirements(rows, "k", "r").collect()}
     assert got == {"numpy": "numpy>=2", "pandas": "pandas"}
+
+
+def test_entities_in_every_shape(spark):
+    one = {"entity_name": "n", "url": "u"}
+    payloads = [
+        {"entities": [{"task_id": "a", **one}, 5, {"task_id": "", **one}, {"task_id": "b", "name": "m", "entity_url": "", "url": " v ", "keep": False}]}, {"evaluations": [{"task_id": "c", **one, "keep": None}]},
+        {"tasks": [{"task_id": "d", "upstream_input_entities": [3, one, {"task_id": "own", "entity_record_id": "r", **one}]}, {"task_id": "no list"}, 4]}, {"task_id": "e", "upstream_input_entities": [one]}, {"task_id": "f", **one, "type": "t"},
+        [{"task_id": "g", "upstream_input_entities": [one]}, {"task_id": "skipped", **one}], [{"task_id": "h", **one}, "x"], {"other": 1}, "text", None, {"task_id": "i", "url": ""},
+    ]
+    rows = spark.createDataFrame([(json.dumps(p) if p is not None else None,) for p in payloads] + [("{bad",)], "t string")
+    got = sorted((r.task_id, r.entity_record_id[:12], r.entity_name, r.entity_type, r.url) for r in files.entities(rows, "t").collect())
+    sha = hashlib.sha1(b"u").hexdigest()[:12]
+    assert [g[0] for g in got] == ["a", "c", "d", "e", "f", "g", "h", "own"]
+    by = {g[0]: g for g in got}
+    assert by["a"][1] == f"a::{sha}"[:12] and by["d"][1] == "d::entity-002"[:12] and by["e"][1] == "e::entity-001"[:12] and by["own"][1] == "r" and by["f"][3] == "t"
+    assert files.entities(rows, "t", require_keep=False).where("task_id = 'b'").first().asDict() == {"task_id": "b", "entity_record_id": "b::" + hashlib.sha1(b"v").hexdigest()[:12], "entity_name": "m", "entity_type": "", "url": "v", "keep": False}

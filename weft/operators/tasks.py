@@ -93,11 +93,20 @@ def entity_fit(fit: Column, own: Column, told: Column, least: float = 3.0) -> Co
     )
 
 
-def suggested_task(title: Column, given: Column, workflow: Column, expected: Column) -> Column:
-    """A suggestion with its texts trimmed and empty steps left out; ``workflow`` is a list, NULL for none."""
-    steps = F.filter(F.transform(workflow, lambda x: F.trim(x)), lambda x: x != "")
-    text = [F.coalesce(F.trim(c), F.lit("")) for c in (title, given, expected)]
-    return F.struct(text[0].alias("title"), text[1].alias("input"), F.coalesce(steps, F.array().cast("array<string>")).alias("workflow"), text[2].alias("expected_output"))
+def suggested_task(suggestion: Column) -> Column:
+    """(title, input, workflow, expected_output, verification) of a suggestion in JSON: texts trimmed, a step told as one text a
+    list of it, empty steps left out; all empty for what is no object."""
+    parsed = F.from_json(F.when(F.startswith(F.ltrim(suggestion), F.lit("{")), suggestion), "struct<title: string, input: string, workflow: string, expected_output: string, verification: string>")
+
+    def text(name: str) -> Column:
+        return F.coalesce(F.trim(parsed[name]), F.lit("")).alias(name)
+
+    def steps(name: str) -> Column:
+        raw = parsed[name]
+        listed = F.coalesce(F.from_json(F.when(F.startswith(raw, F.lit("[")), raw), "array<string>"), F.when(raw.isNotNull(), F.array(raw)), F.array().cast("array<string>"))
+        return F.filter(F.transform(listed, lambda x: F.trim(F.coalesce(x, F.lit("")))), lambda x: x != "").alias(name)
+
+    return F.struct(text("title"), text("input"), steps("workflow"), text("expected_output"), steps("verification"))
 
 
 def first_edge(edges: DataFrame, keys: list[str], ordinal: str, value: str) -> DataFrame:

@@ -22,14 +22,14 @@ def scan_rows_polymorphic(spark, d):
 
 
 def scan_entities_polymorphic(spark, d):
-    """Pages as entity payloads under several keys; an explicit false is left out, a missing answer stays."""
-    p = table(spark, d, "pages")
-    row = F.struct(
-        F.col("page_id").cast("string").alias("task_id"), F.lit("page").alias("entity_name"), F.col("url").alias("url"),
-        F.when(F.col("page_id") % 3 == 0, False).when(F.col("page_id") % 3 == 1, True).alias("keep"),
-    )
-    key = F.element_at(F.array(*[F.lit(k) for k in ("entities", "evaluations", "tasks")]), (F.pmod("page_id", F.lit(3)) + 1).cast("int"))
-    text = F.concat(F.lit('{"'), key, F.lit('": ['), F.to_json(row), F.lit("]}"))
+    """Pages as entity payloads in six shapes; an explicit false is left out, a missing answer stays."""
+    p, key = table(spark, d, "pages"), F.col("page_id").cast("string")
+    keep = F.when(F.col("page_id") % 3 == 0, False).when(F.col("page_id") % 3 == 1, True)
+    row = F.to_json(F.struct(key.alias("task_id"), F.lit("page").alias("entity_name"), F.col("url").alias("url"), keep.alias("keep")))
+    inner = F.to_json(F.struct(F.lit("page").alias("name"), F.lit("").alias("entity_url"), F.col("url").alias("url"), F.lit("html").alias("type"), keep.alias("keep")))
+    task = F.concat(F.lit('{"task_id": "'), key, F.lit('", "upstream_input_entities": [7, '), inner, F.lit("]}"))
+    shapes = [F.concat(F.lit('{"entities": ['), row, F.lit("]}")), F.concat(F.lit('{"evaluations": ['), row, F.lit("]}")), F.concat(F.lit('{"tasks": ['), task, F.lit("]}")), task, row, F.concat(F.lit("["), task, F.lit("]")), F.concat(F.lit("["), row, F.lit("]"))]
+    text = F.element_at(F.array(*shapes), (F.pmod("page_id", F.lit(7)) + 1).cast("int"))
     return files.entities(p.select(text.alias("t")), "t")
 
 
@@ -70,7 +70,8 @@ def oracle_sql():
     cos = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
     return {
         "scan_rows_polymorphic": "SELECT user_id, event_id, event_type, round(value, 6) AS value FROM events",
-        "scan_entities_polymorphic": """SELECT CAST(page_id AS VARCHAR) AS task_id, 'page' AS entity_name, url, CASE WHEN page_id % 3 = 1 THEN true END AS keep FROM pages WHERE page_id % 3 <> 0""",
+        "scan_entities_polymorphic": """SELECT CAST(page_id AS VARCHAR) AS task_id, page_id || CASE WHEN page_id % 7 IN (2, 3, 5) THEN '::entity-002' ELSE '::' || substr(sha1(url), 1, 12) END AS entity_record_id,
+          'page' AS entity_name, CASE WHEN page_id % 7 IN (2, 3, 5) THEN 'html' ELSE '' END AS entity_type, url, CASE WHEN page_id % 3 = 1 THEN true END AS keep FROM pages WHERE page_id % 3 <> 0""",
         "scan_stream_json_output": "SELECT event_id, event_type || chr(10) || 'plain ' || event_id || chr(10) || props AS text FROM events",
         "embedding_cache": "SELECT DISTINCT 'm:' || sha256(text) AS key FROM documents WHERE text NOT IN (SELECT text FROM documents JOIN labels USING (doc_id))",
         "quality_judgements": """WITH x AS (SELECT doc_id, CASE WHEN contains(text, 'sudo') THEN 1 ELSE 4 END AS environment_cost_score,

@@ -205,9 +205,11 @@ def entity_fit_record(spark, d):
 
 
 def normalize_suggested_task(spark, d):
-    c = table(spark, d, "conversations")
-    s = t.suggested_task(F.col("text"), F.col("role"), F.when(F.col("turn") % 3 > 0, F.split("text", "\\.")), F.lit(None).cast("string"))
-    return c.select("conv_id", "turn", s["title"].alias("title"), F.size(s["workflow"]).alias("steps"), F.array_join(s["workflow"], "|").alias("workflow"), s["expected_output"].alias("expected_output"))
+    """Turns as suggestions: their sentences as a list of steps, or their role as one step and as what to verify."""
+    c, head = table(spark, d, "conversations"), [F.col("text").alias("title"), F.concat(F.lit(" "), "role").alias("input")]
+    told = F.when(F.col("turn") % 3 > 0, F.to_json(F.struct(*head, F.split("text", "\\.").alias("workflow")))).otherwise(F.to_json(F.struct(*head, F.col("role").alias("workflow"), F.col("role").alias("verification"))))
+    s = t.suggested_task(told)
+    return c.select("conv_id", "turn", s["title"].alias("title"), s["input"].alias("input"), F.size(s["workflow"]).alias("steps"), F.array_join(s["workflow"], "|").alias("workflow"), F.array_join(s["verification"], "|").alias("verification"))
 
 
 def get_edge(spark, d):
@@ -434,8 +436,8 @@ def oracle_sql():
         "entity_fit_record": """WITH x AS (SELECT *, CASE WHEN o_orderkey % 7 = 0 THEN 1.0 ELSE greatest(1.0, least(5.0, o_custkey % 9 - 1.0)) END AS f FROM orders)
             SELECT o_orderkey, CAST(f AS DOUBLE) AS fit_score, f >= 3 AS keep, CASE WHEN f >= 3 THEN 'keep' ELSE 'reject' END AS decision,
               CASE WHEN o_custkey % 2 = 0 THEN o_orderstatus ELSE o_orderpriority END AS value FROM x""",
-        "normalize_suggested_task": """WITH w AS (SELECT conv_id, turn, text, CASE WHEN turn % 3 > 0 THEN list_filter(list_transform(string_split(text, '.'), lambda x: trim(x)), lambda x: x <> '') ELSE [] END AS l FROM conversations)
-            SELECT conv_id, turn, trim(coalesce(text, '')) AS title, CAST(len(l) AS INTEGER) AS steps, array_to_string(l, '|') AS workflow, '' AS expected_output FROM w""",
+        "normalize_suggested_task": """WITH w AS (SELECT *, CASE WHEN turn % 3 > 0 THEN list_filter(list_transform(string_split(text, '.'), lambda x: trim(x)), lambda x: x <> '') ELSE [role] END AS l FROM conversations)
+            SELECT conv_id, turn, trim(coalesce(text, '')) AS title, role AS input, CAST(len(l) AS INTEGER) AS steps, array_to_string(l, '|') AS workflow, CASE WHEN turn % 3 > 0 THEN '' ELSE role END AS verification FROM w""",
         "get_edge": "SELECT l_suppkey, l_partkey, arg_min(l_quantity, l_orderkey * 10 + l_linenumber) AS l_quantity FROM lineitem GROUP BY 1, 2",
         "category_cap": "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) <= 50",
         "copy_plan": """WITH x AS (SELECT l_orderkey AS task, l_linenumber AS ord, p_brand AS name FROM lineitem LEFT JOIN part ON p_partkey = l_partkey % 60 AND p_partkey % 5 <> 0)

@@ -93,7 +93,9 @@ def all_paths(spark, d):
 
 
 def topological_order(spark, d):
-    return t.topological_order(_dag(spark, d), "task")
+    """Task graphs whose nodes are renamed so that edges lead to smaller and larger ones."""
+    renamed = _dag(spark, d).select("task", *[F.pmod(F.col(c) * 5, F.lit(11)).alias(c) for c in ("source", "target")])
+    return t.topological_order(renamed, "task")
 
 
 def dag_coverage(spark, d):
@@ -200,7 +202,12 @@ def oracle_sql():
               UNION ALL SELECT w.task, g.target, w.path || '>' || g.target, n + 1 FROM walk w JOIN dag g ON g.task = w.task AND g.source = w.node)
             SELECT w.task, path FROM walk w JOIN ends e ON e.task = w.task AND e.node = w.node AND e.is_sink WHERE n > 1
             UNION ALL SELECT task, CAST(node AS VARCHAR) FROM nodes WHERE task NOT IN (SELECT task FROM dag)""",
-        "topological_order": f"""WITH {_DAG} SELECT task, CAST(row_number() OVER (PARTITION BY task ORDER BY node) - 1 AS INTEGER) AS place, node FROM ends""",
+        "topological_order": f"""WITH RECURSIVE {_DAG}, g AS (SELECT task, source * 5 % 11 AS a, target * 5 % 11 AS b FROM dag), n AS (SELECT task, node * 5 % 11 AS node FROM ends),
+          walk(task, placed) AS (SELECT DISTINCT task, CAST([] AS BIGINT[]) FROM n
+            UNION ALL SELECT w.task, list_append(any_value(w.placed), min(n.node)) FROM walk w JOIN n ON n.task = w.task AND NOT list_contains(w.placed, n.node)
+              LEFT JOIN g ON g.task = w.task AND g.b = n.node AND NOT list_contains(w.placed, g.a) WHERE g.a IS NULL GROUP BY w.task),
+          whole AS (SELECT task, arg_max(placed, len(placed)) AS placed FROM walk GROUP BY task)
+          SELECT task, CAST(i - 1 AS INTEGER) AS place, placed[i] AS node FROM (SELECT task, placed, unnest(range(1, len(placed) + 1)) AS i FROM whole)""",
         "dag_coverage": f"""WITH {_DAG} SELECT task, count(*) AS documented, count(*) FILTER (target % 2 = 0) AS tested, round(count(*) FILTER (target % 2 = 0) / count(*), 6) AS coverage FROM dag GROUP BY task""",
         "pytest_summary": """WITH x AS (SELECT *, o_orderstatus <> 'P' AS ran FROM orders), y AS (SELECT o_orderkey, CAST(CASE WHEN ran THEN o_custkey % 9 ELSE 0 END AS INTEGER) AS passed,
               CAST(CASE WHEN ran THEN o_orderkey % 3 ELSE 0 END AS INTEGER) AS failed, 0 AS errors, CAST(CASE WHEN ran THEN o_custkey % 2 ELSE 0 END AS INTEGER) AS skipped,

@@ -29,13 +29,50 @@ def read_polymorphic(spark: SparkSession, path: str, key: str, row_type: str) ->
     return polymorphic_rows(spark.read.text(path, wholetext=True).withColumnRenamed("value", "_t"), "_t", key, row_type)
 
 
+_ENTITY = "task_id: string, entity_record_id: string, entity_name: string, name: string, entity_url: string, url: string, entity_type: string, type: string, keep: boolean"
+
+
 def entities(payloads: DataFrame, text: str, require_keep: bool = True) -> DataFrame:
-    """(task_id, entity_name, url, keep) of entity payloads in their several shapes; an explicit false is left out."""
-    kind = "struct<task_id: string, entity_name: string, entity_url: string, url: string, keep: boolean>"
-    shapes = [rows_of(F.col(text), k, kind) for k in ("entities", "evaluations", "tasks", "upstream_input_entities")]
-    rows = payloads.select(F.explode(F.coalesce(*shapes)).alias("r")).select("r.*")
-    url = F.coalesce(F.nullif("entity_url", F.lit("")), F.nullif("url", F.lit("")))
-    out = rows.select("task_id", "entity_name", url.alias("url"), "keep").where("task_id <> '' AND url IS NOT NULL")
+    """(task_id, entity_record_id, entity_name, entity_type, url, keep) of entity payloads in their six shapes.
+
+    An object holds rows under ``entities`` or ``evaluations``, tasks with their ``upstream_input_entities`` under ``tasks``,
+    those of one task, or is one row itself; an array holds tasks with their entities, if one has some, or rows.
+    An entity of a task has its task's id and number unless it names its own. Rows without task or address are left out,
+    with ``require_keep`` those whose ``keep`` is false; a NULL one stays. Payloads of no such shape give no rows.
+    """
+    row, under = f"struct<{_ENTITY}>", "upstream_input_entities"
+    whole = F.from_json(F.when(F.startswith(F.ltrim(text), F.lit("{")), F.col(text)), f"struct<entities: array<string>, evaluations: array<string>, tasks: array<string>, {under}: array<string>, {_ENTITY}>")
+    listed = F.from_json(F.when(F.startswith(F.ltrim(text), F.lit("[")), F.col(text)), "array<string>")
+    names = [x.split(":")[0] for x in _ENTITY.split(", ")]
+
+    def objects(items: Column, kind: str) -> Column:
+        """Items of a list as objects, NULL in the place of others."""
+        return F.transform(items, lambda x: F.from_json(F.when(F.startswith(F.ltrim(x), F.lit("{")), x), kind))
+
+    def of_task(task: Column) -> Column:
+        own = F.coalesce(task["task_id"], F.lit(""))
+
+        def one(e: Column, i: Column) -> Column:
+            told = {"task_id": F.coalesce(e["task_id"], own), "entity_record_id": F.coalesce(e["entity_record_id"], F.format_string("%s::entity-%03d", own, i + 1))}
+            return F.when(e.isNotNull(), F.struct(*[told.get(n, e[n]).alias(n) for n in names]))
+
+        return F.transform(objects(F.coalesce(task[under], F.array().cast("array<string>")), row), one)
+
+    def of_tasks(items: Column) -> Column:
+        tasks = objects(items, f"struct<task_id: string, {under}: array<string>>")
+        return F.flatten(F.transform(F.filter(tasks, lambda t: t.isNotNull()), of_task))
+
+    parents = F.exists(objects(listed, f"struct<{under}: array<string>>"), lambda x: x[under].isNotNull())
+    shapes = F.coalesce(
+        objects(whole["entities"], row), objects(whole["evaluations"], row), of_tasks(whole["tasks"]), F.when(whole[under].isNotNull(), of_task(whole)),
+        F.when(whole["task_id"].isNotNull(), F.array(F.struct(*[whole[n].alias(n) for n in names]))), F.when(parents, of_tasks(listed)), objects(listed, row),
+    )
+    rows = payloads.select(F.explode(shapes).alias("r")).where("r IS NOT NULL").select("r.*")
+    first = lambda *c: F.coalesce(*[F.nullif(x, F.lit("")) for x in c])
+    out = rows.select(F.trim("task_id").alias("task_id"), "entity_record_id", F.coalesce(first("entity_name", "name"), F.lit("")).alias("entity_name"), F.coalesce(first("entity_type", "type"), F.lit("")).alias("entity_type"), F.trim(first("entity_url", "url")).alias("url"), "keep")
+    out = out.where("task_id <> '' AND url <> ''")
+    made = F.concat("task_id", F.lit("::"), F.substring(F.sha1("url"), 1, 12))
+    out = out.withColumn("entity_record_id", F.coalesce(F.nullif("entity_record_id", F.lit("")), made))
     return out.where("keep IS NULL OR keep") if require_keep else out
 
 
