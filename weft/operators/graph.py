@@ -256,33 +256,45 @@ def category_stats(tasks: DataFrame, kept: int = 1000) -> DataFrame:
     return tally.join(nodes, "category")
 
 
-def greedy_coverage(tasks: DataFrame, picks: int, target: str = "edge") -> DataFrame:
+def greedy_coverage(tasks: DataFrame, picks: int, target: str = "edge", batch: int = 1000) -> DataFrame:
     """Tasks picked one by one for the most uncovered edges (or ``node``s, or ``both``), ties to quality.
 
-    ``tasks`` are stored, scored paths. Each pick is one aggregation over all tasks; only
-    the picked row comes to the driver, so the covered set holds at most ``picks`` paths.
+    ``tasks`` are stored, scored paths; equal paths are one. Lazy greedy: what a task would add only shrinks while others are
+    picked, so its last known rank bounds it. One aggregation ranks all tasks and brings the ``batch`` best to the driver;
+    picks are made among these while the best is not below the rank of the first left out, then all
+    are ranked again against what is covered. So a pass serves many picks, and the driver holds ``batch`` paths.
     """
+    spark = tasks.sparkSession
     edges = F.transform(F.slice("path", 1, F.size("path") - 1), lambda n, i: F.concat_ws(">", n, F.element_at("path", i + 2)))
-    sized = tasks.withColumns({"_edges": edges, "_nodes": F.transform("path", lambda n: n.cast("string")), "_key": F.array_join("path", ",")})
-    covered_edges: list[str] = []
-    covered_nodes: list[str] = []
+    sized = tasks.select(
+        F.array_distinct(edges).alias("_edges"), F.array_distinct(F.transform("path", lambda n: n.cast("string"))).alias("_nodes"), F.array_join("path", ",").alias("_key"),
+        F.coalesce("task_quality_score", F.lit(float("-inf"))).alias("q"), F.coalesce("mean_edge_score", F.lit(float("-inf"))).alias("m"), F.transform("path", lambda n: -n).alias("p"),
+    )
+    covered: tuple[set, set] = (set(), set())
     chosen: list[tuple] = []
 
-    def fresh(column: str, covered: list[str]) -> Column:
-        if not covered:
-            return F.size(F.array_distinct(column))
-        return F.size(F.array_except(column, F.array(*[F.lit(x) for x in covered])))
+    def rank(new_edges: int, new_nodes: int) -> tuple[int, int]:
+        first = {"edge": new_edges, "node": new_nodes, "both": new_edges + new_nodes}[target]
+        return first, new_nodes if target == "edge" else new_edges
 
-    for place in range(1, picks + 1):
-        new_edges, new_nodes = fresh("_edges", covered_edges), fresh("_nodes", covered_nodes)
+    while len(chosen) < picks:
+        done = spark.createDataFrame([(sorted(covered[0]), sorted(covered[1]), [c[1] for c in chosen])], "ce array<string>, cn array<string>, ck array<string>")
+        fresh = sized.crossJoin(F.broadcast(done)).where(~F.array_contains("ck", F.col("_key")))  # one row
+        new_edges, new_nodes = F.size(F.array_except("_edges", "ce")), F.size(F.array_except("_nodes", "cn"))
         first = {"edge": new_edges, "node": new_nodes, "both": new_edges + new_nodes}[target]
-        second = new_nodes if target == "edge" else new_edges
-        left = sized.where(~F.col("_key").isin([c[1] for c in chosen])) if chosen else sized
-        rank = F.struct(first.alias("a"), second.alias("b"), "task_quality_score", "mean_edge_score", F.transform("path", lambda n: -n).alias("n"))
-        best = left.agg(F.max_by(F.struct("_key", "_edges", "_nodes", first.alias("gain")), rank).alias("x")).first().x
-        if best is None:
+        order = F.struct(first.alias("a"), (new_nodes if target == "edge" else new_edges).alias("b"), "q", "m", "p")
+        best = fresh.select("_key", "_edges", "_nodes", "q", "m", "p", order.alias("o")).orderBy(F.desc("o")).limit(batch + 1).collect()
+        if not best:
             break
-        chosen.append((place, best["_key"], best["gain"]))
-        covered_edges = list(dict.fromkeys(covered_edges + best["_edges"]))
-        covered_nodes = list(dict.fromkeys(covered_nodes + best["_nodes"]))
-    return tasks.sparkSession.createDataFrame(chosen, "place int, path string, gain int")
+        left = {r["_key"]: r for r in best[:batch]}
+        bound = (best[batch].o.a, best[batch].o.b, best[batch].q, best[batch].m, list(best[batch].p)) if len(best) > batch else None
+        while left and len(chosen) < picks:
+            ranked = {k: (*rank(len(set(r["_edges"]) - covered[0]), len(set(r["_nodes"]) - covered[1])), r.q, r.m, list(r.p)) for k, r in left.items()}
+            key = max(ranked, key=ranked.get)
+            if bound is not None and ranked[key] < bound:
+                break
+            row = left.pop(key)
+            chosen.append((len(chosen) + 1, key, ranked[key][0]))
+            covered[0].update(row["_edges"])
+            covered[1].update(row["_nodes"])
+    return spark.createDataFrame(chosen, "place int, path string, gain int")
