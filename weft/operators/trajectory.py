@@ -58,13 +58,29 @@ def summary(steps: DataFrame, session: str, tool: str) -> DataFrame:
     )
 
 
-def validate(summaries: DataFrame) -> DataFrame:
-    """Errors and warnings of a session from its summary."""
+def validate(sessions: DataFrame, steps: DataFrame, session: str, min_steps: int = 1, require_output: bool = True) -> DataFrame:
+    """(session, errors, warnings, valid) of sessions (session, success, outputs) from their steps (session, step_id, action, tool, text).
+
+    ``outputs`` counts a session's output files; a step is a tool use or a text. Sessions without steps are judged too; an unknown
+    success is no success.
+    """
+    writes = F.col("tool").isin(*s.TOOL_CATEGORIES["file_write"])
+    uses = F.col("action") == "tool_use"
+    wrong = (F.col("action") == "text") & F.lower("text").rlike("error:|exception:|failed to")
+    told = steps.groupBy(session).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(uses).alias("_uses"), F.count_if(uses & writes).alias("_writes"), F.array_sort(F.collect_list(F.when(wrong, F.col("step_id")))).alias("_wrong")
+    )
+    n = F.coalesce("_n", F.lit(0))
+    # The messages.
     errors = F.array_compact(F.array(
-        F.when(F.col("steps") == 0, F.lit("empty")), F.when(F.col("writes") == 0, F.lit("no_outputs")), F.when(F.col("tools") == 0, F.lit("no_tool_use"))
+        F.when(n < min_steps, F.concat(F.lit("Trajectory has "), n, F.lit(f" steps, minimum is {min_steps}"))),
+        F.when(F.lit(require_output) & (F.coalesce("outputs", F.lit(0)) == 0) & (F.coalesce("_writes", F.lit(0)) == 0), F.lit("No output files or write operations found")),
+        F.when(F.coalesce("_uses", F.lit(0)) == 0, F.lit("No tool use operations found")), F.when(n == 0, F.lit("Trajectory is empty")),
     ))
-    warnings = F.array_compact(F.array(F.when(F.col("steps") <= 2, F.lit("few_steps")), F.when(F.col("commands") == 0, F.lit("no_commands"))))
-    return summaries.withColumns({"errors": errors, "warnings": warnings, "valid": F.size(errors) == 0})
+    suspect = F.transform(F.coalesce("_wrong", F.array().cast("array<int>")), lambda i: F.concat(F.lit("Potential error detected in step "), i))
+    warnings = F.array_compact(F.array(F.when(~F.coalesce("success", F.lit(False)), F.lit("Trajectory execution was not successful")), F.when((n > 0) & (n <= 2), F.lit("Trajectory has very few steps"))))
+    judged = sessions.select(session, "success", "outputs").join(told, session, "left")
+    return judged.select(session, errors.alias("errors"), F.concat(warnings, suspect).alias("warnings"), (F.size(errors) == 0).alias("valid"))
 
 
 def clip_middle(steps: DataFrame, session: str, most: int) -> DataFrame:
@@ -189,3 +205,32 @@ def retrieval_metrics(predicted: DataFrame, gold: DataFrame, key: str, item: str
         key, F.when(F.col("p") > 0, F.round(F.col("hit") / F.col("p"), 6)).otherwise(0.0).alias("precision"),
         F.when(F.col("g") > 0, F.round(F.col("hit") / F.col("g"), 6)).otherwise(1.0).alias("recall"), (F.col("hit") == F.col("g")).alias("complete"),
     )
+
+
+def dag_coverage(paths: DataFrame, tested_paths: DataFrame, edges: DataFrame, tested_edges: DataFrame, functions: DataFrame, tested_functions: DataFrame, task: str) -> DataFrame:
+    """(task, path_coverage, edge_coverage, core_function_coverage) of every task that any table names.
+
+    Paths and edges are (task, item): all paths count as often as they are listed, tested ones and edges once, unknown ones
+    too, so a share can be over 1. Functions are (task, skill, item): of a skill's, as often as listed, those tested. What a task
+    has none of is covered.
+    """
+    def counted(df: DataFrame, name: str, distinct: bool) -> DataFrame:
+        item = F.count_distinct("item") if distinct else F.count("item")
+        return df.groupBy(task).agg(item.alias(name))
+
+    hit = functions.select(task, "skill", "item").distinct().join(tested_functions.select(task, "skill", "item").distinct(), [task, "skill", "item"], "left_semi")
+    parts = [
+        counted(paths, "p", False), counted(tested_paths, "tp", True), counted(edges, "e", True), counted(tested_edges, "te", True),
+        counted(functions, "f", False), hit.groupBy(task).agg(F.count(F.lit(1)).alias("tf")),
+    ]
+    long = None
+    for part in parts:
+        name = part.columns[-1]
+        row = part.select(task, *[(F.col(name) if c == name else F.lit(None).cast("bigint")).alias(c) for c in ("p", "tp", "e", "te", "f", "tf")])
+        long = row if long is None else long.unionByName(row)
+    whole = long.groupBy(task).agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("p", "tp", "e", "te", "f", "tf")])
+
+    def share(tested: str, every: str) -> Column:
+        return F.when(F.col(every) == 0, 1.0).otherwise(F.round(F.col(tested) / F.col(every), 6))
+
+    return whole.select(task, share("tp", "p").alias("path_coverage"), share("te", "e").alias("edge_coverage"), share("tf", "f").alias("core_function_coverage"))

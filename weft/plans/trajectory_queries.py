@@ -55,8 +55,12 @@ def trajectory_summary(spark, d):
 
 
 def validate_trajectory(spark, d):
-    v = t.validate(t.summary(_steps(spark, d), "user_id", "tool"))
-    return v.select("user_id", F.array_join("errors", ",").alias("errors"), F.array_join("warnings", ",").alias("warnings"), "valid")
+    """Customers' events as runs: purchases are texts, some of them on errors; those with few points have failed."""
+    text = F.when(F.col("event_id") % 50 == 0, "An Error: x").when(F.col("event_id") % 50 == 1, "we Failed to go").otherwise("fine")
+    steps = _steps(spark, d).select(F.col("user_id").cast("long").alias("user_id"), "step_id", F.when(F.col("event_type") == "purchase", "text").otherwise("tool_use").alias("action"), "tool", text.alias("text"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("user_id"), F.when(F.col("c_acctbal") > 5000, None).otherwise(F.col("c_acctbal") > 0).alias("success"), (F.col("c_custkey") % 4).alias("outputs"))
+    v = t.validate(c, steps, "user_id", 3)
+    return v.select("user_id", F.array_join("errors", "|").alias("errors"), F.array_join("warnings", "|").alias("warnings"), "valid")
 
 
 def clip_middle_steps(spark, d):
@@ -99,9 +103,13 @@ def topological_order(spark, d):
 
 
 def dag_coverage(spark, d):
-    """Share of each task graph's edges that are tested, those with an even end."""
-    e = _dag(spark, d).select("task", F.concat_ws(">", "source", "target").alias("edge"), "target")
-    return t.coverage_ratio(e, e.where("target % 2 = 0"), "task", "edge")
+    """Path, edge and core-function coverage of task graphs: tested are paths through node 3 and unknown ones, edges with an even end; functions are items of parts."""
+    edges, nodes = _dag(spark, d), _nodes(spark, d)
+    paths = t.all_paths(edges, "task", nodes).select("task", F.array_join("path", ">").alias("item"))
+    some = paths.where(F.concat(F.lit(">"), "item", F.lit(">")).contains(">3>")).unionByName(nodes.where("node = 7").select("task", F.lit("own").alias("item")))
+    e = edges.select("task", F.concat_ws(">", "source", "target").alias("item"), "target")
+    f = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("task"), F.col("l_linenumber").alias("skill"), F.pmod("l_partkey", F.lit(9)).cast("string").alias("item"), "l_quantity")
+    return t.dag_coverage(paths, some, e, e.where("target % 2 = 0"), f, f.where("l_quantity > 25"), "task")
 
 
 def pytest_summary(spark, d):
@@ -180,9 +188,15 @@ def oracle_sql():
         "tool_usage_by_category": f"""WITH {_STEPS}, f AS (SELECT user_id, {_CATEGORY} AS category, tool, min(event_id) AS o FROM steps GROUP BY 1, 2, 3)
             SELECT user_id, category, array_to_string(list(tool ORDER BY o), ',') AS tools FROM f GROUP BY 1, 2""",
         "trajectory_summary": f"WITH {_STEPS} {_SUMMARY} GROUP BY user_id",
-        "validate_trajectory": f"""WITH {_STEPS}, x AS ({_SUMMARY} GROUP BY user_id)
-            SELECT user_id, CASE WHEN writes = 0 THEN 'no_outputs' ELSE '' END AS errors,
-              array_to_string(list_filter([CASE WHEN steps <= 2 THEN 'few_steps' END, CASE WHEN commands = 0 THEN 'no_commands' END], lambda w: w IS NOT NULL), ',') AS warnings, writes > 0 AS valid FROM x""",
+        "validate_trajectory": f"""WITH {_STEPS}, x AS (SELECT CAST(user_id AS BIGINT) AS user_id, step_id, event_type = 'purchase' AS is_text, tool, event_id % 50 AS k FROM steps),
+            g AS (SELECT user_id, count(*) AS n, count(*) FILTER (NOT is_text) AS uses, count(*) FILTER (NOT is_text AND tool IN ('Write', 'Edit', 'NotebookEdit')) AS writes,
+              coalesce(list('Potential error detected in step ' || step_id ORDER BY step_id) FILTER (is_text AND k < 2), []) AS wrong FROM x GROUP BY user_id),
+            j AS (SELECT CAST(c_custkey AS BIGINT) AS user_id, coalesce(c_acctbal > 0 AND c_acctbal <= 5000, false) AS success, c_custkey % 4 AS outputs, coalesce(n, 0) AS n, coalesce(uses, 0) AS uses, coalesce(writes, 0) AS writes, coalesce(wrong, []) AS wrong
+              FROM customer LEFT JOIN g ON g.user_id = c_custkey),
+            m AS (SELECT user_id, list_filter([CASE WHEN n < 3 THEN 'Trajectory has ' || n || ' steps, minimum is 3' END, CASE WHEN outputs = 0 AND writes = 0 THEN 'No output files or write operations found' END,
+                CASE WHEN uses = 0 THEN 'No tool use operations found' END, CASE WHEN n = 0 THEN 'Trajectory is empty' END], lambda e: e IS NOT NULL) AS errors,
+              list_concat(list_filter([CASE WHEN NOT success THEN 'Trajectory execution was not successful' END, CASE WHEN n BETWEEN 1 AND 2 THEN 'Trajectory has very few steps' END], lambda w: w IS NOT NULL), wrong) AS warnings FROM j)
+            SELECT user_id, array_to_string(errors, '|') AS errors, array_to_string(warnings, '|') AS warnings, len(errors) = 0 AS valid FROM m""",
         "clip_middle_steps": f"""WITH {_STEPS}, n AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM steps)
             SELECT user_id, step_id, CAST(NULL AS VARCHAR) AS note FROM n WHERE n <= 20 OR step_id < 10 OR step_id >= n - 10
             UNION ALL SELECT user_id, 10, (n - 20) || ' steps left out' FROM n WHERE n > 20 AND step_id = 0""",
@@ -208,7 +222,15 @@ def oracle_sql():
               LEFT JOIN g ON g.task = w.task AND g.b = n.node AND NOT list_contains(w.placed, g.a) WHERE g.a IS NULL GROUP BY w.task),
           whole AS (SELECT task, arg_max(placed, len(placed)) AS placed FROM walk GROUP BY task)
           SELECT task, CAST(i - 1 AS INTEGER) AS place, placed[i] AS node FROM (SELECT task, placed, unnest(range(1, len(placed) + 1)) AS i FROM whole)""",
-        "dag_coverage": f"""WITH {_DAG} SELECT task, count(*) AS documented, count(*) FILTER (target % 2 = 0) AS tested, round(count(*) FILTER (target % 2 = 0) / count(*), 6) AS coverage FROM dag GROUP BY task""",
+        "dag_coverage": f"""WITH RECURSIVE {_DAG}, walk(task, node, path) AS (SELECT task, node, CAST(node AS VARCHAR) FROM ends WHERE is_source
+              UNION ALL SELECT w.task, g.target, w.path || '>' || g.target FROM walk w JOIN dag g ON g.task = w.task AND g.source = w.node),
+            paths AS (SELECT w.task, w.path FROM walk w JOIN ends e ON e.task = w.task AND e.node = w.node AND e.is_sink UNION ALL SELECT task, CAST(node AS VARCHAR) FROM nodes WHERE task NOT IN (SELECT task FROM ends)),
+            p AS (SELECT task, count(*) AS p, count(DISTINCT path) FILTER (contains('>' || path || '>', '>3>')) AS tp FROM paths GROUP BY 1), own AS (SELECT DISTINCT task FROM nodes WHERE node = 7),
+            e AS (SELECT task, count(*) AS e, count(*) FILTER (target % 2 = 0) AS te FROM dag GROUP BY 1),
+            f AS (SELECT l_orderkey AS task, l_linenumber AS skill, l_partkey % 9 AS item, l_quantity > 25 AS hit FROM lineitem),
+            ff AS (SELECT task, sum(n) AS f, count(*) FILTER (h) AS tf FROM (SELECT task, skill, item, count(*) AS n, bool_or(hit) AS h FROM f GROUP BY 1, 2, 3) GROUP BY 1)
+            SELECT ff.task, round((tp + CASE WHEN own.task IS NULL THEN 0 ELSE 1 END) / p, 6) AS path_coverage, CASE WHEN e IS NULL THEN 1.0 ELSE round(te / e, 6) END AS edge_coverage, round(tf / f, 6) AS core_function_coverage
+            FROM ff JOIN p USING (task) LEFT JOIN e USING (task) LEFT JOIN own ON own.task = ff.task""",
         "pytest_summary": """WITH x AS (SELECT *, o_orderstatus <> 'P' AS ran FROM orders), y AS (SELECT o_orderkey, CAST(CASE WHEN ran THEN o_custkey % 9 ELSE 0 END AS INTEGER) AS passed,
               CAST(CASE WHEN ran THEN o_orderkey % 3 ELSE 0 END AS INTEGER) AS failed, 0 AS errors, CAST(CASE WHEN ran THEN o_custkey % 2 ELSE 0 END AS INTEGER) AS skipped,
               CASE WHEN ran THEN o_orderkey % 100 + 0.5 ELSE 0 END::DOUBLE AS duration, o_orderkey % 2 AS code FROM x)
