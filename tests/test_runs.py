@@ -1,5 +1,7 @@
 """Resumed runs that break off, retry feedback in batch and stream, reviews and documented functions."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +123,12 @@ def test_first_later_result_of_a_use(spark):
     results = spark.createDataFrame([("s", "u", 1, "same place"), ("s", "u", 3, "y"), ("s", "u", 3, "x"), ("s", "u", 4, "later"), ("s", "w", 3, None), ("s", "w", 4, "too late"), (None, "u", 2, "n"), ("s", None, 2, "n")], "s string, u string, o int, t string")
     got = sorted(((r.output2, r.output) for r in tools.pair_by_use(uses, results, "s", "u", "o", "t", 3).collect()), key=str)
     assert got == [("a", "x"), ("a", "x"), ("b", None), ("c", None), ("d", None), ("e", None)]
+
+
+def test_documented_functions_of_a_long_document(spark):
+    """Thousands of names are told apart by sorting; comparing each with a list made anew for it took minutes."""
+    lines = [f"def do_{i} (x):" for i in range(4000)] + [f"`DO_{i}()` `only_{i}()`" for i in range(4000)]
+    began = time.monotonic()
+    got = spark.createDataFrame([("\n".join(lines),)], "t string").select(parsers.documented_functions(F.col("t")).alias("f")).first().f
+    assert got == [f"do_{i}" for i in range(4000)] + [f"only_{i}" for i in range(4000)]
+    assert time.monotonic() - began < 30

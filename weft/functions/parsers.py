@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from weft.functions import scalars
+
 #: Fixed value: what a connection looks like, with its data in brackets.
 CONNECTION = r"(.+?)\s*->\s*(.+?)(?:\s*\(|$)"
 
@@ -185,5 +187,4 @@ def documented_functions(document: Column) -> Column:
     )
     told = F.filter(methods, lambda m: ~F.lower(m).isin(PLAIN_METHODS) & (F.length(m) > 2))
     names = F.filter(F.concat(headings, defined, classes, told, inline), lambda n: (n != "") & ~F.lower(n).isin(HEADINGS))
-    low = F.transform(names, F.lower)
-    return F.filter(names, lambda n, i: F.array_position(low, F.lower(n)) == i + 1)
+    return scalars.first_spellings(names)

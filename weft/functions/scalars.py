@@ -67,10 +67,21 @@ def normalize_scenario(v: Column) -> Column:
     return F.btrim(F.regexp_replace(v, r"\s+", " "), F.lit(" .;:-"))
 
 
+def first_spellings(values: Column) -> Column:
+    """Different texts of an array ignoring case, as first spelt, in order; by sorting, so that long arrays cost no more than that."""
+    told = F.transform(values, lambda x, i: F.struct(F.lower(x).alias("low"), i.alias("i"), x.alias("x")))
+
+    def firsts(listed: Column) -> Column:  # bound to a name, so that it is sorted once and not for each element
+        kept = F.filter(listed, lambda s, i: (i == 0) | (F.get(listed, i - 1)["low"] != s["low"]))
+        return F.transform(F.array_sort(F.transform(kept, lambda s: F.struct(s["i"], s["x"]))), lambda s: s["x"])
+
+    return F.element_at(F.transform(F.array(F.array_sort(told)), firsts), 1)
+
+
 def normalize_scenarios(values: Column) -> Column:
     """Cleaned, without empty ones, the first spelling of each kept in order."""
     clean = F.filter(F.transform(values, normalize_scenario), lambda x: x != "")
-    return F.filter(clean, lambda x, i: F.array_position(F.transform(clean, F.lower), F.lower(x)) == i + 1)
+    return first_spellings(clean)
 
 
 def default_scenarios(values: Column, sentence: str) -> Column:
