@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft.operators import communities, vectors
+from weft.plans import community_queries
 
 VECTORS = "id long, v array<double>"
 
@@ -54,6 +55,15 @@ def test_similar_pairs_and_far_cells_are_not_visited(spark):
     assert others < 0.25 * len(m) * len(cells.pivots)  # only cells of the same direction are left
 
 
+def test_rounded_threshold_of_similar_pairs(spark, tmp_path):
+    """The query's SQL rounds before it compares: a score of 0.3499997 is one of 0.35."""
+    a = 0.3499997
+    rows = [(1, [1.0, 0.0], 0), (2, [a, float(np.sqrt(1 - a * a))], 0), (3, [0.3499994, float(np.sqrt(1 - 0.3499994**2))], 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {tuple(r) for r in community_queries.similar_pairs(spark, str(tmp_path)).where("i = 1").collect()}
+    assert got == {(1, 2, 0.35)}
+
+
 def test_neighbours_of_nothing(spark):
     none = rows_of(spark, np.zeros((0, 3)))
     some = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (None, [1.0, 0.0])], VECTORS)
