@@ -55,6 +55,26 @@ def test_similar_pairs_and_far_cells_are_not_visited(spark):
     assert others < 0.25 * len(m) * len(cells.pivots)  # only cells of the same direction are left
 
 
+def test_search_is_streamed_past_chunks_of_bounded_size(spark):
+    """Vectors without structure: rows sent are packed vectors times chunks, not a row for each query and cell."""
+    m = np.random.default_rng(11).standard_normal((900, 8))
+    m[:40] = m[40:80]  # equal scores
+    s = unit(m) @ unit(m).T
+    cells = vectors.Cells(rows_of(spark, m), 64)
+    asked = vectors._asked(rows_of(spark, m))
+    found = [tuple(r) for r in cells.search(asked, 5, None).select("source", "rank", "target").collect()]
+    assert sorted(found) == [(i, r, j) for i in range(900) for r, j in enumerate(sorted((j for j in range(900) if j != i), key=lambda j: (-round(s[i, j], 9), j))[:5], 1)]
+    assert 900 / cells.chunks >= 8  # chunks, not queries, are what the vectors are sent to
+
+
+def test_pairs_inside_parts_only(spark):
+    m = bundles(12, 3, 20, spread=0.2)
+    s = unit(m) @ unit(m).T
+    rows = rows_of(spark, m).withColumn("part", F.col("id") % 3)
+    got = {(r.i, r.j) for r in vectors.similar_pairs(rows, 0.7, block=16).collect()}
+    assert got == {(i, j) for i in range(60) for j in range(i + 1, 60) if s[i, j] >= 0.7 and i % 3 == j % 3}
+
+
 def test_rounded_threshold_of_similar_pairs(spark, tmp_path):
     """The query's SQL rounds before it compares: a score of 0.3499997 is one of 0.35."""
     a = 0.3499997
