@@ -1,13 +1,15 @@
 """States, delimited files and profiles against plain Python."""
 
+import ast
 import csv
 import io
 import json
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
 
-from weft.functions import filetypes
+from weft.functions import filetypes, scanners
 from weft.operators import profiles
 from weft.sources import files
 
@@ -101,3 +103,26 @@ def test_metadata_entries(spark):
     head = "### n\n- **Content Type**: c\n- **Path**: c\n- **Summary**: c"
     assert got["n"] == head + '\n\n**Metadata**:\n  - language: en\n  - row_count: 2\n  - z: 1\n  - ok: True, None\n  - d: {"k": "é"}\n  - f: 1.0\n\n'
     assert got["m"] == head.replace("### n", "### m") + "\n\n" and got["e"].endswith("c\n\n")
+
+
+def test_long_sources_are_parsed_in_parts():
+    """Parts give what the whole tree gives, in memory that the source's length does not set."""
+    odd = 'x = """\ndef no(): pass\n"""\nif x:\n    def a(): pass\nelse:\n    import os.path\n@f(\n)\n@g\nclass B:\n    class C:\n        def d(self): pass\ny = [\n\n]\nfrom q.r import s\ndef e(): pass\n'
+    nodes = list(ast.walk(ast.parse(odd)))
+    for size in (1, 20, 1 << 16):
+        levels = {}
+        for tree in scanners._trees(odd, size):
+            level, depth = [tree], 0
+            while level:
+                levels.setdefault(depth, []).extend(n.name for n in level if isinstance(n, ast.FunctionDef | ast.ClassDef))
+                level, depth = [c for n in level for c in ast.iter_child_nodes(n)], depth + 1
+        assert sum(levels.values(), []) == [n.name for n in nodes if isinstance(n, ast.FunctionDef | ast.ClassDef)]
+    got = scanners._profile("/m.py", odd)
+    assert got["function_names"] == ["e", "a", "d"] and got["class_names"] == ["B", "C"] and got["imports"] == ["os", "q"]
+    assert "function_count" not in scanners._profile("/m.py", odd + "z = (")
+    long = "".join(f"def f{i}():\n    import p{i % 7}.sub\n" for i in range(30000))
+    tracemalloc.start()
+    assert scanners._profile("/m.py", long)["function_count"] == 30000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * len(long)  # the whole tree takes 140 times
