@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from weft.functions import scalars as s
@@ -52,3 +54,17 @@ def test_commands(spark):
 def test_review(spark):
     row = spark.createDataFrame([(True, True, 1), (True, False, 4), (None, False, 2), (False, False, 1)], "g boolean, r boolean, o int")
     assert [r[0] for r in row.select(s.review_keep(F.col("g"), F.col("r"), F.col("o"))).collect()] == [False, False, True, False]
+
+
+def test_split_text_reads_each_piece_once(spark):
+    """A long text: each window was cut out some twenty times a step, each time from the text's start."""
+    text = "".join(f"line {i} \u00e9\n" for i in range(20000))
+    want, start = [], 0
+    while start < len(text):
+        window = text[start : start + 1000]
+        last = window.rfind("\n")
+        size = last + 1 if start + 1000 < len(text) and last > 500 else len(window)
+        want, start = [*want, window[:size].strip()], start + size
+    began = time.monotonic()
+    assert one(spark, s.split_text(F.col("a"), 1000), a=text) == want
+    assert time.monotonic() - began < 10

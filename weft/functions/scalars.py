@@ -242,23 +242,33 @@ def review_keep(given: Column, redundant: Column, overlap: Column, drop_at: int
     return F.when(gone, False).otherwise(F.coalesce(given, ~gone))
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def split_text(text: Column, most: int = 12_000) -> Column:
     """Non-empty pieces of at most ``most`` characters, trimmed; the whole text if it is short or none is left.
 
     A piece ends after the last line end in its second half, if there is one.
     """
-    n = F.length(text)
-
-    def cut(state: Column, _: Column) -> Column:
-        start = state.start
-        window = F.substr(text, start + 1, F.lit(most))
-        back = F.instr(F.reverse(window), "\n")
-        line = F.length(window) - back + 1  # characters up to and with the last line end
-        size = F.when((start + most < n) & (back > 0) & (line - 1 > most // 2), line).otherwise(F.length(window))
-        piece = F.trim(F.substr(window, F.lit(1), size), F.lit(" \t\n\r\x0b\f"))
-        return F.struct((start + size).alias("start"), F.when((start < n) & (piece != ""), F.concat(state.pieces, F.array(piece))).otherwise(state.pieces).alias("pieces"))
-
-    begin = F.struct(F.lit(0).alias("start"), F.array().cast("array<string>").alias("pieces"))
-    steps = F.sequence(F.lit(0), F.ceil(n * 2 / most).cast("int"))  # every piece but the last is longer than half
-    pieces = F.aggregate(steps, begin, cut).pieces
-    return F.when((n <= most) | (F.size(pieces) == 0), F.array(text)).otherwise(pieces)
+    def pieces(n: Column) -> Column:
+        def cut(state: Column, _: Column) -> Column:
+            def at(window: Column, size: Column) -> Column:
+                piece = F.trim(F.substr(window, F.lit(1), size), F.lit(" \t\n\r\x0b\f"))
+                told = lambda p: F.struct((state.start + size).alias("start"), F.when(p != "", F.concat(state.pieces, F.array(p))).otherwise(state.pieces).alias("pieces"))
+                return _bound(piece, told)
+
+            def sized(window: Column, back: Column) -> Column:
+                line = F.length(window) - back + 1  # characters up to and with the last line end
+                size = F.when((state.start + most < n) & (back > 0) & (line - 1 > most // 2), line).otherwise(F.length(window))
+                return _bound(size, lambda size: at(window, size))
+
+            window = F.substr(text, state.start + 1, F.lit(most))
+            return F.when(state.start < n, _bound(window, lambda w: _bound(F.instr(F.reverse(w), "\n"), lambda back: sized(w, back)))).otherwise(state)
+
+        begin = F.struct(F.lit(0).alias("start"), F.array().cast("array<string>").alias("pieces"))
+        steps = F.sequence(F.lit(0), F.ceil(n * 2 / most).cast("int"))  # every piece but the last is longer than half
+        return _bound(F.aggregate(steps, begin, cut).pieces, lambda p: F.when(F.size(p) == 0, F.array(text)).otherwise(p))
+
+    return F.when(F.length(text) <= most, F.array(text)).otherwise(_bound(F.length(text), pieces))
