@@ -46,6 +46,7 @@ DEVIATIONS = 5  # of a count of rare n-grams from its mean, that chance explains
 LETTER = r"\p{L}"
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _PIECE = 1 << 18  # characters hashed at once
+KEPT = 512  # rows whose texts are copied at once
 
 
 def _buckets(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -274,9 +275,10 @@ def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
 
     def run(batches):
         for batch in batches:
-            keep = pa.array([not one(t.as_py(), known.as_py())[2] for t, known in zip(batch.column(at), batch.column(batch.num_columns - 1), strict=True)], pa.bool_())
-            table = pa.Table.from_batches([batch]).filter(keep)
-            yield from table.select(range(batch.num_columns - 1)).to_batches()
+            for start in range(0, len(batch), KEPT):
+                part = batch.slice(start, KEPT)
+                keep = pa.array([not one(t.as_py(), known.as_py())[2] for t, known in zip(part.column(at), part.column(part.num_columns - 1), strict=True)], pa.bool_())
+                yield part.filter(keep).select(range(part.num_columns - 1))
 
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     flagged = plain.withColumn("letters", _has_letter(F.col(f"c{at}").cast("string")))
