@@ -208,3 +208,22 @@ def test_scenario_dedup_end_to_end(spark):
             where |= dict.fromkeys(part, len(want))
     assert sorted(map(tuple, found.collect())) == want
     assert {r.raw_scenario_id: r.scenario_id for r in members.collect()} == where
+
+
+def test_rounds_of_louvain_move_no_link(spark, monkeypatch):
+    """A level's links are dealt once; rounds send node states to them. More nodes than are sent take joins, with the same proposals."""
+    edges = spark.createDataFrame([(a, b, 1.0 + (a * b) % 3) for a in range(60) for b in range(60) if a != b and (a + b) % 7 < 2], "a long, b long, w double")
+    total = edges.agg(F.sum("w")).first()[0]
+    state = edges.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k")).select("node", "k", F.lit(0.0).alias("inside"), (F.col("node") % 9).alias("comm"))
+    dealt = communities._dealt(edges)
+    found = communities._proposals(communities.materialize(state), dealt, total, True)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line and "REPARTITION" not in line]
+    assert moved and all("hashpartitioning(comm#" in line for line in moved)
+    by_join = communities._proposals(state, dealt, total)
+    assert sorted((r.node, r.target, round(r.delta, 9)) for r in found.collect()) == sorted((r.node, r.target, round(r.delta, 9)) for r in by_join.collect())
+    dealt.unpersist()
+    nodes, table = edges.select(F.col("a").alias("id")).distinct(), edges.select(F.col("a").alias("i"), F.col("b").alias("j"), F.col("w").alias("score"))
+    want = sorted(map(tuple, communities.louvain(nodes, table).collect()))
+    monkeypatch.setattr(communities, "FEW", 0)
+    assert sorted(map(tuple, communities.louvain(nodes, table).collect())) == want
