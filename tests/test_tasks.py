@@ -75,3 +75,24 @@ def test_values_that_are_missing(spark):
     assert tools.track_operations(none, "s", "o").count() == 0 and tools.filtered_files(tools.track_operations(none, "s", "o"), "s").count() == 0
     keys = spark.range(1).select(tasks.record_key(F.lit(None).cast("string"), F.lit("t"), F.lit("u"), F.lit("n")).alias("k")).first().k
     assert keys == "t::u::n"
+
+
+def test_paths_of_small_graphs_take_no_rounds(spark, monkeypatch):
+    """Small graphs are walked in their rows; larger ones, and tasks without a name, grow in rounds, with the same paths."""
+    import random
+
+    rng = random.Random(4)
+    edges = [(t, *(rng.choice([None, *range(9)]) if t % 5 == 0 else rng.randrange(9) for _ in "st")) for t in range(60) for _ in range(t % 14)]
+    edges += [(None, 1, 2), (99, 0, None), (99, None, 3)] + [(100, 2 * i + k, 2 * i + 2 + j) for i in range(6) for k in (0, 1) for j in (0, 1)]
+    df = spark.createDataFrame(edges, "task long, source long, target long")
+    lone = spark.createDataFrame([(t, n) for t in range(0, 70, 3) for n in (3, 20)] + [(None, 8), (100, 50)], "task long, node long")
+    grown, rounds = trajectory._grown, []
+    monkeypatch.setattr(trajectory, "_grown", lambda e, *rest: rounds.append(e.count()) or grown(e, *rest))
+
+    def found(size):
+        monkeypatch.setattr(trajectory, "WALKED", size)
+        return sorted(((r.task, r.path) for r in trajectory.all_paths(df, "task", lone).collect()), key=str)
+
+    walked, mixed, joined = found(64), found(7), found(0)
+    assert walked == mixed == joined and len([p for t, p in walked if t == 100]) == 2**7
+    assert rounds[0] == 1 and rounds[2] == len(edges) and 1 < rounds[1] < len(edges)

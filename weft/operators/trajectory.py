@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from weft.functions import scalars as s
 from weft.session import materialize
 
+WALKED = 64  # rows of a graph that is walked in one row
+
 
 def number_steps(events: DataFrame, session: str, ordinal: str, is_step: Column) -> DataFrame:
     """The steps of each session, numbered from 0 in order."""
@@ -120,12 +123,8 @@ def ends(edges: DataFrame, task: str) -> DataFrame:
     return tally.select(task, "node", (F.col("i") == 0).alias("is_source"), (F.col("o") == 0).alias("is_sink"))
 
 
-def all_paths(edges: DataFrame, task: str, nodes: DataFrame | None = None) -> DataFrame:
-    """(task, path): every path from a source to a sink over different nodes, of any length.
-
-    A task without such a path, one of cycles or of lone ``nodes`` (task, node), has each of its nodes
-    as a path. Paths grow by a step a round, each round written; it ends when none grows.
-    """
+def _grown(edges: DataFrame, task: str, nodes: DataFrame) -> DataFrame:
+    """:func:`all_paths` of graphs of any size: paths grow by a step a round, each round written; it ends when none grows."""
     role = materialize(ends(edges, task))
     sinks = role.where("is_sink").select(task, F.col("node").alias("_end"))
     step = materialize(edges.select(task, F.col("source").alias("_s"), F.col("target").alias("_t")).distinct())
@@ -143,11 +142,99 @@ def all_paths(edges: DataFrame, task: str, nodes: DataFrame | None = None) -> Da
     for some in rounds:
         done = some.withColumn("_end", F.element_at("path", -1)).join(sinks, [task, "_end"], "left_semi").select(task, "path")
         found = found.unionByName(done)
-    every = role.select(task, "node") if nodes is None else role.select(task, "node").unionByName(nodes.select(task, "node")).distinct()
+    every = role.select(task, "node").unionByName(nodes.select(task, "node")).distinct()
     lone = every.join(found.select(task).distinct(), task, "left_anti").select(task, F.array("node").alias("path"))
     return found.unionByName(lone)
 
 
+def _walked(graphs: DataFrame, task: str) -> DataFrame:
+    """:func:`all_paths` of small graphs, (task, _s, _t, _edge) or lone nodes _s: each is walked in its row, its paths leave by batches."""
+
+    def paths(rows: list):
+        every, after, before, ends_in, starts = set(), {}, {}, set(), set()
+        for s, t, edge in rows:
+            every.add(s)
+            if edge:
+                every.add(t)
+                starts.add(s)
+                ends_in.add(t)
+                if s is not None and t is not None:
+                    after.setdefault(s, []).append(t)
+                    before.setdefault(t, []).append(s)
+        useful = list(ends_in - starts - {None})  # sinks, then what leads to them
+        seen = set(useful)
+        for n in useful:
+            for m in before.get(n, ()):
+                if m not in seen:
+                    seen.add(m)
+                    useful.append(m)
+        none = True
+        for source in starts - ends_in:
+            path, ways = [source], [iter(after.get(source, ()))]
+            while ways:
+                n = next(ways[-1], ways)
+                if n is ways:
+                    ways.pop()
+                    path.pop()
+                elif n in seen and n not in path:
+                    if n not in starts:
+                        none = False
+                        yield [*path, n]
+                    else:
+                        path.append(n)
+                        ways.append(iter(after[n]))
+        if none:
+            yield from ([n] for n in every)
+
+    kinds = {c: graphs.schema[c].dataType for c in (task, "_s")}
+    listed = graphs.groupBy(task).agg(F.collect_set(F.struct("_s", "_t", "_edge")).alias("_g"))
+    node = to_arrow_type(kinds["_s"])
+
+    def run(batches):
+        for batch in batches:
+            at, offsets, flat = [], [0], []
+
+            def made():
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, node))
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), lists], [task, "path"])
+
+            graphs, parts = batch.column(1), batch.column(1).flatten()
+            parts = list(zip(*(parts.field(c).to_pylist() for c in ("_s", "_t", "_edge"))))
+            ends = np.cumsum(graphs.value_lengths().to_numpy()).tolist()
+            for i, (lo, hi) in enumerate(zip([0, *ends], ends)):
+                for path in paths(parts[lo:hi]):
+                    at.append(i)
+                    flat += path
+                    offsets.append(len(flat))
+                    if len(flat) > 1 << 16:
+                        yield made()
+                        at, offsets, flat = [], [0], []
+            if at:
+                yield made()
+
+    return listed.mapInArrow(run, f"`{task}` {kinds[task].simpleString()}, path array<{kinds['_s'].simpleString()}>")
+
+
+def all_paths(edges: DataFrame, task: str, nodes: DataFrame | None = None) -> DataFrame:
+    """(task, path): every path from a source to a sink over different nodes, of any length.
+
+    A task without such a path, one of cycles or of lone ``nodes`` (task, node), has each of its nodes
+    as a path; so has a NULL task. Graphs of at most ``WALKED`` edges and nodes are walked in one row each, larger ones
+    in rounds of joins.
+    """
+    given = edges.select(task, F.col("source").alias("_s"), F.col("target").alias("_t"), F.lit(True).alias("_edge"))
+    if nodes is not None:
+        given = given.unionByName(nodes.select(task, F.col("node").alias("_s"), F.lit(None).cast(edges.schema["target"].dataType).alias("_t"), F.lit(False).alias("_edge")))
+    given = materialize(given)
+    large = materialize(given.groupBy(task).agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") > WALKED) | F.col(task).isNull()).select(F.col(task).alias("_large")))
+    if not large.limit(1).count():
+        return _walked(given, task)
+    apart = F.col(task).eqNullSafe(F.col("_large"))
+    many = given.join(large, apart, "left_semi")
+    rest = _grown(many.where("_edge").select(task, F.col("_s").alias("source"), F.col("_t").alias("target")), task, many.where("NOT _edge").select(task, F.col("_s").alias("node")))
+    return _walked(given.join(large, apart, "left_anti"), task).unionByName(rest)
+
+
 def topological_order(edges: DataFrame, task: str) -> DataFrame:
     """(task, place, node): the smallest ready node first; nodes on cycles are left out. A row holds one task graph."""
 

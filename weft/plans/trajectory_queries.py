@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weft.functions import scalars as s
 from weft.operators import trajectory as t
-from weft.session import table
+from weft.session import materialize, table
 from weft.streaming import events as stream
 
 TOOLS = ("Read", "Write", "Bash", "Skill", "WebFetch", "TodoWrite", "Other")
@@ -105,7 +105,7 @@ def topological_order(spark, d):
 def dag_coverage(spark, d):
     """Path, edge and core-function coverage of task graphs: tested are paths through node 3 and unknown ones, edges with an even end; functions are items of parts."""
     edges, nodes = _dag(spark, d), _nodes(spark, d)
-    paths = t.all_paths(edges, "task", nodes).select("task", F.array_join("path", ">").alias("item"))
+    paths = materialize(t.all_paths(edges, "task", nodes).select("task", F.array_join("path", ">").alias("item")))
     some = paths.where(F.concat(F.lit(">"), "item", F.lit(">")).contains(">3>")).unionByName(nodes.where("node = 7").select("task", F.lit("own").alias("item")))
     e = edges.select("task", F.concat_ws(">", "source", "target").alias("item"), "target")
     f = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("task"), F.col("l_linenumber").alias("skill"), F.pmod("l_partkey", F.lit(9)).cast("string").alias("item"), "l_quantity")
