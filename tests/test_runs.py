@@ -132,3 +132,22 @@ def test_documented_functions_of_a_long_document(spark):
     got = spark.createDataFrame([("\n".join(lines),)], "t string").select(parsers.documented_functions(F.col("t")).alias("f")).first().f
     assert got == [f"do_{i}" for i in range(4000)] + [f"only_{i}" for i in range(4000)]
     assert time.monotonic() - began < 30
+
+
+def test_tasks_share_states(spark, tmp_path, monkeypatch):
+    """Many tasks are in one keyed state, and each is forgotten on its own."""
+    from datetime import datetime
+
+    monkeypatch.setattr(events, "BUCKETS", 1)
+    big = 2**53 + 1
+    for day, names in ((1, [7, big]), (20, [big, None, *range(100, 140)]), (21, [big, None]), (25, [7])):
+        rows = [(t, day, None, f"day {day}", datetime(2024, 1, day)) for t in names]
+        spark.createDataFrame(rows, ATTEMPTS.replace("task string", "task long")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = events.read_stream(spark, str(tmp_path / "in"), 1)
+    monkeypatch.setattr(events, "shared_dir", lambda spark: str(tmp_path / "shared"))
+    out = events.run_available(events.retry_feedback_stream(stream, "task", "attempt", "failures", "error", "ts", "5 days"), "update")
+    texts = {(r.task, r.attempt): r.history for r in out.collect()}
+    assert all("day 20" in texts[t, n] and "day 21" in texts[t, 21] for t in (big, None) for n in (20, 21))
+    assert "day 1\n" in texts[big, 20] and "day 25" in texts[7, 25] and "day 1\n" not in texts[7, 25] and len(texts) == 2 + 42 + 2 + 1
+    store = next((tmp_path / "shared").glob("weft-stream-*/state"))
+    assert spark.read.format("statestore").load(str(store)).count() == 2

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import pickle
 import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -118,6 +119,7 @@ def resume(candidates: DataFrame, store: str, keys: list[str], work: Callable[[D
     return rows.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
 
 
+BUCKETS = 4096  # keyed states of the retry feedback
 # The words of the feedback.
 FEEDBACK_HEAD = "\n\n" + "=" * 60 + "\n## IMPORTANT: Previous Attempts Failed Verification Tests\n" + "=" * 60 + "\n\n"
 FEEDBACK_TAIL = """
@@ -162,35 +164,50 @@ def retry_feedback(attempts: DataFrame, task: str, attempt: str, failures: str,
 def retry_feedback_stream(attempts: DataFrame, task: str, attempt: str, failures: str, error: str, at: str, keep: str = "1 day") -> DataFrame:
     """The same of a stream, as updates: the last row of a (task, attempt) is that of :func:`retry_feedback`, in whatever order attempts come.
 
-    The keyed state holds a task's blocks. By event time ``at``, a task is forgotten ``keep`` after its last attempt,
-    and attempts that are later than that, or have no time, are left out.
+    Tasks are dealt to ``BUCKETS`` keyed states, so that Python is called once a bucket and trigger and not once a task; a state holds
+    each of its tasks' blocks and is written again by each trigger that brings one of them. By event time ``at``, a task is forgotten
+    ``keep`` after its last attempt, and attempts that are later than that, or have no time, are left out.
     """
     kind = attempts.schema[task].dataType.simpleString()
     millis = int(pd.Timedelta(keep).total_seconds() * 1000)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        known, first = (pickle.loads(state.get[0]) if state.exists else {}), {}  # task: its last time, its blocks
+        for rows in batches if not state.hasTimedOut else ():
+            tasks = rows.task.tolist() if key[0] >= 0 else [None] * len(rows)
+            for name, n, block, at in zip(tasks, rows.attempt.tolist(), rows.block.tolist(), rows.ms.tolist(), strict=True):
+                last, blocks = known.get(name, (0, {}))
+                if block > blocks.get(n, ""):
+                    blocks[n] = block
+                known[name] = max(last, at), blocks
+                first[name] = min(first.get(name, n), n)
+        now = state.getCurrentWatermarkMs()
+        known = {name: x for name, x in known.items() if name in first or x[0] + millis + 1 >= now}
+        if known:
+            state.update((pickle.dumps(known),))
+            state.setTimeoutTimestamp(max(min(last for last, _ in known.values()) + millis + 1, now + 1))
+        else:
             state.remove()
-            return
-        known, last = (dict(json.loads(state.get[0])), state.get[1]) if state.exists else ({}, 0)
-        first = None
-        for rows in batches:
-            last = max(last, int(rows["at"].max().timestamp() * 1000))
-            for n, block in zip(rows.attempt.tolist(), rows.block.tolist(), strict=True):
-                if block > known.get(n, ""):
-                    known[n] = block
-                first = n if first is None else min(first, n)
-        state.update((json.dumps(sorted(known.items())), last))
-        state.setTimeoutTimestamp(last + millis + 1)
-        order = sorted(known)
-        out = [(key[0], n, "".join(known[m] for m in order if m <= n)) for n in order if first is not None and n >= first]
-        yield pd.DataFrame(out, columns=["task", "attempt", "history"])
+        out = []
+        for name, least in first.items():
+            told, blocks = "", known[name][1]
+            for n in sorted(blocks):
+                told += blocks[n]
+                if n >= least:
+                    out.append((name, n, told))
+            if len(out) >= 10_000:
+                yield pd.DataFrame(out, columns=["task", "attempt", "history"])
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=["task", "attempt", "history"])
 
     slim = attempts.where(F.col(attempt).isNotNull() & F.col(at).isNotNull()).select(
         F.col(task).alias("task"), F.col(attempt).cast("int").alias("attempt"), attempt_block(F.col(attempt), F.col(failures), F.col(error)).alias("block"), F.col(at).cast("timestamp").alias("at")
     )
-    timed = slim.withWatermark("at", f"{millis} milliseconds")
-    return timed.groupBy("task").applyInPandasWithState(step, f"task {kind}, attempt int, history string", "blocks string, last bigint", "update", GroupStateTimeout.EventTimeTimeout)
+    # NULL tasks have a bucket of their own: beside them pandas would hold whole numbers as floats.
+    bucket = F.when(F.col("task").isNull(), -1).otherwise(F.pmod(F.xxhash64("task"), F.lit(BUCKETS)))
+    timed = slim.withColumns({"ms": F.unix_millis("at"), "bucket": bucket.cast("int")}).withWatermark("at", f"{millis} milliseconds")
+    return timed.groupBy("bucket").applyInPandasWithState(step, f"task {kind}, attempt int, history string", "tasks binary", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
