@@ -7,6 +7,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -182,6 +183,13 @@ def test_retrieval_is_that_of_exhaustive_scoring():
     assert index.scored < read / 2
 
 
+def test_decontamination_searches_bounded_runs():
+    texts = [None, "a" * 700_000, "b" * 700_000, "c" * 2_000_000, *["d" * 3_000] * 1_300, None]
+    runs = list(decontam._runs(pa.array(texts)))
+    assert [t for run in runs for t in run] == texts
+    assert all(len(run) == 1 or sum(len(t or "") for t in run) <= 1_000_000 for run in runs)
+
+
 def test_decontamination_hard_cases(spark, hard, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, None), (2, "..."), (3, "same text here"), (4, "same text here")], "item_id long, text string")

@@ -49,6 +49,7 @@ SHINGLE = 5
 BLOCK_ITEMS = 4
 INDEX_BYTES = 4 << 20
 _CELLS = 1 << 22  # bounds held at once
+SEARCHED = 1_000_000  # characters searched at once, or one text: some fifty times as many bytes are held meanwhile
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _ANSWER = re.compile(r"(?:^|\n)\s*(?:answer|a)\s*[:.]\s*", re.I)
 
@@ -293,6 +294,13 @@ def matches(
     return _with_matches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), items, "t", item_col, threshold, overlap).drop("t")
 
 
+def _runs(texts: pa.Array):
+    """Lists of texts, in order, of at most ``SEARCHED`` characters or one text; few of a batch are copied at once."""
+    for at in range(0, len(texts), 512):
+        for _, run in batches_of(texts.slice(at, 512).to_pylist(), SEARCHED):
+            yield run
+
+
 def _found(docs: DataFrame, index: Index, text_col: str, item_kind: str, threshold: float, overlap: float, only_hits: bool) -> DataFrame:
     """``docs`` without the text column but with ``item_ids`` and ``overlap``; ``only_hits``: without rows that match nothing."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
@@ -303,7 +311,7 @@ def _found(docs: DataFrame, index: Index, text_col: str, item_kind: str, thresho
         index = shared.value
         for batch in batches:
             found = []
-            for _, texts in batches_of(batch.column(at).to_pylist()):
+            for texts in _runs(batch.column(at)):
                 found += index.search(texts, threshold, overlap)
             ids = [sorted({index.ids[i] for i in f}, key=lambda x: (x is None, x)) for f in found]
             best = [max([0.0, *f.values()]) for f in found]
