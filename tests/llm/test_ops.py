@@ -311,6 +311,14 @@ def test_line_dedup_hard_cases(spark, hard, empty):
     assert linededup.dedup_lines(empty).count() == 0
 
 
+def test_lines_of_a_text_are_split_once(spark):
+    ls, gone = F.split("t", "\n"), F.col("gone")
+    one = spark.createDataFrame([("c\na\nb\na", [1, 3]), ("a", [0])], "t string, gone array<int>")
+    assert [r[0] for r in one.select(linededup._without(ls, gone)).collect()] == ["c\nb", ""]
+    assert str(linededup._without(ls, gone)).count("split(") == 2  # for the lines and for their number
+    assert str(linededup._close(F.col("a"), F.col("b"))).count("split(") == 2
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 127, 128, 300, 32_767, 40_000])
 def test_simhash_of_lines_counts_any_number_of_words(spark, n):
     norm = " ".join(f"v{i % 997}" for i in range(n))
