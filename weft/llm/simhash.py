@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.operators.components import connected_components
-from weft.session import materialize, release
+from weft.session import materialize, release, shuffled
 
 SEED = 42
 _PART = 1 << 20  # hashes held at once while the bits of one text are counted
@@ -118,7 +118,7 @@ def links(fps: DataFrame, max_distance: int = 3) -> DataFrame:
         raise ValueError("two halves with one differing bit each cover distances up to 3")
     home, visit = _replicate(fps, True, "src"), _replicate(fps, False, "dst")
     near = (F.col("src") != F.col("dst")) & (F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= max_distance)
-    return home.join(visit, "anchor").where(near).select("src", "dst")
+    return shuffled(home).join(visit, "anchor").where(near).select("src", "dst")
 
 
 def near_duplicates(
