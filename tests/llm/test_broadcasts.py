@@ -1,6 +1,6 @@
 """Rows multiplied by an explode or a map over batches, which Spark sizes too low, are not sent through the driver."""
 
-from weft.llm import simhash
+from weft.llm import linededup, simhash
 
 
 def plan_of(df):
@@ -12,3 +12,14 @@ def test_anchors_are_joined_without_a_broadcast(spark):
     found = simhash.links(fps.unionByName(fps.selectExpr("fp ^ 5 AS fp")))
     assert "BroadcastHashJoin" not in plan_of(found)
     assert found.count() >= 800
+
+
+def test_words_of_equal_rows_are_not_counted_together(spark):
+    docs = spark.createDataFrame([(None, 5, "a b c\nd, e")] * 3 + [(7, 6, "A-b. c!"), (8, 7, None), (9, 8, "--")], "id long, k long, t string")
+    got = linededup.hashed_lines(docs).collect()
+    assert len(got) == 9
+    of = {(r.id, r.pos): (r.h1, r.h2, r.size, r.sim) for r in got}
+    assert of[7, 0] == of[None, 0] and of[7, 0][2] == 5 and of[None, 1][2] == 3
+    assert not of[8, None][2] and not of[9, 0][2]
+    plan = plan_of(linededup.hashed_lines(docs))
+    assert plan.count("regexp_extract_all") == 1 and "partial_sum" in plan  # summed by compiled code, words split once
